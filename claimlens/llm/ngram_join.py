@@ -14,10 +14,15 @@ of two documents the one that leaves out more levels still has an agreeing
 segment left, and the other has it too: no link is lost, and segments that are
 empty or hold a single common shingle, where unlike documents meet, fall away.
 
+The same holds for segments whose bucket is large, as a passage that many
+documents share makes it: a document that has room for all its large buckets
+beside the levels it leaves out drops them, and so only documents that consist
+of shared passages for the most part stay in large buckets.
+
 Within a bucket not all pairs are made. Documents are compared with one member
 chosen by hash, the links found give components, and only buckets that hold more
-than one component go on: to another chosen member, then to the pairs of
-different components that are left. Each pair is first tested on a parity bit
+than one component go on: large ones to another chosen member, then all to the
+pairs of different components that are left. Each pair is first tested on a parity bit
 sketch, whose Hamming distance bounds the difference from below, then verified
 on the whole sets. Exact copies are put together by a digest of their set first.
 
@@ -44,7 +49,9 @@ from claimlens.operators.graph import connected_components
 from claimlens.session import materialize
 
 #: Bits of the parity sketch, growth of the bands, and share of segments that may be left out.
-SKETCH_BITS, GROWTH, SPARE = 1024, 1.4, 0.2
+SKETCH_BITS, GROWTH, SPARE = 1024, 1.4, 0.25
+#: Members from which a bucket is large. Where it is not, pairs in it grow with its members at most LARGE-fold.
+LARGE = 32
 _ODD = [np.uint64(int(hashlib.blake2b(bytes([i]), digest_size=8).hexdigest(), 16) | 1) for i in range(64)]
 _KEPT, _ALL = 500_000, (1 << 64) - 1
 _WORDS: dict[bytes, int] = {}
@@ -101,12 +108,18 @@ def bands(percent: int) -> tuple[int, ...]:
     return tuple(out)
 
 
-def keys(found: np.ndarray, percent: int) -> np.ndarray:
-    """Bucket keys of a set: of its own band, and of the next if a set there can be linked."""
+def keys(found: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket keys of a set: of its own band, and of the next if a set there can be linked.
+
+    With each key goes a tag, 1000 * band + room: how many more segments of the
+    band the document may leave out (-1 if it may not leave out any).
+    """
     n, tops = len(found), bands(percent)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if not n:
-        return np.zeros(0, np.uint64)
+        return none
     own = int(np.searchsorted(tops, n))
+    tags = []
     spread = np.sort(found * _ODD[40])
     value = spread * _ODD[41] ^ (spread >> np.uint64(23))
     out = []
@@ -128,35 +141,39 @@ def keys(found: np.ndarray, percent: int) -> np.ndarray:
             place, xor = np.concatenate([place, empty]), np.concatenate([xor, np.zeros(len(empty), np.uint64)])
         elif left_out:
             place, xor = place[sizes > left_out], xor[sizes > left_out]
+        room = spare - int(levels[left_out]) if left_out >= 0 else -1
+        tags.append(np.full(len(place), 1000 * band + min(room, 998)))
         out.append(_mix(xor + place * _ODD[42] + np.uint64(int(_ODD[43]) * band & _ALL)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return (np.concatenate(out), np.concatenate(tags)) if out else none
 
 
-def sketch(found: np.ndarray) -> bytes:
+def sketch(found: np.ndarray) -> np.ndarray:
     """Bit i is the parity of the number of elements dealt to it."""
     at = (found * _ODD[44]) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(bool)).tobytes()
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(bool)).view(np.int64)
 
 
-_ROW = "key long, doc long, n long, digest binary, sketch binary"
+_ROW = "key long, doc long, tag int, n long, digest binary, sketch array<long>"
 
 
 def _rows(k: int, percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         for b in batches:
-            key, doc, n, digest, bits = [], [], [], [], []
+            key, doc, tag, n, digest, bits = [], [], [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found = shingles(text, k)
                 mark = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
-                made = np.zeros(1, np.int64)
+                made, tags = np.zeros(1, np.int64), np.zeros(1, np.int64)
                 new = doc_id is not None and mark is not None and mark not in sent
                 if new:
                     if len(sent) < _KEPT:
                         sent.add(mark)
-                    made = np.concatenate([made, keys(found, percent).view(np.int64)])
+                    own, own_tags = keys(found, percent)
+                    made, tags = np.concatenate([made, own.view(np.int64)]), np.concatenate([tags, own_tags])
                 made[0] = int.from_bytes(mark[:8], "big", signed=True) if mark else (doc_id or 0)
                 key.append(made)
+                tag.append(tags)
                 doc.append((doc_id, len(made)))
                 n.append(len(found))
                 digest.append(mark)
@@ -169,8 +186,8 @@ def _rows(k: int, percent: int):
             which[first] = np.arange(len(counts))
             take = pa.array(which, mask=which < 0)
             ids = pa.array([d for d, _ in doc], pa.int64()).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-            arrays = [pa.array(np.concatenate(key)), ids, *(pa.array(x, t).take(take) for x, t in ((n, pa.int64()), (digest, pa.binary()), (bits, pa.binary())))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc", "n", "digest", "sketch"])
+            arrays = [pa.array(np.concatenate(key)), ids, pa.array(np.concatenate(tag).astype(np.int32)), *(pa.array(x, t).take(take) for x, t in ((n, pa.int64()), (digest, pa.binary()), (bits, pa.list_(pa.int64()))))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc", "tag", "n", "digest", "sketch"])
 
     return rows
 
@@ -191,7 +208,7 @@ def _near(percent: int):
     def near(batches):
         for b in batches:
             n, m = np.array(b.column(2), dtype=np.int64), np.array(b.column(3), dtype=np.int64)
-            s, t = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (4, 5))
+            s, t = (np.array(b.column(i).flatten()).reshape(b.num_rows, -1).view(np.uint64) for i in (4, 5))
             apart = np.bitwise_count(s ^ t).sum(1) if b.num_rows else np.zeros(0)
             fine = apart.astype(np.int64) <= (100 - percent) * (n + m) // (100 + percent)
             fine &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
@@ -220,11 +237,19 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     made = docs.mapInArrow(_rows(k, percent), _ROW)
     w = Window.partitionBy("key")
     is_doc = F.col("n").isNotNull()
-    places = made.withColumn("first", F.min(F.when(~is_doc, F.struct(F.xxhash64("doc").alias("h"), "doc"))).over(w)["doc"])
-    places = places.withColumn("low", F.min(F.when(~is_doc, F.col("doc"))).over(w)).withColumn("high", F.max(F.when(~is_doc, F.col("doc"))).over(w))
+    doc = F.when(~is_doc, F.col("doc"))
+    places = made.withColumns({"low": F.min(doc).over(w), "high": F.max(doc).over(w), "members": F.count(doc).over(w)})
+    places = places.withColumn("first", F.min(F.when(~is_doc, F.struct(F.xxhash64("doc").alias("h"), "doc"))).over(w)["doc"])
     places = materialize(places.where(is_doc | (F.col("low") < F.col("high"))).drop("low", "high"), "jaccard")
     slim = places.where(is_doc).select("doc", "n", "digest", "sketch")
-    buckets = places.where(~is_doc).select("key", "doc", "first")
+    small = places.where(~is_doc & (F.col("members") <= LARGE)).select("key", "doc", "first")
+    large = places.where(~is_doc & (F.col("members") > LARGE))
+    # A document with room for all its large buckets of a band leaves them: its partners share a smaller one.
+    staying = large.groupBy("doc", "tag").agg(F.count(F.lit(1)).alias("c")).where("c > pmod(tag + 1, 1000) - 1").select("doc", "tag")
+    large = large.join(staying, ["doc", "tag"], "left_semi")
+    large = large.withColumn("first", F.min(F.struct(F.xxhash64("doc").alias("h"), "doc")).over(w)["doc"])
+    large = materialize(large.select("key", "doc", "first"), "large")
+    buckets = small.unionByName(large)
 
     named = slim.where("digest is not null and doc is not null")
     of_digest = named.groupBy("digest").agg(F.min("doc").alias("rep"))
@@ -249,18 +274,20 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
 
     labels = components(links)
     for last in (False, True):
-        at = buckets.select("key", "doc").join(rep, "doc").select("key", F.col("rep").alias("doc")).distinct()
-        at = at.join(labels.withColumnRenamed("node", "doc"), "doc")
-        at = at.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo < hi")
+        def apart(rows: DataFrame) -> DataFrame:
+            """(key, doc, component) of the buckets that hold more than one component."""
+            at = rows.select("key", "doc").join(rep, "doc").select("key", F.col("rep").alias("doc")).distinct()
+            at = at.join(labels.withColumnRenamed("node", "doc"), "doc")
+            return at.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo < hi").drop("lo", "hi")
+
         if last:
-            one, two = at.select("key", F.col("doc").alias("a"), F.col("component").alias("ca")), at.select("key", F.col("doc").alias("b"), F.col("component").alias("cb"))
-            more = one.join(two, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            more = _across(apart(small)).unionByName(_across(apart(large), size, percent)).distinct()
         else:
-            chosen = at.withColumn("p", F.min(F.struct(F.xxhash64("doc", "key").alias("h"), "doc", "component")).over(w))
+            chosen = apart(large).withColumn("p", F.min(F.struct(F.xxhash64("doc", "key").alias("h"), "doc", "component")).over(w))
             more = chosen.where("component <> p.component").select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct()
         more = materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
-            break
+            continue
         found = materialize(_checked(more, size, sets, percent), "links")
         tested = tested.unionByName(more)
         if not found.isEmpty():
@@ -269,6 +296,25 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     return slim.select("doc", "n"), labels
 
 
+def _across(at: DataFrame, size: DataFrame | None = None, percent: int = 0) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket; with size, only those that sizes and sketches allow,
+    a condition of the join itself."""
+    one = at.select("key", F.col("doc").alias("a"), F.col("component").alias("ca"))
+    two = at.select("key", F.col("doc").alias("b"), F.col("component").alias("cb"))
+    on = (one["key"] == two["key"]) & (F.col("ca") < F.col("cb"))
+    if size is not None:
+        one = one.join(size.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+        two = two.join(size.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+        both = [F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH_BITS // 64)]
+        total = both[0]
+        for x in both[1:]:
+            total = total + x
+        on = (one["key"] == two["key"]) & (F.col("ca") < F.col("cb"))
+        on = on & (total * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+        on = on & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return one.join(two, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _wanted(needed: DataFrame) -> bytes:
     """Bits of the documents whose sets are needed."""
 
