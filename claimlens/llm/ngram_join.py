@@ -52,8 +52,10 @@ from claimlens.session import materialize
 SKETCH_BITS, GROWTH, SPARE = 1024, 1.4, 0.25
 #: Members from which a bucket is large. Where it is not, pairs in it grow with its members at most LARGE-fold.
 LARGE = 32
+#: Documents whose rows are made at once, so that a task holds few of them.
+SOME = 500
 _ODD = [np.uint64(int(hashlib.blake2b(bytes([i]), digest_size=8).hexdigest(), 16) | 1) for i in range(64)]
-_KEPT, _ALL = 500_000, (1 << 64) - 1
+_KEPT, _ALL = 200_000, (1 << 64) - 1
 _WORDS: dict[bytes, int] = {}
 
 
@@ -159,7 +161,7 @@ _ROW = "key long, doc long, tag int, n long, digest binary, sketch array<long>"
 def _rows(k: int, percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
-        for b in batches:
+        for b in (whole.slice(at, SOME) for whole in batches for at in range(0, whole.num_rows, SOME)):
             key, doc, tag, n, digest, bits = [], [], [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found = shingles(text, k)
