@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from claimlens.functions.similarity import exceeds_tolerance
 from claimlens.functions.text import alnum, serial_tail
+from claimlens.session import materialize
 
 
 @dataclass(frozen=True)
@@ -229,14 +230,19 @@ def corroborated(findings: DataFrame) -> DataFrame:
 
 
 def findings(pop: DataFrame, version: int = 5, pairs: DataFrame | None = None) -> DataFrame:
-    """All findings of a version's rules (a rule without a function here has no rows), corroboration applied."""
+    """All findings of a version's rules (a rule without a function here has no rows), corroboration applied.
+
+    The population is written once, since every rule reads it, and so are the
+    findings, which flags, scores and reports read.
+    """
+    pop = materialize(pop, "population")
     parts = [FUNCTIONS[n](pop, r) for n, r in rules_of(version).items() if n in FUNCTIONS]
     if pairs is not None and "HOUSEHOLD_FRAGMENTATION" in rules_of(version):
         parts.append(fragmentation(pairs, RULES["HOUSEHOLD_FRAGMENTATION"]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return corroborated(out)
+    return materialize(corroborated(materialize(out, "findings")), "findings")
 
 
 def _of_rule(what: str) -> Column:
