@@ -235,7 +235,6 @@ def _verify(percent: int):
 def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc, n) for every row of docs (doc_id, text), and (node, component) for documents with links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark = docs.sparkSession
     made = docs.mapInArrow(_rows(k, percent), _ROW)
     w = Window.partitionBy("key")
     is_doc = F.col("n").isNotNull()
@@ -265,10 +264,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     best = best.groupBy("doc").agg(F.max(F.struct("c", "first")).alias("m")).select("doc", F.col("m.first").alias("other"))
     pairs = _of_reps(best, rep)
     tested = materialize(pairs, "pairs")
-    needed = buckets.select("doc").distinct().join(rep, "doc").select("rep").distinct()
-    wanted = spark.sparkContext.broadcast(_wanted(needed))
-    sets = materialize(docs.mapInArrow(_sets(k, wanted), "doc long, items binary").join(size.select(F.col("rep").alias("doc")), "doc", "left_semi"), "sets")
-    links = materialize(_checked(tested, size, sets, percent), "links")
+    links = materialize(_checked(tested, size, docs, k, percent), "links")
 
     def components(links: DataFrame) -> DataFrame:
         every = links.select("a", "b").unionByName(rep.select(F.col("doc").alias("a"), F.col("rep").alias("b")))
@@ -290,7 +286,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
         more = materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue
-        found = materialize(_checked(more, size, sets, percent), "links")
+        found = materialize(_checked(more, size, docs, k, percent), "links")
         tested = tested.unionByName(more)
         if not found.isEmpty():
             links = links.unionByName(found)
@@ -335,11 +331,14 @@ def _of_reps(pairs: DataFrame, rep: DataFrame) -> DataFrame:
     return both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
 
-def _checked(pairs: DataFrame, size: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are linked."""
+def _checked(pairs: DataFrame, size: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are linked; whole sets are made only for pairs whose sketches allow a link."""
     one = size.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = size.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     near = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(percent), "a long, b long")
+    near = materialize(near, "near")
+    needed = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    sets = docs.mapInArrow(_sets(k, docs.sparkSession.sparkContext.broadcast(_wanted(needed))), "doc long, items binary")
     x, y = sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), sets.select(F.col("doc").alias("b"), F.col("items").alias("y"))
     full = near.join(x, "a").join(y, "b").select("a", "b", "x", "y")
     return full.mapInArrow(_verify(percent), "a long, b long").distinct()
