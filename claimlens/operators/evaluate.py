@@ -29,3 +29,17 @@ def precision_and_lift(rows: DataFrame, score: str, tie: str, k: int = 10) -> Da
     lift = at.where(F.col("in") <= tenth).agg((F.avg(F.col("expected").cast("int")) / F.first("base")).alias("lift"))
     out = total.crossJoin(top).crossJoin(lift)
     return out.select(F.round("p", 6).alias("precision_at_10"), F.round("base", 6).alias("base_rate"), F.round("lift", 6).alias("lift"))
+
+
+def recall(expected: DataFrame, flags: DataFrame, key: str) -> DataFrame:
+    """Expected rows, those with any flag, and their share (null where none are expected)."""
+    hit = flags.select(key).distinct().withColumn("hit", F.lit(1))
+    n = expected.join(hit, key, "left").agg(F.count(F.lit(1)).alias("expected"), F.count("hit").alias("caught"))
+    return n.withColumn("recall", F.round(F.try_divide("caught", "expected"), 6))
+
+
+def pass_rate(rows: DataFrame, flags: DataFrame, case: list[str], key: str) -> DataFrame:
+    """Share of cases in which no row has a high flag."""
+    high = flags.where("severity = 'high'").select(key).distinct().withColumn("hit", F.lit(1))
+    cases = rows.join(high, key, "left").groupBy(*case).agg(F.count("hit").alias("high"))
+    return cases.agg(F.round(F.avg((F.col("high") == 0).cast("int")), 6).alias("pass_rate"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimlens.functions import similarity, text
-from claimlens.operators import queue, resolve, rules
+from claimlens.operators import intake, queue, resolve, rules
 from claimlens.plans.population import SQL, applications, population
 from claimlens.session import table
 
@@ -273,3 +273,81 @@ def j1_households(spark, sf_dir):
     apps = resolve.normalized(applications(spark, sf_dir)).withColumnRenamed("scope", "cycle")
     pairs = resolve.scored(resolve.candidates(apps), apps)
     return resolve.households(apps, resolve.surviving(pairs))
+
+
+def _out(c: str, test: str) -> str:
+    return f"case when not coalesce({test}, false) then '{c}' end"
+
+
+_CHECKS = [_out(c, f"length(trim({c})) between {a} and {b}") for c, (a, b) in intake.LENGTHS.items()] + [_out(c, f"{c} between {a} and {b}") for c, (a, b) in intake.RANGES.items()]
+_CHECKS.append(_out("guardian_phone", "regexp_matches(coalesce(trim(guardian_phone), ''), '^[0-9]{10}$|^$')"))
+
+
+@register(f"{_POP} select * from (select application_id, concat_ws(', ', {', '.join(_CHECKS)}) as invalid from pop) where invalid <> ''")
+def s2_invalid_fields(spark, sf_dir):
+    return intake.invalid_fields(applications(spark, sf_dir))
+
+
+@register(f"""{_POP} select application_id, row_number() over (partition by applicant_id, scope, lower(regexp_replace(trim(applicant_name), '\\s+', ' ', 'g'))
+ order by submitted_on, application_id) = 1 as admitted from pop""")
+def p2_one_per_person(spark, sf_dir):
+    return intake.one_per_person(applications(spark, sf_dir), ["submitted_on", "application_id"]).select("application_id", "admitted")
+
+
+@register("""select sha256(text) as sha256, min(doc_id) as first, count(*) as copies from documents where text is not null group by 1 having count(*) > 1""")
+def p3_same_content(spark, sf_dir):
+    return intake.same_content(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@register(f"{_POP} select scope, household, count(*) as member_count from pop group by scope, household having count(*) > 1")
+def g3_household_table(spark, sf_dir):
+    return intake.household_table(population(spark, sf_dir))
+
+
+@register(f"""{_POP} select application_id, submitted_on from pop where status = 'approved' and date_diff('day', submitted_on, (select max(submitted_on) from pop)) > 180
+ order by submitted_on, application_id limit 500""")
+def q14_purgeable(spark, sf_dir):
+    """Today is the last day on which an application came in."""
+    a = applications(spark, sf_dir)
+    today = a.agg(F.max("submitted_on")).first()[0]
+    return intake.purgeable(a, F.col("status") == "approved", "submitted_on", F.lit(today)).select("application_id", "submitted_on")
+
+
+@register(f"{_ALL} select application_id, rule from fl where application_id not in (select application_id from pop where status = 'approved')")
+def w6_withdrawal(spark, sf_dir):
+    pop = population(spark, sf_dir)
+    return intake.withdraw(rules.flags(rules.findings(pop)), pop.where("status = 'approved'")).select("application_id", "rule")
+
+
+@register("""with last as (select user_id, max((ts, event_id)) filter (event_type = 'signup') as reset from events group by user_id)
+select user_id, n as attempts, n >= 4 as dead_letter from (select e.user_id, count(*) filter (event_type = 'purchase' and (reset is null or (ts, event_id) > reset)) as n
+ from events e join last using (user_id) group by e.user_id)""")
+def w3_stage_log(spark, sf_dir):
+    """Purchases stand for failures and signups for resets."""
+    kind = F.col("event_type")
+    return intake.stage_log(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], kind == "purchase", kind == "signup")
+
+
+@register(f"""{_POP}, t as (select doc_id, lpad(cast(doc_id as varchar), 8, '0') as id, trim(text, ' ') as body from documents)
+select doc_id, p.application_id, length(body) as n from t left join pop p on p.application_id = t.id where length(body) between 10 and 2000""")
+def q20_tips(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("application_id"), F.col("text").alias("body"))
+    return intake.tips(d, applications(spark, sf_dir)).select("doc_id", "application_id", F.length("body").cast("long").alias("n"))
+
+
+@register(f"""{_ALL} select count(*) as expected, count(*) filter (application_id in (select application_id from fl)) as caught,
+ round(count(*) filter (application_id in (select application_id from fl)) / count(*), 6) as recall from pop where words_mismatch""")
+def e2_recall(spark, sf_dir):
+    from claimlens.operators.evaluate import recall
+
+    pop = population(spark, sf_dir)
+    return recall(pop.where("words_mismatch"), rules.flags(rules.findings(pop)), "application_id")
+
+
+@register(f"""{_ALL}, c as (select scope, household, count(*) filter (application_id in (select application_id from fl where severity = 'high')) as high from pop group by scope, household)
+select round(avg(cast(high = 0 as int)), 6) as pass_rate from c""")
+def e5_equity_pass_rate(spark, sf_dir):
+    from claimlens.operators.evaluate import pass_rate
+
+    pop = population(spark, sf_dir)
+    return pass_rate(pop, rules.flags(rules.findings(pop)), ["scope", "household"], "application_id")
