@@ -72,11 +72,12 @@ def names_agree(a: Column, b: Column, least: float = 0.25) -> Column:
 
     plain = name_similarity(without(a, a["tokens"]), without(b, b["tokens"]))
     bare = name_similarity(without(a, skeleton(a["tokens"])), without(b, skeleton(b["tokens"])))
-    return F.greatest(plain, bare) >= least
+    same = (F.size(a["tokens"]) > 0) & (a == b)  # aligns each part with itself
+    return F.when(same, True).otherwise(F.greatest(plain, bare) >= least)
 
 
 def district_agrees(a: Column, b: Column) -> Column:
-    return (alnum(a) == alnum(b)) | (trigram_similarity(a, b) >= 0.5)
+    return (alnum(a) == alnum(b)) | (trigram_similarity(alnum(a), alnum(b)) >= 0.5)
 
 
 def exceeds_tolerance(a: Column, b: Column, percent: int = 15, absolute: int = 12_000) -> Column:

@@ -24,6 +24,7 @@ ADDRESS_WORDS = {
     "clny": "colony", "col": "colony", "crs": "cross", "mn": "main", "ext": "extension", "extn": "extension", "opp": "opposite",
     "nr": "near", "behind": "behind", "no": "", "num": "", "door": "", "dno": "", "d.no": "",
 }
+EDITORS = r"(?i)photoshop|gimp|paint\.net|pixlr|canva|affinity|pixelmator|snapseed|picsart|lightroom|sejda|pdf.?escape|pdf.?filler"
 
 
 @lru_cache(maxsize=1)
@@ -92,12 +93,12 @@ def parse_income(c: Column) -> Column:
 
 _UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 _TENS = ", , twenty thirty forty fifty sixty seventy eighty ninety".split()
-NUMBER_WORDS = {w: i for i, w in enumerate(_UNITS)} | {w: 10 * i for i, w in enumerate(_TENS) if i > 1}
-GROUPS = {"thousand": 1000, "lakh": 100_000, "lakhs": 100_000, "crore": 10_000_000, "crores": 10_000_000}
+NUMBER_WORDS = {w: i for i, w in enumerate(_UNITS) if i} | {w: 10 * i for i, w in enumerate(_TENS) if i > 1}
+GROUPS = {"thousand": 1000, "lakh": 100_000, "crore": 10_000_000}
 
 
 def parse_income_words(c: Column) -> Column:
-    """Number words with thousand, lakh and crore closing a group; null where there are none."""
+    """Number words with thousand, lakh and crore closing a group; null where there are none or they give 0."""
     small = F.create_map(*[F.lit(x) for w, n in NUMBER_WORDS.items() for x in (w, float(n))])
     large = F.create_map(*[F.lit(x) for w, n in GROUPS.items() for x in (w, float(n))])
     zero = F.lit(0.0)
@@ -113,7 +114,7 @@ def parse_income_words(c: Column) -> Column:
         )
 
     words = _tokens(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z]+", " "))
-    return F.aggregate(words, start, step, lambda a: F.when(a["seen"], (a["total"] + a["part"]).cast("bigint")))
+    return F.aggregate(words, start, step, lambda a: F.when(a["seen"] & (a["total"] + a["part"] > 0), (a["total"] + a["part"]).cast("bigint")))
 
 
 def format_inr(c: Column) -> Column:
@@ -173,6 +174,17 @@ def digits(c: Column) -> Column:
     return F.regexp_replace(c, r"\D", "")
 
 
+def editing_software(tag: Column) -> Column:
+    """Whether a metadata tag names an editor; false for null."""
+    return F.coalesce(tag.rlike(EDITORS), F.lit(False))
+
+
+def verification_url(base: str, certificate: Column, district: Column) -> Column:
+    """A portal link with its two parameters percent-encoded."""
+    value = lambda c: F.url_encode(F.coalesce(c, F.lit("")))
+    return F.concat(F.lit(f"{base}?certificateNo="), value(certificate), F.lit("&district="), value(district))
+
+
 def skeleton(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.concat(F.left(t, F.lit(1)), F.regexp_replace(F.substring(t, 2, 1000), "[aeiouy]", "")))
 

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.functions.similarity import exceeds_tolerance
-from claimlens.functions.text import alnum, serial_tail
+from claimlens.functions.text import alnum, editing_software, serial_tail
+from claimlens.operators.documents import agreement
 from claimlens.session import materialize
 
 
@@ -135,9 +136,18 @@ def below_certificate(pop, rule):
     return _found(pop.where(_read("read_income", rule) & (c > d) & exceeds_tolerance(c, d)), rule, c - d)
 
 
+def _fails(pop: DataFrame, rule: Rule, fields: tuple[str, ...]) -> DataFrame:
+    """Rows on which a field, declared and read well enough, disagrees; evidence: those fields' names."""
+    bad = F.concat_ws(", ", *[F.when(_read(f"read_{f}", rule) & ~agreement(f), F.lit(f)) for f in fields])
+    return _found(pop.withColumn("bad", bad).where("bad <> ''"), rule, F.col("bad"))
+
+
+def certificate_holder(pop, rule):
+    return _fails(pop, rule, ("applicant_name", "guardian_name"))
+
+
 def certificate_number(pop, rule):
-    differ = alnum(F.col("certificate_id")) != alnum(F.col("read_certificate_id"))
-    return _found(pop.where(_read("read_certificate_id", rule) & differ), rule, F.col("read_certificate_id"))
+    return _fails(pop, rule, ("certificate_id",))
 
 
 def income_words(pop, rule):
@@ -145,12 +155,11 @@ def income_words(pop, rule):
 
 
 def certificate_details(pop, rule):
-    differ = F.col("read_family_size") != F.col("declared_family_size")
-    return _found(pop.where(_read("read_family_size", rule) & differ), rule, F.col("read_family_size"))
+    return _fails(pop, rule, ("district", "pincode", "family_size"))
 
 
 def tampered(pop, rule):
-    return _found(pop.where(F.col("software").rlike("(?i)photoshop|gimp|paint|canva|affinity|pixlr|illustrator|inkscape|acrobat|foxit|nitro|pdfescape|snapseed")), rule, F.col("software"))
+    return _found(pop.where(F.col("ela_applied").isNotNull() & editing_software(F.col("software"))), rule, F.col("software"))
 
 
 def government_record(pop, rule):
@@ -213,7 +222,7 @@ FUNCTIONS: dict[str, Callable] = {
     "ADDRESS_CLUSTER_UNRELATED": address_cluster, "ISSUING_OFFICE_MISMATCH": issuing_office,
     "DUPLICATE_CERTIFICATE_ID": duplicate_certificate, "FAMILY_SIZE_CONTRADICTION": family_size,
     "SHARED_CONTACT_UNRELATED_HOUSEHOLDS": shared_contact, "DEADLINE_PROXIMITY": deadline,
-    "DECLARED_INCOME_BELOW_CERTIFICATE": below_certificate, "CERTIFICATE_NUMBER_MISMATCH": certificate_number,
+    "DECLARED_INCOME_BELOW_CERTIFICATE": below_certificate, "CERTIFICATE_HOLDER_MISMATCH": certificate_holder, "CERTIFICATE_NUMBER_MISMATCH": certificate_number,
     "CERTIFICATE_INCOME_WORDS_MISMATCH": income_words, "CERTIFICATE_DETAILS_MISMATCH": certificate_details,
     "DOCUMENT_TAMPER_SIGNAL": tampered, "GOVERNMENT_RECORD_MISMATCH": government_record,
     "DOCUMENT_NOT_A_CERTIFICATE": not_a_certificate, "INCOME_THRESHOLD_BUNCHING": bunching,
@@ -263,6 +272,13 @@ def scores(pop: DataFrame, found: DataFrame, score_from: str = "findings") -> Da
     return pop.select("application_id").join(total, "application_id", "left").select("application_id", F.coalesce("s", F.lit(0)).alias("risk_score"))
 
 
+def peak_severity(found: DataFrame) -> DataFrame:
+    """The highest severity among each application's findings."""
+    order = F.array(F.lit("low"), F.lit("medium"), F.lit("high"))
+    top = found.groupBy("application_id").agg(F.max(F.array_position(order, _of_rule("severity"))).alias("p"))
+    return top.select("application_id", F.get(order, (F.col("p") - 1).cast("int")).alias("severity"))
+
+
 def change_set(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Rows to insert, update or delete to turn old into new, with the new values."""
     o = old.select(*keys, F.struct(*values).alias("o"))

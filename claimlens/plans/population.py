@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from claimlens.session import table
 
 _WORDS = "".join(w.ljust(6)[:6] for w in "Ravi Kumar Meena Suresh Latha Murthy Reddy Sankar Faruk Gowda Swamy Deepa Mohan Iqbal Thomas Radha".split())
@@ -29,12 +31,18 @@ select lpad(cast(o_orderkey as string), 8, '0') as application_id, cast(year(o_o
   case o_orderstatus when 'O' then 'submitted' when 'F' then 'approved' else 'ready_for_review' end as status,
   cast(o_orderdate as date) as submitted_on,
   case when o_orderkey % 5 = 1 then null else cast(floor(o_totalprice) as bigint) + 30000 * (o_orderkey % 4) end as read_income,
-  cast(70 + 10 * (o_orderkey % 3) as double) / 100 as read_confidence,
+  case when o_orderkey % 53 = 0 then null else cast(70 + 10 * (o_orderkey % 3) as double) / 100 end as read_confidence,
   case when o_orderkey % 19 = 0 then 'TN/2025/999' when o_orderkey % 3 = 0 then null else 'tn 2025 ' || lpad(cast(o_orderkey as string), 6, '0') end as read_certificate_id,
   1 + (o_orderkey + o_orderkey % 23) % 9 as read_family_size, o_orderkey % 29 = 0 as words_mismatch,
   case when o_orderkey % 31 = 0 then 'Adobe Photoshop 2024' when o_orderkey % 31 = 1 then 'Scanner' else null end as software,
   case when o_orderkey % 37 = 0 then 'mismatch' when o_orderkey % 37 = 1 then 'match' else null end as verification,
-  o_orderkey % 120 as word_count, o_orderkey % 9 as fields_found
+  o_orderkey % 120 as word_count, o_orderkey % 9 as fields_found,
+  case when o_orderkey % 41 = 0 then 'Nowhere' when o_orderkey % 41 = 1 then null else upper('dist. ' || {_word(house)}) end as read_district,
+  cast(600000 + o_custkey % 900 as string) as pincode,
+  case when o_orderkey % 43 = 0 then '123456' when o_orderkey % 43 = 1 then null else cast(600000 + o_custkey % 90 as string) end as read_pincode,
+  case when o_orderkey % 47 = 0 then 'Wrong Person' when o_orderkey % 47 = 1 then null else upper({_word('o_orderkey')} || ' ' || {_word('o_custkey')}) end as read_applicant_name,
+  cast(null as string) as read_guardian_name,
+  case when o_orderkey % 59 = 0 then null else o_orderkey % 59 <> 1 end as ela_applied, cast(o_orderkey % 100 as double) / 100 as tamper_score
 from {orders}"""
 
 
@@ -46,6 +54,9 @@ from ({applications}) as a"""
 
 
 SQL = _population(_applications("orders"))
+_CASE = "cast(2015 + cast(applicant_id as int) % 10 as string)"
+#: The same with ten cases instead of years; each is resolved alone.
+CASE_SQL = _population(f"select * replace ({_CASE} as scope) from ({_applications('orders')})")
 
 
 def applications(spark, sf_dir):
@@ -54,3 +65,8 @@ def applications(spark, sf_dir):
 
 def population(spark, sf_dir):
     return spark.sql(_population(_applications("{orders}")), orders=table(spark, sf_dir, "orders"))
+
+
+def cases(spark, sf_dir):
+    """The population with a case in place of the scope."""
+    return spark.sql(_population("{apps}"), apps=applications(spark, sf_dir).withColumn("scope", F.expr(_CASE)))

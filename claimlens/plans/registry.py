@@ -40,6 +40,21 @@ def _clustered(keys: str, where: str, least: int, n: str = "household") -> str:
     return f"from (select * from pop where {where}) p join (select scope, {keys}, count(distinct {n}) as n from pop where {where} group by scope, {keys} having count(distinct {n}) >= {least}) g on {on}"
 
 
+def _alnum(c: str) -> str:
+    return f"regexp_replace(upper({c}), '[^A-Z0-9]', '', 'g')"
+
+
+def _grams(c: str) -> str:
+    return f"list_distinct([substr('  ' || lower({_alnum(c)}) || ' ', i, 3) for i in range(1, length({_alnum(c)}) + 2)])"
+
+
+_BOTH = f"len(list_intersect({_grams('district')}, {_grams('read_district')}))"
+AGREE = {
+    "certificate_id": f"({_alnum('certificate_id')} = {_alnum('read_certificate_id')})",
+    "district": f"({_BOTH} >= 0.5 * (len({_grams('district')}) + len({_grams('read_district')}) - {_BOTH}))",
+    "pincode": "(left(pincode, 3) = left(read_pincode, 3))",
+    "family_size": "(declared_family_size = read_family_size)",
+}
 RULE_SQL = {
     "SIBLING_INCOME_CONTRADICTION": ("min(q.application_id)", f"from pop p join pop q on p.scope = q.scope and p.household = q.household and {_tolerance('p.declared_annual_income', 'q.declared_annual_income')} group by p.application_id"),
     "GUARDIAN_INCOME_CONTRADICTION": ("min(q.application_id)", f"from pop p join pop q on p.scope = q.scope and p.guardian_key = q.guardian_key and p.household <> q.household and {_tolerance('p.declared_annual_income', 'q.declared_annual_income')} group by p.application_id"),
@@ -50,10 +65,11 @@ RULE_SQL = {
     "SHARED_CONTACT_UNRELATED_HOUSEHOLDS": ("g.n", _clustered("phone_key", "phone_key is not null", 2)),
     "DEADLINE_PROXIMITY": ("d", "from (select *, date_diff('day', certificate_issue_date, make_date(cast(scope as int), 7, 31)) as d from pop) p where d between 0 and 14"),
     "DECLARED_INCOME_BELOW_CERTIFICATE": ("read_income - declared_annual_income", f"from pop p where read_confidence >= 0.8 and read_income > declared_annual_income and {_tolerance('read_income', 'declared_annual_income')}"),
-    "CERTIFICATE_NUMBER_MISMATCH": ("read_certificate_id", "from pop p where read_confidence >= 0.8 and regexp_replace(upper(certificate_id), '[^A-Z0-9]', '', 'g') <> regexp_replace(upper(read_certificate_id), '[^A-Z0-9]', '', 'g')"),
+    "CERTIFICATE_HOLDER_MISMATCH": ("'applicant_name'", "from pop p where read_confidence >= 0.8 and read_applicant_name <> upper(applicant_name)"),
+    "CERTIFICATE_NUMBER_MISMATCH": ("'certificate_id'", f"from pop p where read_confidence >= 0.8 and {AGREE['certificate_id']} = false"),
     "CERTIFICATE_INCOME_WORDS_MISMATCH": ("'words'", "from pop p where words_mismatch and read_confidence >= 0.8"),
-    "CERTIFICATE_DETAILS_MISMATCH": ("read_family_size", "from pop p where read_confidence >= 0.8 and read_family_size <> declared_family_size"),
-    "DOCUMENT_TAMPER_SIGNAL": ("software", "from pop p where software ilike '%photoshop%'"),
+    "CERTIFICATE_DETAILS_MISMATCH": ("bad", f"from (select *, concat_ws(', ', {', '.join(f"case when not {AGREE[k]} then '{k}' end" for k in ('district', 'pincode', 'family_size'))}) as bad from pop where read_confidence >= 0.8) p where bad <> ''"),
+    "DOCUMENT_TAMPER_SIGNAL": ("software", "from pop p where software ilike '%photoshop%' and ela_applied is not null"),
     "GOVERNMENT_RECORD_MISMATCH": ("verification", "from pop p where verification = 'mismatch'"),
     "DOCUMENT_NOT_A_CERTIFICATE": ("fields_found", "from pop p where word_count >= 40 and read_confidence >= 0.8 and fields_found < 3"),
     "INCOME_THRESHOLD_BUNCHING": ("n", """from pop p join (select scope, count(*) filter (declared_annual_income > 230000 and declared_annual_income <= 250000) as n,
