@@ -26,11 +26,17 @@ def _declared(field: str) -> Column:
     return F.col("declared_family_size" if field == "family_size" else field).cast("string")
 
 
+def named(pop: DataFrame) -> DataFrame:
+    """Adds the normal forms of both names, declared and read, as columns that agreement() refers to."""
+    names = [c for f in FIELDS[:2] for c in (f, f"read_{f}")]
+    return pop.withColumns({f"norm_{c}": normalize_name(F.col(c)) for c in names})
+
+
 def agreement(field: str) -> Column:
-    """Whether the declared and the read value of a field agree; null if either is missing."""
+    """Whether the declared and the read value of a field agree; null if either is missing. Names need named()."""
     a, b = _declared(field), F.col(f"read_{field}").cast("string")
     if field in ("applicant_name", "guardian_name"):
-        return F.when(a.isNotNull() & b.isNotNull(), names_agree(normalize_name(a), normalize_name(b)))
+        return F.when(a.isNotNull() & b.isNotNull(), names_agree(F.col(f"norm_{field}"), F.col(f"norm_read_{field}")))
     if field == "certificate_id":
         return alnum(a) == alnum(b)
     if field == "district":
@@ -53,7 +59,7 @@ def _long(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 def field_comparison(pop: DataFrame, least: float = 0.8) -> DataFrame:
     """(application_id, check, status) of the six compared fields."""
-    return _long(pop, {f: _compared(f, least) for f in FIELDS})
+    return _long(named(pop), {f: _compared(f, least) for f in FIELDS})
 
 
 def identity_status(words: int = 40, least: float = 0.8, fields: int = 3) -> Column:
@@ -90,7 +96,7 @@ def checklist(pop: DataFrame, flags: DataFrame, stages: DataFrame, threshold: fl
     fired = flags.groupBy("application_id").agg(F.collect_set("rule").alias("fired"))
     runs = stages.groupBy("application_id").agg(F.map_from_entries(F.collect_list(F.struct("stage", "status"))).alias("runs"))
     sizes = pop.groupBy("scope", "household").agg(F.count(F.lit(1)).alias("members"))
-    all_ = pop.join(sizes, ["scope", "household"]).join(fired, "application_id", "left").join(runs, "application_id", "left")
+    all_ = named(pop).join(sizes, ["scope", "household"]).join(fired, "application_id", "left").join(runs, "application_id", "left")
     run = lambda s: F.try_element_at("runs", F.lit(s))
     checks = {f"stage_{s}": F.when(run(s) == "succeeded", "pass").when(run(s) == "dead_lettered", "fail").otherwise("pending") for s in STAGES}
     checks |= {f: _compared(f, 0.8) for f in FIELDS}

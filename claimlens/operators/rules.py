@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from claimlens.functions.similarity import exceeds_tolerance
 from claimlens.functions.text import alnum, editing_software, serial_tail
-from claimlens.operators.documents import agreement
+from claimlens.operators.documents import agreement, named
 from claimlens.session import materialize
 
 
@@ -143,7 +143,7 @@ def _fails(pop: DataFrame, rule: Rule, fields: tuple[str, ...]) -> DataFrame:
 
 
 def certificate_holder(pop, rule):
-    return _fails(pop, rule, ("applicant_name", "guardian_name"))
+    return _fails(named(pop), rule, ("applicant_name", "guardian_name"))
 
 
 def certificate_number(pop, rule):
