@@ -197,10 +197,15 @@ def applicant_stage(status: Column) -> Column:
     return F.when(status == "submitted", "submitted").when(status.isin("approved", "rejected", "trashed"), "decided").otherwise("under_review")
 
 
-def csv_cell(c: Column) -> Column:
-    """A cell that no spreadsheet reads as a formula; numbers stay as they are. RFC 4180 quotes."""
+def safe_cell(c: Column) -> Column:
+    """A value that no spreadsheet reads as a formula; numbers stay as they are."""
     s = c.cast("string")
-    safe = F.when(s.rlike("^[=+\\-@\\t\\r]") & ~s.rlike(r"^-?\d+(\.\d+)?$"), F.concat(F.lit("'"), s)).otherwise(s)
+    return F.when(s.rlike("^[=+\\-@\\t\\r]") & ~s.rlike(r"^-?\d+(\.\d+)?$"), F.concat(F.lit("'"), s)).otherwise(s)
+
+
+def csv_cell(c: Column) -> Column:
+    """A safe cell with RFC 4180 quotes."""
+    safe = safe_cell(c)
     quoted = F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(safe.rlike('[",\\n\\r]'), quoted).otherwise(F.coalesce(safe, F.lit("")))
 

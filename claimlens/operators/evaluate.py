@@ -43,3 +43,22 @@ def pass_rate(rows: DataFrame, flags: DataFrame, case: list[str], key: str) -> D
     high = flags.where("severity = 'high'").select(key).distinct().withColumn("hit", F.lit(1))
     cases = rows.join(high, key, "left").groupBy(*case).agg(F.count("hit").alias("high"))
     return cases.agg(F.round(F.avg((F.col("high") == 0).cast("int")), 6).alias("pass_rate"))
+
+
+def field_accuracy(graded: DataFrame) -> DataFrame:
+    """From (check, status): how many of each field were graded and right; skipped ones are not graded."""
+    done, right = F.count_if(F.col("status") != "skipped"), F.count_if(F.col("status") == "pass")
+    return graded.groupBy("check").agg(done.alias("graded"), right.alias("correct")).withColumn("accuracy", F.round(F.try_divide("correct", "graded"), 6))
+
+
+def expectations(expected: DataFrame, flags: DataFrame, key: str) -> DataFrame:
+    """Expected keys without any flag."""
+    return expected.select(key).join(flags.select(key), key, "left_anti")
+
+
+def retired(cases: DataFrame, caught: DataFrame, log: DataFrame) -> DataFrame:
+    """Rows of log (case_id, caught) that name no case or whose caught differs from the run's."""
+    now = cases.select("case_id", F.lit(True).alias("known")).join(caught.select("case_id", F.lit(True).alias("hit")).distinct(), "case_id", "left")
+    both = log.join(now, "case_id", "left")
+    wrong = F.when(F.col("known").isNull(), "unknown").when(F.col("caught") != F.coalesce("hit", F.lit(False)), "differs")
+    return both.withColumn("wrong", wrong).where("wrong is not null").select("case_id", "wrong")
