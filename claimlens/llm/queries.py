@@ -31,6 +31,10 @@ def op3_substrings(spark, sf_dir):
     return substrings.op3_substrings(table(spark, sf_dir, "documents"))
 
 
+def op3_kept_spans(spark, sf_dir):
+    return substrings.op3_kept_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark, sf_dir):
     return ngram_join.op4_ngram_join(table(spark, sf_dir, "documents"))
 
@@ -62,9 +66,9 @@ def op10_quality_model(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_mixing, op2_bpe, op3_substrings, op4_ngram_join, op5_lz_fingerprint,
+        op1_mixing, op2_bpe, op3_substrings, op3_kept_spans, op4_ngram_join, op5_lz_fingerprint,
         op6_pii, op7_token_files, op8_quality_rules, op9_token_counts, op10_quality_model,
     )
 }
 
-ORACLE = {"op3_substrings": substrings.oracle(), "op8_quality_rules": quality_rules.oracle()}
+ORACLE = {"op3_substrings": substrings.oracle(), "op3_kept_spans": substrings.kept_oracle(), "op8_quality_rules": quality_rules.oracle()}

@@ -18,6 +18,10 @@ one of them keeps its units; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,32 +51,59 @@ def removed(docs: DataFrame) -> DataFrame:
     return again.where((F.col("row") != F.col("mr")) | (F.col("pos") != F.col("mp"))).select("row", "pos")
 
 
-def op3_substrings(docs: DataFrame) -> DataFrame:
-    """doc_id, n_units, n_removed, kept_chars for every row of docs (doc_id, text)."""
+_REST = "doc_id long, n_units long, n_removed long, kept_chars long, offsets array<struct<start:int,end:int>>, text string, text_sha256 string"
+
+
+def _rest(with_text: bool):
+    """What stays of (doc_id, text, gone): places by one running sum over the lines."""
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc_id, text, gone in zip(*(c.to_pylist() for c in b.columns)):
+                lines, gone, at, kept, offsets = [] if text is None else text.split("\n"), set(gone or ()), 0, [], []
+                for i, line in enumerate(lines):
+                    if i not in gone:
+                        kept.append(line)
+                        offsets.append({"start": at, "end": at + len(line)})
+                    at += len(line) + 1
+                left = None if text is None else "\n".join(kept)
+                sha = None if text is None else hashlib.sha256(left.encode("utf-8", "surrogatepass")).hexdigest()
+                out.append((doc_id, len(lines), len(gone), sum(map(len, kept)), offsets, left if with_text else None, sha))
+            columns = zip(*out) if out else [()] * len(_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES.values())], names=list(_TYPES))
+
+    return rest
+
+
+_TYPES = {
+    "doc_id": pa.int64(), "n_units": pa.int64(), "n_removed": pa.int64(), "kept_chars": pa.int64(),
+    "offsets": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), "text": pa.string(), "text_sha256": pa.string(),
+}
+
+
+def rest(docs: DataFrame, with_text: bool) -> DataFrame:
+    """What stays of every row of docs (doc_id, text): counts, offsets, text if asked for, and its digest."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
-    docs = materialize(docs.withColumn("lines", F.transform(F.split("text", "\n", -1), lambda x: F.length(x))), "docs")
+    docs = materialize(docs, "docs")
     gone = removed(docs).groupBy("row").agg(F.collect_list("pos").alias("gone"))
-    out = docs.select("row", "doc_id", "lines").join(gone, "row", "left")
-    none = F.array().cast("array<int>")
-    kept = F.filter(F.transform(F.coalesce("lines", none), lambda x, i: F.when(~F.array_contains(F.coalesce("gone", none), i), x)), lambda x: x.isNotNull())
-    total = F.aggregate(kept, F.lit(0).cast("long"), lambda s, x: s + x)
-    return out.select(
-        "doc_id", F.size(F.coalesce("lines", none)).cast("long").alias("n_units"),
-        F.size(F.coalesce("gone", none)).cast("long").alias("n_removed"), total.alias("kept_chars"),
-    )
+    return docs.join(gone, "row", "left").select("doc_id", "text", "gone").mapInArrow(_rest(with_text), _REST)
+
+
+def op3_substrings(docs: DataFrame) -> DataFrame:
+    """doc_id, n_units, n_removed, kept_chars for every row of docs (doc_id, text): the counts of op3_kept_spans."""
+    return rest(docs, False).select("doc_id", "n_units", "n_removed", "kept_chars")
+
+
+def op3_kept_spans(docs: DataFrame) -> DataFrame:
+    """The counts, kept (start:end of every unit that stays, in the original) and text_sha256 (of what stays) for every row of docs."""
+    spans = F.array_join(F.transform("offsets", lambda p: F.concat_ws(":", p["start"], p["end"])), ",")
+    return rest(docs, False).select("doc_id", "n_units", "n_removed", "kept_chars", spans.alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, text without the removed units, and the original offsets (start, end) of those that stay."""
-    docs = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id()), "docs")
-    gone = removed(docs).groupBy("row").agg(F.collect_list("pos").alias("gone"))
-    none = F.array().cast("array<int>")
-    lines = F.split("text", "\n", -1)
-    sizes = F.transform(lines, lambda x: F.length(x))
-    start = lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda s, x: s + x + 1)
-    pieces = F.transform(lines, lambda x, i: F.struct(start(i).alias("start"), (start(i) + F.length(x)).alias("end"), x.alias("unit"), i.alias("i")))
-    out = docs.join(gone, "row", "left").withColumn("kept", F.filter(pieces, lambda p: ~F.array_contains(F.coalesce("gone", none), p["i"])))
-    return out.select("doc_id", F.array_join("kept.unit", "\n").alias("text"), F.transform("kept", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))).alias("offsets"))
+    return rest(docs, True).select("doc_id", "text", "offsets")
 
 
 def oracle() -> str:
@@ -87,3 +118,21 @@ r as (select rid, i, length(unit) as size,
 select d.doc_id, count(r.i)::bigint as n_units, count_if(coalesce(gone, false))::bigint as n_removed,
        coalesce(sum(case when not gone then size end), 0)::bigint as kept_chars
 from d left join r on d.rid = r.rid group by d.rid, d.doc_id"""
+
+
+def kept_oracle() -> str:
+    """As oracle, with the places and the digest of what stays."""
+    word = r"[^\x20\x09-\x0D]+"
+    return f"""
+with d as (select row_number() over () as rid, doc_id, text, string_split(text, chr(10)) as ls from documents),
+u as (select rid, doc_id, i, ls[i] as unit from (select rid, doc_id, ls, unnest(range(1, len(ls) + 1)) as i from d)),
+n as (select rid, doc_id, i, unit, len(regexp_extract_all(unit, '{word}')) as w,
+             md5(lower(trim(regexp_replace(unit, '[\\x20\\x09-\\x0D]+', ' ', 'g')))) as g,
+             sum(length(unit) + 1) over (partition by rid order by i) as after from u),
+r as (select rid, i, unit, length(unit) as size, after - length(unit) - 1 as a, after - 1 as b,
+             w >= {LEAST_WORDS} and row_number() over (partition by w >= {LEAST_WORDS}, g order by doc_id nulls last, rid, i) > 1 as gone from n)
+select d.doc_id, count(r.i)::bigint as n_units, count_if(coalesce(gone, false))::bigint as n_removed,
+       coalesce(sum(case when not gone then size end), 0)::bigint as kept_chars,
+       coalesce(string_agg(a || ':' || b, ',' order by i) filter (not gone), '') as kept,
+       case when any_value(d.text) is not null then sha256(coalesce(string_agg(unit, chr(10) order by i) filter (not gone), '')) end as text_sha256
+from d left join r on d.rid = r.rid group by d.rid, d.doc_id"""

@@ -118,6 +118,22 @@ def test_substrings(docs, none):
     assert substrings.op3_substrings(none).count() == 0
 
 
+def test_kept_spans(spark, docs, none):
+    """Which occurrence stays, and where: the query against its SQL and by hand."""
+    documents = docs.toPandas()  # noqa: F841
+    want = duckdb.sql(substrings.kept_oracle()).df().sort_values("doc_id").reset_index(drop=True)
+    got = substrings.op3_kept_spans(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert sorted(got.columns) == sorted(want.columns) and got.n_removed.sum() > 0
+    assert want[got.columns].astype(object).where(want[got.columns].notna(), None).equals(got.astype(object).where(got.notna(), None))
+    line = "one two three four five six seven eight"
+    few = spark.createDataFrame([(2, f"é\n{line}\nend"), (1, f"{line}\n\n{line}"), (3, None)], "doc_id long, text string")
+    rest = {1: (f"{line}\n", "0:39,40:40"), 2: ("é\nend", "0:1,42:45")}
+    out = by_id(substrings.op3_kept_spans(few))
+    assert {i: (out[i]["text_sha256"], out[i]["kept"]) for i in rest} == {i: (hashlib.sha256(t.encode()).hexdigest(), k) for i, (t, k) in rest.items()}
+    assert (out[3]["text_sha256"], out[3]["kept"], out[3]["n_units"]) == (None, "", 0)
+    assert substrings.op3_kept_spans(none).count() == 0
+
+
 def groups(rows, k, percent):
     sets = {}
     for i, t, _ in rows:
