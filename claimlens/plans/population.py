@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimlens.session import table
+from claimlens.operators import resolve
+from claimlens.session import materialize, table
 
 _WORDS = "".join(w.ljust(6)[:6] for w in "Ravi Kumar Meena Suresh Latha Murthy Reddy Sankar Faruk Gowda Swamy Deepa Mohan Iqbal Thomas Radha".split())
 
@@ -70,3 +71,19 @@ def population(spark, sf_dir):
 def cases(spark, sf_dir):
     """The population with a case in place of the scope."""
     return spark.sql(_population("{apps}"), apps=applications(spark, sf_dir).withColumn("scope", F.expr(_CASE)))
+
+
+def resolved(apps):
+    """(population, scored pairs) of applications: households are components of the links that fuzzy
+    resolution finds within a scope, keys are normal forms."""
+    apps = materialize(resolve.normalized(apps), "normalized")
+    pairs = materialize(resolve.scored(resolve.candidates(apps, "scope"), apps, "scope"), "scored")
+    return with_households(apps, resolve.households(apps, resolve.surviving(pairs))), pairs
+
+
+def with_households(apps, households):
+    """The population from normalized applications and (application_id, household)."""
+    phone = F.col("phone").alias("phone_key")
+    keys = F.col("guardian.canonical").alias("guardian_key"), F.col("address").alias("address_key"), phone
+    pop = apps.join(households, "application_id").select("*", *keys)
+    return pop.drop("applicant", "guardian", "address", "phone", "address_grams")

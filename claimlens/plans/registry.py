@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from claimlens.functions import similarity, text
 from claimlens.operators import intake, queue, resolve, rules
-from claimlens.plans.population import SQL, applications, population
-from claimlens.session import table
+from claimlens.plans.population import SQL, applications, population, resolved
+from claimlens.session import materialize, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -145,6 +145,28 @@ def q1_review_queue(spark, sf_dir):
     return queue.page(pop, rules.flags(found), rules.scores(pop, found), status="submitted", limit=100)
 
 
+@register()
+def r22_resolved_findings(spark, sf_dir):
+    """r22 over resolved households and normal keys, with the rule on scored pairs."""
+    pop, pairs = resolved(applications(spark, sf_dir))
+    return rules.findings(pop, pairs=pairs)
+
+
+@register()
+def r23_resolved_scores(spark, sf_dir):
+    pop, pairs = resolved(applications(spark, sf_dir))
+    pop = materialize(pop, "resolved")
+    return rules.scores(pop, rules.findings(pop, pairs=pairs))
+
+
+@register()
+def q1_resolved_queue(spark, sf_dir):
+    pop, pairs = resolved(applications(spark, sf_dir))
+    pop = materialize(pop, "resolved")
+    found = rules.findings(pop, pairs=pairs)
+    return queue.page(pop, rules.flags(found), rules.scores(pop, found), status="submitted", limit=100)
+
+
 @register(f"{_ALL} select rule, count(*) as n from fl group by rule")
 def q2_fired_rules(spark, sf_dir):
     return rules.flags(rules.findings(population(spark, sf_dir))).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
