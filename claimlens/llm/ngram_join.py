@@ -29,8 +29,12 @@ on the whole sets. Exact copies are put together by a digest of their set first.
 Defined cases: null or empty texts and texts without words have an empty set and
 are linked with nothing; texts of fewer words than a shingle have one element,
 the whole sequence; rows with one doc_id count as one document whose component
-is shared; rows with null doc_id have no component; an empty table gives an
-empty result.
+is shared, and which is linked with whatever one of its texts is linked with;
+rows with null doc_id have no component; an empty table gives an empty result.
+
+A set goes by the doc_id of its row where no other row has that doc_id, else by
+64 bits of its digest, so that different texts of one doc_id stay apart until
+all links are found.
 """
 
 from __future__ import annotations
@@ -158,9 +162,20 @@ def sketch(found: np.ndarray) -> np.ndarray:
 _ROW = "key long, doc long, tag int, n long, digest binary, sketch array<long>"
 
 
-def _rows(k: int, percent: int):
+def _bit(doc_id: int) -> int:
+    return doc_id * 0x9E3779B97F4A7C15 % (1 << 63) % BITS
+
+
+def _name(mark: bytes) -> int:
+    return int.from_bytes(mark[:8], "big", signed=True)
+
+
+def _rows(k: int, percent: int, repeated):
+    """A first row for each document (key: its set's bits, tag: 1 if it goes by them) and one for each bucket, with the set's name."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
+        often = repeated.value if repeated else None
         for b in (whole.slice(at, SOME) for whole in batches for at in range(0, whole.num_rows, SOME)):
             key, doc, tag, n, digest, bits = [], [], [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -173,33 +188,50 @@ def _rows(k: int, percent: int):
                         sent.add(mark)
                     own, own_tags = keys(found, percent)
                     made, tags = np.concatenate([made, own.view(np.int64)]), np.concatenate([tags, own_tags])
-                made[0] = int.from_bytes(mark[:8], "big", signed=True) if mark else (doc_id or 0)
+                made[0] = _name(mark) if mark else (doc_id or 0)
+                tags[0] = bool(often and mark and doc_id is not None and is_set(often, _bit(doc_id)))
                 key.append(made)
                 tag.append(tags)
-                doc.append((doc_id, len(made)))
+                doc.append((doc_id, _name(mark) if tags[0] else doc_id, len(made)))
                 n.append(len(found))
                 digest.append(mark)
                 bits.append(sketch(found) if new else None)
             if not key:
                 continue
-            counts = np.array([c for _, c in doc])
+            counts = np.array([c for *_, c in doc])
             total, first = int(counts.sum()), np.concatenate([[0], np.cumsum(counts)[:-1]])
             which = np.full(total, -1)
             which[first] = np.arange(len(counts))
             take = pa.array(which, mask=which < 0)
-            ids = pa.array([d for d, _ in doc], pa.int64()).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+            # Names of all sets, then doc_ids: a document's first row has the latter.
+            at = np.repeat(np.arange(len(counts)), counts)
+            at[first] += len(counts)
+            ids = pa.array([*(x for _, x, _ in doc), *(d for d, *_ in doc)], pa.int64()).take(pa.array(at))
             arrays = [pa.array(np.concatenate(key)), ids, pa.array(np.concatenate(tag).astype(np.int32)), *(pa.array(x, t).take(take) for x, t in ((n, pa.int64()), (digest, pa.binary()), (bits, pa.list_(pa.int64()))))]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc", "tag", "n", "digest", "sketch"])
 
     return rows
 
 
-def _sets(k: int, wanted):
+def _sets(k: int, wanted, repeated):
+    """(doc, items): the sets wanted, by name; those of a repeated doc_id are known by name only when made."""
+
     def sets(batches):
-        bits, rng = wanted.value, BITS
+        bits, often, sent = wanted.value, repeated.value if repeated else None, set()
         for b in batches:
-            got = [(d, shingles(t, k)) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if d is not None and is_set(bits, d * 0x9E3779B97F4A7C15 % (1 << 63) % rng)]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([s.tobytes() for _, s in got], pa.binary())], names=["doc", "items"])
+            got = []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if d is None:
+                    continue
+                if often and is_set(often, _bit(d)):
+                    items = shingles(t, k).tobytes()
+                    d = _name(hashlib.blake2b(items, digest_size=16).digest())
+                    if items and d not in sent and is_set(bits, _bit(d)):
+                        sent.add(d)
+                        got.append((d, items))
+                elif is_set(bits, _bit(d)):
+                    got.append((d, shingles(t, k).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], names=["doc", "items"])
 
     return sets
 
@@ -235,14 +267,16 @@ def _verify(percent: int):
 def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc, n) for every row of docs (doc_id, text), and (node, component) for documents with links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = docs.mapInArrow(_rows(k, percent), _ROW)
+    often = materialize(_repeated(docs), "repeated")
+    repeated = None if often.isEmpty() else docs.sparkSession.sparkContext.broadcast(_wanted(often))
+    made = docs.mapInArrow(_rows(k, percent, repeated), _ROW)
     w = Window.partitionBy("key")
     is_doc = F.col("n").isNotNull()
     doc = F.when(~is_doc, F.col("doc"))
     places = made.withColumns({"low": F.min(doc).over(w), "high": F.max(doc).over(w), "members": F.count(doc).over(w)})
     places = places.withColumn("first", F.min(F.when(~is_doc, F.struct(F.xxhash64("doc").alias("h"), "doc"))).over(w)["doc"])
     places = materialize(places.where(is_doc | (F.col("low") < F.col("high"))).drop("low", "high"), "jaccard")
-    slim = places.where(is_doc).select("doc", "n", "digest", "sketch")
+    slim = places.where(is_doc).select("doc", "n", "digest", "sketch", F.when(F.col("tag") == 1, F.col("key")).otherwise(F.col("doc")).alias("name"))
     small = places.where(~is_doc & (F.col("members") <= LARGE)).select("key", "doc", "first")
     large = places.where(~is_doc & (F.col("members") > LARGE))
     # A document with room for all its large buckets of a band leaves them: its partners share a smaller one.
@@ -253,8 +287,8 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     buckets = small.unionByName(large)
 
     named = slim.where("digest is not null and doc is not null")
-    of_digest = named.groupBy("digest").agg(F.min("doc").alias("rep"))
-    rep = materialize(named.select("doc", "digest").join(of_digest, "digest").select("doc", "rep").distinct(), "copies")
+    of_digest = named.groupBy("digest").agg(F.min("name").alias("rep"))
+    rep = materialize(named.select(F.col("name").alias("doc"), "digest").join(of_digest, "digest").select("doc", "rep").distinct(), "copies")
     size = materialize(
         named.where("sketch is not null").join(of_digest, "digest").groupBy("rep").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches"
     )
@@ -264,7 +298,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     best = best.groupBy("doc").agg(F.max(F.struct("c", "first")).alias("m")).select("doc", F.col("m.first").alias("other"))
     pairs = _of_reps(best, rep)
     tested = materialize(pairs, "pairs")
-    links = materialize(_checked(tested, size, docs, k, percent), "links")
+    links = materialize(_checked(tested, size, docs, k, percent, repeated), "links")
 
     def components(links: DataFrame) -> DataFrame:
         every = links.select("a", "b").unionByName(rep.select(F.col("doc").alias("a"), F.col("rep").alias("b")))
@@ -286,14 +320,24 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
         more = materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue
-        found = materialize(_checked(more, size, docs, k, percent), "links")
+        found = materialize(_checked(more, size, docs, k, percent, repeated), "links")
         tested = tested.unionByName(more)
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = components(links)
+    if repeated:
+        # From names back to documents: those of a component hang on its least doc_id, and a document joins its texts' components.
+        of = named.select("doc", "name").distinct().join(labels.withColumnRenamed("node", "name"), "name").select("doc", "component").distinct()
+        of = materialize(of.join(of.groupBy("component").agg(F.min("doc").alias("least")), "component").select("doc", "least"), "texts")
+        labels = materialize(connected_components(of, "doc", "least"), "components")
     return slim.select("doc", "n"), labels
 
 
+def _repeated(docs: DataFrame) -> DataFrame:
+    """(doc_id) of the ids that several rows have."""
+    return docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
+
+
 def _across(at: DataFrame, size: DataFrame | None = None, percent: int = 0) -> DataFrame:
     """Pairs (a, b) of different components in a bucket; with size, only those that sizes and sketches allow,
     a condition of the join itself."""
@@ -318,7 +362,7 @@ def _wanted(needed: DataFrame) -> bytes:
 
     def bits(batches):
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"bit": pa.array([d * 0x9E3779B97F4A7C15 % (1 << 63) % BITS for d in b.column(0).to_pylist()], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"bit": pa.array([_bit(d) for d in b.column(0).to_pylist()], pa.int64())})
 
     return bit_map(needed.mapInArrow(bits, "bit long"), F.col("bit"))
 
@@ -331,14 +375,14 @@ def _of_reps(pairs: DataFrame, rep: DataFrame) -> DataFrame:
     return both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
 
-def _checked(pairs: DataFrame, size: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _checked(pairs: DataFrame, size: DataFrame, docs: DataFrame, k: int, percent: int, repeated) -> DataFrame:
     """Those of the pairs (a, b) that are linked; whole sets are made only for pairs whose sketches allow a link."""
     one = size.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = size.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     near = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(percent), "a long, b long")
     near = materialize(near, "near")
     needed = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = docs.mapInArrow(_sets(k, docs.sparkSession.sparkContext.broadcast(_wanted(needed))), "doc long, items binary")
+    sets = docs.mapInArrow(_sets(k, docs.sparkSession.sparkContext.broadcast(_wanted(needed)), repeated), "doc long, items binary")
     x, y = sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), sets.select(F.col("doc").alias("b"), F.col("items").alias("y"))
     full = near.join(x, "a").join(y, "b").select("a", "b", "x", "y")
     return full.mapInArrow(_verify(percent), "a long, b long").distinct()
@@ -352,7 +396,13 @@ def op4_ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose document is linked to one with a smaller id; of rows with one doc_id one stays."""
+    """docs without the rows whose document is linked to one with a smaller id; of rows with one doc_id the least stays."""
     _, labels = linked(docs, k, percent)
     gone = labels.where("component < node").select(F.col("node").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    often = materialize(_repeated(kept), "repeated")
+    if often.isEmpty():
+        return kept
+    often = often.withColumnRenamed("doc_id", "_often")
+    one = kept.join(often, F.col("doc_id") == F.col("_often"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*kept.columns)).alias("m")).select("m.*")
+    return kept.join(often, F.col("doc_id") == F.col("_often"), "left_anti").unionByName(one)

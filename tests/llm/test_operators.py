@@ -186,6 +186,21 @@ def test_ngram_join_on_documents(docs, rows, none):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, c in groups(rows, 5, 80).values()}
 
 
+def test_ngram_join_on_repeated_ids(spark):
+    """Equal and different texts of one doc_id."""
+    rng = random.Random(6)
+    a, b, c = ([rng.choice("abcdefghij") + str(rng.randrange(99)) for _ in range(n)] for n in (80, 200, 60))
+    text = lambda x, n=0: " ".join(x[: len(x) - n])
+    made = [(5, text(a)), (5, text(b)), (5, text(b)), (2, text(a, 1)), (9, text(b, 1)), (7, text(c)), (7, text(c)), (8, None), (8, text(c, 1)), (3, "x y"), (None, text(a)), (None, text(a))]
+    want = {2: 2, 5: 2, 9: 2, 7: 7, 8: 7, 3: 3, None: None}
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(2)
+    got = [(r["doc_id"], r["component_id"]) for r in ngram_join.op4_ngram_join(df).collect()]
+    assert sorted(map(str, got)) == sorted(str((i, want[i])) for i, _ in made)
+    more = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b")], "doc_id long, text string")
+    kept = [tuple(r) for r in ngram_join.one_of_each_group(df.union(more)).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(1, "a"), (2, text(a, 1)), (7, text(c)), (3, "x y"), (None, text(a)), (None, text(a))]))
+
+
 def test_buckets_lose_no_link():
     rng = np.random.default_rng(5)
     for percent in (80, 85, 95):
