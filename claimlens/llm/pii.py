@@ -41,7 +41,8 @@ _DIGITS = re.compile(r"[0-9]+")
 _URL = re.compile(r"(?:(?:https?|ftp)://|www\.)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]{1,5})?(?:/[^\x00-\x20\"'<>|]*)?", re.I)
 _IBAN = re.compile(r"[:#\x20]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 _NUMBER = re.compile(r"(?:\x20?(?:no|number|nr)\.?)?[:#=\x20]{1,4}([A-Z]{0,2}[0-9][0-9-]{4,20}[0-9])(?![A-Za-z0-9])", re.I)
-_SECRET = re.compile(r"[\x20]?[:=][\x20]?[\"']?([A-Za-z0-9_/+-]{20,128})(?![A-Za-z0-9_/+-])")
+_SECRET = re.compile(r"[\x20]?[:=][\x20]?[\"']?([A-Za-z0-9_/+-]{20,})(?![A-Za-z0-9_/+-])")
+_COUNTRY = re.compile(r"(?:[^A-Za-z0-9])?[A-Z]{2}\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -64,12 +65,14 @@ def _automaton():
     found = ahocorasick.Automaton()
     for kind, words in (("@", "@"), ("+", "+"), ("9", "0123456789"), ("url", SCHEMES), ("cue", CUES), ("key", KEYS)):
         for w in words:
-            for form in {w, w.upper(), w.capitalize()}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(w, (kind, len(w)))
     found.make_automaton()
     return found
 
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
 class Finder:
     def __init__(self):
         self.anchors = _automaton()
@@ -78,10 +81,12 @@ class Finder:
         """(kind, start, end), by kind in the order of KINDS, then start."""
         out: dict[str, list] = {k: [] for k in KINDS}
         done = dict.fromkeys([*KINDS, "9"], 0)
-        for end, (anchor, n) in self.anchors.iter(text):
+        for end, (anchor, n) in self.anchors.iter(text.translate(_LOWER)):  # ASCII only, so places stay
             at = end - n + 1
             if anchor == "9":
                 if at >= done["9"]:
+                    if _COUNTRY.match(text, max(0, at - 3), at) and (m := _IBAN.match(text, at - 2)) and iban_valid(m[1]):
+                        self.add("account", m, out, done)
                     done["9"] = _DIGITS.match(text, at).end()
                     self.digits(text, at, done["9"], out, done)
             elif anchor == "@":

@@ -277,6 +277,13 @@ def test_pii(docs, rows, none):
     assert masked.columns == docs.columns and masked.count() == docs.count()
 
 
+def test_long_secrets_and_any_case():
+    assert pii.mask("token = " + "a1" * 100) == "token = <secret>"
+    assert pii.mask("İ Account Number: 12345678, Api_Key = " + "Zz" * 12) == "İ Account Number: <account>, Api_Key = <secret>"
+    assert pii.mask("pay DE89 3704 0044 0532 0130 00 now") == "pay <account> now"
+    assert pii.mask("pay DE88370400440532013000 now, xDE89370400440532013000") == "pay DE88370400440532013000 now, xDE89370400440532013000"
+
+
 def test_token_files(docs, rows, none, tmp_path):
     from tokenizers import Tokenizer
 
