@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.session import materialize
+from claimlens.session import materialize, release
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -38,6 +38,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        e = materialize(_small(_large(e)), "edges")
+        last, e = e, materialize(_small(_large(e)), "edges")
+        release(last)
     found = e.unionByName(e.select(F.col("b").alias("a"), "b")).unionByName(loops.join(e.select("a"), "a", "left_anti"))
     return found.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
