@@ -1,19 +1,29 @@
-"""Substring dedup by hashing paragraphs or lines.
-
-Texts are cut at line ends; a unit's normal form is its words, lower-cased, with
-single spaces. Units of LEAST_WORDS words or more are grouped over the whole
-corpus by the digest of their normal form. The occurrence that ranks first (by
-doc_id, then place) stays; every other is removed. What stays of a text keeps
-its offsets in the original (code points, end exclusive).
+"""Substring dedup by hashing lines and taking repeated stretches of them.
+
+Texts are cut at line ends; a line's normal form is its words, lower-cased, with
+single spaces. Lines with words are grouped over the whole corpus by the digest
+of their normal form; the occurrence that ranks first (by doc_id, then place) is
+kept, every later one is marked. Marked lines that follow each other (blank lines
+between them don't count) form a stretch, a paragraph that stood elsewhere before;
+stretches of LEAST_WORDS words or more are removed. What stays of a text keeps its
+offsets in the original (code points, end exclusive).
+
+LEAST_WORDS is 25: the passages to be caught have over 50 words, and begin and
+end anywhere in a line, so the whole lines in them make up about half at least.
+Single lines of fewer words that many documents share, such as a license notice
+or a common short sentence, stay, and documents without a long repeated passage
+are left alone; a passage laid out in short lines is still caught as a stretch.
 
 Digests are 16 bytes; the group of a digest is never gathered: the first
-occurrence is a minimum, combined on the map side, and joined back, so a line
-that a third of all rows share costs one row for each task.
-
-Defined cases: null text has no units and stays null; shorter units always stay;
-of a unit that a document repeats only the first stays; rows with null doc_id
-rank last; rows repeated in full are told apart by an arbitrary row number, so
-one of them keeps its units; an empty table gives an empty result.
+occurrence is a minimum, combined on the map side, written, and joined back to
+the lines (a join of two written tables, which Spark splits where a digest is hot).
+
+Defined cases: null text has no units and stays null; lines without words always
+stay; of a passage that a document repeats only the first stays; rows with null
+doc_id rank last; rows of one doc_id, or repeated in full, are told apart by an
+arbitrary row number, so one of them keeps its units; a very long text is one row
+of a task, its lines are rows of their own; an empty table gives an empty result;
+other columns, whatever their names, are carried through by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -24,115 +34,151 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from claimlens.llm.batches import free, pieces
 from claimlens.session import materialize
 
-LEAST_WORDS = 8
-SPACE = "[\\x20\\x09-\\x0D]+"
+LEAST_WORDS = 25
+SPACE, WORD = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]+"
+_BLANK = " \t\n\v\f\r"
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, pos, start, end, unit, digest): the lines of every row; digest is null for short ones."""
-    lines = F.split(F.col("text"), "\n", -1)
-    ends = F.transform(lines, lambda x: F.length(x))
-    one = docs.select("row", "doc_id", F.posexplode(F.arrays_zip(lines.alias("unit"), ends.alias("size"))).alias("pos", "u"))
-    one = one.select("row", "doc_id", "pos", F.col("u.unit").alias("unit"))
+    """(digest, row, doc_id, pos, n): the lines with words of docs (row, doc_id, text); n counts words."""
+    one = docs.select("row", "doc_id", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("pos", "unit"))
     norm = F.lower(F.btrim(F.regexp_replace("unit", SPACE, " ")))
-    n = F.regexp_count("unit", F.lit("[^\\x20\\x09-\\x0D]+"))
-    return one.withColumn("digest", F.when(n >= LEAST_WORDS, F.unhex(F.md5(norm))))
+    n = F.regexp_count("unit", F.lit(WORD))
+    return one.select(F.unhex(F.md5(norm)).alias("digest"), "row", "doc_id", "pos", n.alias("n")).where("n > 0")
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """(row, pos) of the units that an earlier occurrence makes redundant; docs has row, doc_id, text."""
-    long = materialize(units(docs).where("digest is not null").select("digest", "row", "doc_id", "pos"), "units")
+def repeats(docs: DataFrame) -> DataFrame:
+    """(row, pos, n, later) of the lines that occur twice or more; later: all but the first occurrence."""
+    lines = materialize(units(docs), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), "row", "pos")
-    first = long.groupBy("digest").agg(F.min(rank).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    again = long.join(first.select("digest", F.col("m.row").alias("mr"), F.col("m.pos").alias("mp")), "digest")
-    return again.where((F.col("row") != F.col("mr")) | (F.col("pos") != F.col("mp"))).select("row", "pos")
-
-
-_REST = "doc_id long, n_units long, n_removed long, kept_chars long, offsets array<struct<start:int,end:int>>, text string, text_sha256 string"
-
-
-def _rest(with_text: bool):
-    """What stays of (doc_id, text, gone): places by one running sum over the lines."""
+    first = lines.groupBy("digest").agg(F.min(rank).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    first = materialize(first.select("digest", F.col("m.row").alias("mr"), F.col("m.pos").alias("mp")), "firsts")
+    return lines.join(first, "digest").select("row", "pos", "n", ((F.col("row") != F.col("mr")) | (F.col("pos") != F.col("mp"))).alias("later"))
+
+
+def stretches(lines: list[str], words: dict[int, int], least: int) -> list[int]:
+    """Places of the marked lines (words: place and number of words) in stretches of least words or more."""
+    out, held, n = [], [], 0
+    for i, line in enumerate([*lines, "end"]):
+        if i in words:
+            held.append(i)
+            n += words[i]
+        elif line.strip(_BLANK):
+            if n >= least:
+                out += held
+            held, n = [], 0
+    return out
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_TYPES = {
+    "doc_id": pa.int64(), "n_units": pa.int64(), "n_removed": pa.int64(), "n_repeated": pa.int64(), "kept_chars": pa.int64(),
+    "offsets": _SPANS, "removed": _SPANS, "text": pa.string(), "text_sha256": pa.string(),
+}
+_REST = (
+    "doc_id long, n_units long, n_removed long, n_repeated long, kept_chars long, offsets array<struct<start:int,end:int>>, "
+    "removed array<struct<start:int,end:int>>, text string, text_sha256 string"
+)
+
+
+def _left(doc_id, text: str | None, marks, least: int, with_text: bool) -> tuple:
+    """What stays of a text: places by one running sum over the lines."""
+    if text is None:
+        return (doc_id, 0, 0, 0, 0, [], [], None, None)
+    lines, marks = text.split("\n"), marks or []
+    gone = set(stretches(lines, {m["pos"]: m["n"] for m in marks if m["later"]}, least))
+    repeated = stretches(lines, {m["pos"]: m["n"] for m in marks}, least)
+    at, kept, offsets, removed = 0, [], [], []
+    for i, line in enumerate(lines):
+        span = {"start": at, "end": at + len(line)}
+        if i in gone:
+            removed.append(span)
+        else:
+            kept.append(line)
+            offsets.append(span)
+        at += len(line) + 1
+    left = "\n".join(kept)
+    sha = hashlib.sha256(left.encode("utf-8", "surrogatepass")).hexdigest()
+    return (doc_id, len(lines), len(gone), len(repeated), len(left), offsets, removed, left if with_text else None, sha)
+
+
+def _rest(least: int, with_text: bool):
+    """Batches of doc_id, text, marks and other columns; the latter are given as they are, after the results."""
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc_id, text, gone in zip(*(c.to_pylist() for c in b.columns)):
-                lines, gone, at, kept, offsets = [] if text is None else text.split("\n"), set(gone or ()), 0, [], []
-                for i, line in enumerate(lines):
-                    if i not in gone:
-                        kept.append(line)
-                        offsets.append({"start": at, "end": at + len(line)})
-                    at += len(line) + 1
-                left = None if text is None else "\n".join(kept)
-                sha = None if text is None else hashlib.sha256(left.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((doc_id, len(lines), len(gone), sum(map(len, kept)), offsets, left if with_text else None, sha))
-            columns = zip(*out) if out else [()] * len(_TYPES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES.values())], names=list(_TYPES))
+        for b in pieces(batches):
+            out = [_left(*row, least, with_text) for row in zip(*(b.column(i).to_pylist() for i in range(3)))]
+            made = [pa.array(c, t) for c, t in zip(zip(*out), _TYPES.values())]
+            yield pa.RecordBatch.from_arrays([*made, *b.columns[3:]], names=[*_TYPES, *b.schema.names[3:]])
 
     return rest
 
 
-_TYPES = {
-    "doc_id": pa.int64(), "n_units": pa.int64(), "n_removed": pa.int64(), "kept_chars": pa.int64(),
-    "offsets": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), "text": pa.string(), "text_sha256": pa.string(),
-}
+def rest(docs: DataFrame, with_text: bool, least: int = LEAST_WORDS) -> DataFrame:
+    """What stays of every row of docs: counts, offsets of lines kept and removed, text if asked for, its digest; then _0, _1 and so on:
+    the other columns of docs in their order."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] if with_text else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others)])
+    docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
+    marks = repeats(docs).groupBy("row").agg(F.collect_list(F.struct("pos", "n", "later")).alias("marks"))
+    both = docs.join(marks, "row", "left").select("doc_id", "text", "marks", *[f"_{i}" for i in range(len(others))])
+    schema = T.StructType([*T._parse_datatype_string(_REST).fields, *[docs.schema[f"_{i}"] for i in range(len(others))]])
+    return both.mapInArrow(_rest(least, with_text), schema)
 
 
-def rest(docs: DataFrame, with_text: bool) -> DataFrame:
-    """What stays of every row of docs (doc_id, text): counts, offsets, text if asked for, and its digest."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
-    docs = materialize(docs, "docs")
-    gone = removed(docs).groupBy("row").agg(F.collect_list("pos").alias("gone"))
-    return docs.join(gone, "row", "left").select("doc_id", "text", "gone").mapInArrow(_rest(with_text), _REST)
+def _shown(spans: str):
+    return F.array_join(F.transform(spans, lambda p: F.concat_ws(":", p["start"], p["end"])), ",")
 
 
 def op3_substrings(docs: DataFrame) -> DataFrame:
-    """doc_id, n_units, n_removed, kept_chars for every row of docs (doc_id, text): the counts of op3_kept_spans."""
-    return rest(docs, False).select("doc_id", "n_units", "n_removed", "kept_chars")
+    """For every row of docs (doc_id, text): n_units (lines), n_removed, n_repeated (lines in repeated stretches, first occurrences
+    included), kept_chars (length of what stays, line ends included) and removed (start:end of the removed lines in the original)."""
+    return rest(docs, False).select("doc_id", "n_units", "n_removed", "n_repeated", "kept_chars", _shown("removed").alias("removed"))
 
 
 def op3_kept_spans(docs: DataFrame) -> DataFrame:
     """The counts, kept (start:end of every unit that stays, in the original) and text_sha256 (of what stays) for every row of docs."""
-    spans = F.array_join(F.transform("offsets", lambda p: F.concat_ws(":", p["start"], p["end"])), ",")
-    return rest(docs, False).select("doc_id", "n_units", "n_removed", "kept_chars", spans.alias("kept"), "text_sha256")
+    return rest(docs, False).select("doc_id", "n_units", "n_removed", "kept_chars", _shown("offsets").alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, text without the removed units, and the original offsets (start, end) of those that stay."""
-    return rest(docs, True).select("doc_id", "text", "offsets")
+    """docs with the removed lines cut out of text, and offsets: the places (start, end) of those that stay; all rows and columns stay
+    (where docs has a column of that name, an underscore is put after offsets)."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    back = {c: f"_{i}" for i, c in enumerate(others)}
+    offsets = F.col("offsets").alias(free(docs.columns, "offsets"))
+    return rest(docs, True).select(*[F.col(back.get(c, c)).alias(c) for c in docs.columns], offsets)
 
 
-def oracle() -> str:
-    word = r"[^\x20\x09-\x0D]+"
-    return f"""
-with d as (select row_number() over () as rid, doc_id, string_split(text, chr(10)) as ls from documents),
+_LINES = f"""
+with d as (select row_number() over () as rid, doc_id, text, string_split(text, chr(10)) as ls from documents),
 u as (select rid, doc_id, i, ls[i] as unit from (select rid, doc_id, ls, unnest(range(1, len(ls) + 1)) as i from d)),
-n as (select rid, doc_id, i, unit, len(regexp_extract_all(unit, '{word}')) as w,
-             md5(lower(trim(regexp_replace(unit, '[\\x20\\x09-\\x0D]+', ' ', 'g')))) as g from u),
-r as (select rid, i, length(unit) as size,
-             w >= {LEAST_WORDS} and row_number() over (partition by w >= {LEAST_WORDS}, g order by doc_id nulls last, rid, i) > 1 as gone from n)
-select d.doc_id, count(r.i)::bigint as n_units, count_if(coalesce(gone, false))::bigint as n_removed,
-       coalesce(sum(case when not gone then size end), 0)::bigint as kept_chars
-from d left join r on d.rid = r.rid group by d.rid, d.doc_id"""
+n as (select rid, doc_id, i, unit, len(regexp_extract_all(unit, '{WORD}')) as w,
+             md5(lower(trim(regexp_replace(unit, '{SPACE}', ' ', 'g')))) as g,
+             sum(length(unit) + 1) over (partition by rid order by i) as after from u),
+m as (select rid, i, w, count(*) over (partition by g) > 1 as again,
+             row_number() over (partition by g order by doc_id nulls last, rid, i) > 1 as later from n where w > 0),
+b as (select *, row_number() over (partition by rid order by i) as k, row_number() over (partition by rid, again order by i) as ka,
+             row_number() over (partition by rid, later order by i) as kl from m),
+s as (select rid, i, again and sum(w) over (partition by rid, again, k - ka) >= {LEAST_WORDS} as repeated,
+             later and sum(w) over (partition by rid, later, k - kl) >= {LEAST_WORDS} as gone from b),
+r as (select n.rid, n.i, n.unit, after - length(unit) - 1 as x, after - 1 as y, coalesce(repeated, false) as repeated, coalesce(gone, false) as gone
+      from n left join s on n.rid = s.rid and n.i = s.i)
+select d.doc_id, count(r.i)::bigint as n_units, count_if(coalesce(gone, false))::bigint as n_removed,"""
+_KEPT = "coalesce(length(string_agg(unit, chr(10) order by i) filter (not gone)), 0)::bigint as kept_chars,"
+_FROM = "from d left join r on d.rid = r.rid group by d.rid, d.doc_id"
+
+
+def oracle() -> str:
+    return f"""{_LINES} count_if(coalesce(repeated, false))::bigint as n_repeated, {_KEPT}
+coalesce(string_agg(x || ':' || y, ',' order by i) filter (gone), '') as removed {_FROM}"""
 
 
 def kept_oracle() -> str:
-    """As oracle, with the places and the digest of what stays."""
-    word = r"[^\x20\x09-\x0D]+"
-    return f"""
-with d as (select row_number() over () as rid, doc_id, text, string_split(text, chr(10)) as ls from documents),
-u as (select rid, doc_id, i, ls[i] as unit from (select rid, doc_id, ls, unnest(range(1, len(ls) + 1)) as i from d)),
-n as (select rid, doc_id, i, unit, len(regexp_extract_all(unit, '{word}')) as w,
-             md5(lower(trim(regexp_replace(unit, '[\\x20\\x09-\\x0D]+', ' ', 'g')))) as g,
-             sum(length(unit) + 1) over (partition by rid order by i) as after from u),
-r as (select rid, i, unit, length(unit) as size, after - length(unit) - 1 as a, after - 1 as b,
-             w >= {LEAST_WORDS} and row_number() over (partition by w >= {LEAST_WORDS}, g order by doc_id nulls last, rid, i) > 1 as gone from n)
-select d.doc_id, count(r.i)::bigint as n_units, count_if(coalesce(gone, false))::bigint as n_removed,
-       coalesce(sum(case when not gone then size end), 0)::bigint as kept_chars,
-       coalesce(string_agg(a || ':' || b, ',' order by i) filter (not gone), '') as kept,
-       case when any_value(d.text) is not null then sha256(coalesce(string_agg(unit, chr(10) order by i) filter (not gone), '')) end as text_sha256
-from d left join r on d.rid = r.rid group by d.rid, d.doc_id"""
+    return f"""{_LINES} {_KEPT} coalesce(string_agg(x || ':' || y, ',' order by i) filter (not gone), '') as kept,
+case when any_value(d.text) is not null then sha256(coalesce(string_agg(unit, chr(10) order by i) filter (not gone), '')) end as text_sha256 {_FROM}"""
