@@ -2,23 +2,26 @@
 
 A file is: frames, each an independent zstandard frame of little-endian unsigned
 token ids (4 bytes each) of whole documents; a skippable frame with the document
-index (doc_id, frame, first id in the frame, number of ids); a skippable frame
-with the seek table (compressed size, decompressed size and checksum of every
-frame, then the number of frames) and the footer. Any zstandard decoder reads
-the whole file as one stream of ids; a reader of some documents fetches the
-index and table from the end and decompresses only the frames it needs.
+index (doc_id, frame, first id in the frame, number of ids); and a seek table as
+the public zstandard seekable format has it (compressed size, decompressed size
+and the low 32 bits of XXH64 of every frame, number of frames, a flag byte for
+checksums, magic). Any zstandard decoder reads the whole file as one stream of
+ids; a reader of some documents fetches the table and the index from the end and
+decompresses only the frames it needs.
 
 Documents are range-partitioned by doc_id, sorted, and written by the tasks
 through pyarrow.fs to the shared folder, under a name of the attempt first, then
 moved into place, so a repeated or speculative attempt replaces equal bytes.
 
-Defined cases: null text is an empty one, of which only the end id is written;
+Defined cases: null text is an empty one, of which only the end id is written; a
+document longer than a frame is a frame of its own;
 null doc_id sorts first; repeated rows are each written, in the order of their
 text's digest; an empty table gives no files and an empty result.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -29,17 +32,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.llm.batches import pieces
 from claimlens.llm.units import UnitEncoder, id_bytes, id_type, rank_bytes, tokenizer
 from claimlens.session import new_path
 
 #: Ids after which a frame ends, and the zstandard level.
 FRAME_IDS, LEVEL = 1 << 16, 3
-#: Fixed values of the format: magic of a skippable frame, and of the footer.
-SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
+#: Fixed values of the format: magics of the skippable frames of index and table, of the footer, and the flag for checksums.
+INDEX, TABLE, FOOTER, CHECKED = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
+#: White space other than spaces and line ends.
+_ODD = re.compile(r"[^\S \n]")
 _INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("frame", "<u4"), ("first", "<u4"), ("n", "<u4")])
 _FRAME = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 
 
+def _check(data: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(data) & 0xFFFFFFFF
+
+
 def open_store(uri: str):
     """File system and path of a URI; plain paths are local."""
     from pyarrow import fs
@@ -66,15 +78,15 @@ class Writer:
             data = np.concatenate(self.held).astype("<u4").tobytes()
             packed = self.packer.compress(data)
             self.sink.write(packed)
-            self.frames.append((len(packed), len(data), zlib.crc32(data)))
+            self.frames.append((len(packed), len(data), _check(data)))
             self.held, self.n = [], 0
 
     def close(self) -> None:
         self.flush()
         index = np.array(self.index, _INDEX).tobytes()
-        table = np.array(self.frames, _FRAME).tobytes() + struct.pack("<III", len(self.frames), len(self.index), FOOTER)
-        for part in (index, table):
-            self.sink.write(struct.pack("<II", SKIPPABLE, len(part)) + part)
+        table = np.array(self.frames, _FRAME).tobytes() + struct.pack("<IBI", len(self.frames), CHECKED, FOOTER)
+        for magic, part in ((INDEX, index), (TABLE, table)):
+            self.sink.write(struct.pack("<II", magic, len(part)) + part)
 
 
 class Reader:
@@ -84,14 +96,17 @@ class Reader:
         import zstandard
 
         self.source, self.unpacker = source, zstandard.ZstdDecompressor()
-        n_frames, n_docs, magic = struct.unpack("<III", self.at(size - 12, 12))
-        if magic != FOOTER:
+        n_frames, flags, magic = struct.unpack("<IBI", self.at(size - 9, 9))
+        if magic != FOOTER or flags != CHECKED:
             raise ValueError("no seek table at the end")
-        table = 12 + n_frames * _FRAME.itemsize
-        self.frames = np.frombuffer(self.at(size - table, table - 12), _FRAME)
-        index = n_docs * _INDEX.itemsize
-        self.index = np.frombuffer(self.at(size - table - 8 - index, index), _INDEX)
+        table = n_frames * _FRAME.itemsize
+        self.frames = np.frombuffer(self.at(size - 9 - table, table), _FRAME)
         self.starts = np.concatenate([[0], np.cumsum(self.frames["packed"], dtype=np.int64)])
+        at = int(self.starts[-1])
+        magic, index = struct.unpack("<II", self.at(at, 8))
+        if magic != INDEX:
+            raise ValueError("no index of documents")
+        self.index = np.frombuffer(self.at(at + 8, index), _INDEX)
         self.last: tuple = (None, None)
 
     def at(self, offset: int, n: int) -> bytes:
@@ -102,7 +117,7 @@ class Reader:
         if self.last[0] != i:
             f = self.frames[i]
             data = self.unpacker.decompress(self.at(int(self.starts[i]), int(f["packed"])), max_output_size=int(f["size"]))
-            if len(data) != f["size"] or zlib.crc32(data) != f["check"]:
+            if len(data) != f["size"] or _check(data) != f["check"]:
                 raise ValueError(f"frame {i} is damaged")
             self.last = (i, np.frombuffer(data, "<u4"))
         return self.last[1]
@@ -118,9 +133,9 @@ class Reader:
 class ByteEncoder:
     """ids by units: white space always begins a pre-token of a byte-level vocabulary.
 
-    In texts with single spaces and line ends only, a word stands for a space and
-    the word, and a word after a line end carries it; the first word, and all of
-    other texts, are cut out as they are (white space with the text after it).
+    In texts whose white space is single spaces and single line ends, a word stands
+    for a space and the word, and a word after a line end carries it; the first word,
+    and all of other texts, are cut out as they are (white space with the text after it).
     """
 
     def __init__(self, path: str):
@@ -135,7 +150,7 @@ class ByteEncoder:
         if not text:
             return np.zeros(0, self.kind)
         us = text.replace("\n", " \n").split(" ")
-        if "" not in us and len(us) == len(text.split()) and us[0][0] != "\n":
+        if "" not in us and "\n" not in us and us[0][0] != "\n" and not _ODD.search(text):
             got = self.other.values(us[:1]) + self.plain.values(us[1:])
         else:
             got = self.other.values(self.cut.findall(text))
@@ -162,7 +177,7 @@ def _write(path: str, folder: str, end_id: int | None):
         name = f"{root}/part-{part:06d}"
         attempt = f"{name}.{uuid.uuid4().hex}.attempt"
         tail = np.array([] if end_id is None else [end_id], "<u4")
-        for b in batches:
+        for b in pieces(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if writer is None:
                     store.create_dir(root, recursive=True)
