@@ -1,4 +1,4 @@
-"""Bit maps of a fixed size, built from rows and sent to tasks."""
+"""Bit maps built from rows and sent to tasks; their size follows a count, within a fixed limit."""
 
 from __future__ import annotations
 
@@ -7,21 +7,43 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS, SLICES = 1 << 25, 64
+#: Least and greatest number of bits (128 KB and 32 MB), bits for each key, and slices that a map is built in.
+LEAST, MOST, EACH, SLICES = 1 << 20, 1 << 28, 16, 64
 
 
-def _slice(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    bits = np.zeros(BITS // SLICES, bool)
-    bits[np.array(rows.column("bit")) % (BITS // SLICES)] = True
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+class BitMap:
+    """A set of hashes, with false hits: a hash is known by its last bits."""
 
+    def __init__(self, bits: bytes):
+        self.bits, self.last = bits, 8 * len(bits) - 1
 
-def bit_map(rows: DataFrame, bit: Column) -> bytes:
-    """The bits that rows name, BITS / 8 bytes however many rows there are; bit is a long from 0 to BITS - 1."""
-    bits = rows.select(bit.alias("bit")).distinct().withColumn("slice", (F.col("bit") / (BITS // SLICES)).cast("int"))
-    found = {r["slice"]: bytes(r["bits"]) for r in bits.groupBy("slice").applyInArrow(_slice, "slice int, bits binary").collect()}
-    return b"".join(found.get(i, bytes(BITS // SLICES // 8)) for i in range(SLICES))
+    def __contains__(self, key: int) -> bool:
+        bit = key & self.last
+        return bool(self.bits[bit >> 3] & (128 >> (bit & 7)))
 
 
-def is_set(bits: bytes, bit: int) -> bool:
-    return bool(bits[bit >> 3] & (128 >> (bit & 7)))
+def size_for(keys: int) -> int:
+    """Bits of a map for so many keys, a power of two. Beyond MOST / EACH keys false hits become more frequent;
+    whoever uses a map must stay right (and only do more work) with any number of them."""
+    n = LEAST
+    while n < min(MOST, EACH * keys):
+        n *= 2
+    return n
+
+
+def _slice(width: int):
+    def build(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        bits = np.zeros(width, bool)
+        bits[np.array(rows.column("bit")) % width] = True
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    return build
+
+
+def bit_map(keys: DataFrame, key: Column) -> BitMap:
+    """The map of the longs that key gives for the rows of keys."""
+    n = size_for(keys.count())
+    width = n // SLICES
+    bits = keys.select(key.bitwiseAND(F.lit(n - 1)).alias("bit")).distinct().withColumn("slice", F.floor(F.col("bit") / width).cast("int"))
+    found = {r["slice"]: bytes(r["bits"]) for r in bits.groupBy("slice").applyInArrow(_slice(width), "slice int, bits binary").collect()}
+    return BitMap(b"".join(found.get(i, bytes(width // 8)) for i in range(SLICES)))

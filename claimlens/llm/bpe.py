@@ -10,17 +10,19 @@ where they are read.
 What lies between two interiors (the seam: the end of one chunk and the start of
 the next) is repaired: seam and neighbouring words are encoded again as one
 string, and the ids must begin with those of the word before and end with those
-of the word after; if not, more words are taken in until they agree or both
-interiors are used up, when the joint encoding is exact by itself. A chunk
+of the word after; if not, more words are taken in until they agree. A text
+whose interiors are used up before that is encoded as a whole by the library, and
+so is every text for a tokenizer whose pre-tokens hold spaces (`parted`). A chunk
 without a space is wholly part of a seam.
 
 Which interiors are shared is found by counting digests (partial counts, no
-text), and sent to the readers as a bit map of fixed size (bits.BITS); a false hit
+text), and sent to the readers as a bit map of limited size (bits.MOST); a false hit
 only means that an interior takes the longer way. Texts without a shared
 interior never leave their task. Equal texts are put together once.
 
 Defined cases: a null text is an empty one; an empty text has no ids and decodes
-to the empty string; repeated rows each get their result; null doc_id is kept;
+to the empty string; a very long text is cut like any other, and a run of it without
+spaces is one seam, encoded in one piece; repeated rows each get their result; null doc_id is kept;
 an empty table gives an empty result.
 """
 
@@ -34,14 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.bits import BITS, bit_map, is_set
+from claimlens.llm.batches import pieces as pieces_of
+from claimlens.llm.bits import BitMap, bit_map
 from claimlens.llm.units import id_type, tokenizer, unit_encoder
-from claimlens.session import materialize
+from claimlens.session import materialize, release
 
 MEAN_BITS, LEAST, MOST, WINDOW = 11, 512, 16_384, 16
 #: Code points in which a word near a seam is looked for.
 NEAR = 64
 _MULTIPLY = np.uint32(0x01000193)
+#: Digests and texts that a task remembers having sent, so that copies in it are sent once.
+REMEMBERED = 200_000
 
 
 def cuts(text: str) -> list[int]:
@@ -94,9 +99,25 @@ def words(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
+class Disagree(Exception):
+    """No repair of a seam agrees with its interiors."""
+
+
+def parted(tok) -> bool:
+    """Whether white space parts the pre-tokens of a tokenizer, so that words can be encoded alone."""
+    text = "ab, Cd 12\nef (gh)  ij. don't xyz"
+    if not tok.pre_tokenizer:
+        return False
+    normal = tok.normalizer.normalize_str(text) if tok.normalizer else text
+    pieces = [p for p, _ in tok.pre_tokenizer.pre_tokenize_str(normal)]
+    apart = [i for w in words(text) if w for i in tok.encode(w, add_special_tokens=False).ids]
+    return not any(c.isspace() for p in pieces for c in p) and apart == tok.encode(text, add_special_tokens=False).ids
+
+
 class Encoder:
     def __init__(self, path: str):
         self.tok, self.units, self.kind = tokenizer(path), unit_encoder(path), id_type(path)
+        self.parted = parted(self.tok)
         self.width = int(self.kind[-1])
         size = self.tok.get_vocab_size()
         self.names, self.digits = [self.tok.id_to_token(i) or "" for i in range(size)], [str(i) for i in range(size)]
@@ -117,7 +138,7 @@ class Encoder:
             if got.startswith(x) and got[len(x) :].endswith(y):
                 return got[len(x) : len(got) - len(y)]
             if NEAR * n >= max(len(left), len(right)):
-                raise ValueError("white space does not part the units of this tokenizer")
+                raise Disagree
             n *= 2
 
     @staticmethod
@@ -131,7 +152,13 @@ class Encoder:
         return got[:n] if side > 0 else got[-n:]
 
     def whole(self, pieces: list[str]) -> bytes:
-        return b"".join(self.interior(p) if i % 2 else self.between(pieces, i) for i, p in enumerate(pieces))
+        try:
+            return b"".join(self.interior(p) if i % 2 else self.between(pieces, i) for i, p in enumerate(pieces))
+        except Disagree:
+            return self.jointly("".join(pieces))
+
+    def jointly(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def between(self, pieces: list[str], i: int) -> bytes:
         return self.seam(pieces[i - 1] if i else "", pieces[i], pieces[i + 1] if i + 1 < len(pieces) else "")
@@ -157,21 +184,30 @@ def encoder(path: str) -> Encoder:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, n): how often an interior occurs in the batch, repeats within a text included."""
+    """(digest, n): how often an interior occurs in some texts, repeats within a text included."""
+    seen: dict[bytes, int] = {}
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"digest": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
+
     for batch in batches:
-        seen: dict[bytes, int] = {}
-        for text in batch.column(0).to_pylist():
-            for p in parts(text or "")[1::2]:
+        for text in batch.column(0):
+            for p in parts(text.as_py() or "")[1::2]:
                 d = digest(p)
                 seen[d] = seen.get(d, 0) + 1
-        yield pa.RecordBatch.from_pydict({"digest": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
+            if len(seen) >= REMEMBERED // 2:
+                yield rows()
+                seen = {}
+    yield rows()
 
 
-def shared_map(docs: DataFrame) -> bytes:
-    """Bits set for the digests that occur twice or more: BITS / 8 bytes however large the corpus is."""
+def shared_map(docs: DataFrame) -> BitMap:
+    """The digests that occur twice or more."""
     counts = docs.select("text").mapInArrow(_digests, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n"))
-    bit = F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long") % BITS
-    return bit_map(counts.where("n > 1"), bit)
+    counts = materialize(counts.where("n > 1").select("digest"), "shared")
+    found = bit_map(counts, F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long"))
+    release(counts)
+    return found
 
 
 _ROW = "kind int, doc_id long, tkey binary, pos int, digest binary, ids binary, text string, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -179,8 +215,6 @@ _NAMES = [x.split()[0] for x in _ROW.split(", ")]
 _TYPES = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[x.split()[1]] for x in _ROW.split(", ")]
 #: Kinds of rows that the readers give.
 DONE, DOC, RUN, REF, CHUNK = range(5)
-#: Digests and texts that a task remembers having sent, so that copies in it are sent once.
-REMEMBERED = 200_000
 
 
 def _read(path: str, shared) -> object:
@@ -195,14 +229,23 @@ def _read(path: str, shared) -> object:
             return True
 
         def maybe(d: bytes) -> bool:
-            return is_set(bits, int.from_bytes(d[:4], "big") % BITS)
+            return int.from_bytes(d[:4], "big") in bits
 
         def rows(doc_id, text: str) -> Iterator[tuple]:
+            try:
+                yield from in_chunks(doc_id, text)
+            except Disagree:  # raised before the first row of a text is given
+                yield (DONE, doc_id, None, None, None, None, None, *enc.result(enc.jointly(text)))
+
+        def in_chunks(doc_id, text: str) -> Iterator[tuple]:
+            if not enc.parted:
+                raise Disagree
             pieces = parts(text)
             marks = [digest(p) if i % 2 else None for i, p in enumerate(pieces)]
             if not any(d and maybe(d) for d in marks):
                 yield (DONE, doc_id, None, None, None, None, None, *enc.result(enc.whole(pieces)))
                 return
+            seams = {i: enc.between(pieces, i) for i in range(0, len(pieces), 2)}
             key = digest(text)
             yield (DOC, doc_id, key, *[None] * 7)
             if not new(("t", key)):
@@ -216,10 +259,10 @@ def _read(path: str, shared) -> object:
                         yield (CHUNK, None, None, None, d, None, p, *[None] * 3)
                     run, pos = [], pos + 2
                 else:
-                    run.append(enc.interior(p) if i % 2 else enc.between(pieces, i))
+                    run.append(enc.interior(p) if i % 2 else seams[i])
             yield (RUN, None, key, pos, None, b"".join(run), *[None] * 4)
 
-        for batch in batches:
+        for batch in pieces_of(batches):
             out = [r for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in rows(d, t or "")]
             columns = list(zip(*out)) or [()] * len(_NAMES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
@@ -230,7 +273,7 @@ def _read(path: str, shared) -> object:
 def _encode_chunks(path: str):
     def encode(batches):
         enc = encoder(path)
-        for b in batches:
+        for b in pieces_of(batches):
             ids = [enc.interior(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["digest", "ids"])
 
@@ -240,7 +283,7 @@ def _encode_chunks(path: str):
 def _assemble(path: str):
     def assemble(batches):
         enc = encoder(path)
-        for b in batches:
+        for b in pieces_of(batches):
             got = [enc.result(b"".join(p["ids"] for p in ps)) for ps in b.column(1).to_pylist()]
             columns = list(zip(*got)) or [(), (), ()]
             arrays = [b.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]

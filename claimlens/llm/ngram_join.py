@@ -8,21 +8,28 @@ reach the threshold differ in at most d elements, where d follows from the
 largest size of their band; with k = d + 1 + e segments at least e + 1 agree,
 and documents that agree in a segment of a band meet in its bucket (pigeonhole).
 
-Every document leaves out its segments with the fewest elements, level by level,
-as long as they are e at most. Agreeing segments have equally many elements, so
-of two documents the one that leaves out more levels still has an agreeing
-segment left, and the other has it too: no link is lost, and segments that are
-empty or hold a single common shingle, where unlike documents meet, fall away.
-
-The same holds for segments whose bucket is large, as a passage that many
-documents share makes it: a document that has room for all its large buckets
-beside the levels it leaves out drops them, and so only documents that consist
-of shared passages for the most part stay in large buckets.
+Two more budgets make rows and buckets fewer. k is larger by 2 * e, so that linked
+documents agree in 2 * e + 1 segments. Each leaves out its e first segments in an
+order that is a property of the segment: fewest elements first, then by key, so
+that segments that are empty or hold a single common shingle, where unlike
+documents meet, fall away. Of two documents one leaves out at least as far in that
+order as the other; of the agreeing segments it leaves out e at most, so e + 1 stay
+in both. Then a document whose large buckets are e at most leaves them all out;
+largeness is a property of the bucket, so of the e + 1 agreeing segments one stays in
+both again. No link is lost, and only documents that consist of shared passages for
+the most part stay in large buckets.
+
+A bucket's members are counted in two steps: rows of a key that is frequent in a
+slice of documents get a salt of that slice, and one of them goes, beside, to the
+bucket without salt as its delegate. So no group that is sorted holds more of a hot
+bucket than a slice does, or one row of each slice; a bucket with a delegate is large.
 
 Within a bucket not all pairs are made. Documents are compared with one member
 chosen by hash, the links found give components, and only buckets that hold more
 than one component go on: large ones to another chosen member, then all to the
-pairs of different components that are left. Each pair is first tested on a parity bit
+pairs of different components that are left. What is looked up for large buckets
+(least and greatest component, chosen member) is combined on the map side, written,
+and joined back. Each pair is first tested on a parity bit
 sketch, whose Hamming distance bounds the difference from below, then verified
 on the whole sets. Exact copies are put together by a digest of their set first.
 
@@ -30,7 +37,9 @@ Defined cases: null or empty texts and texts without words have an empty set and
 are linked with nothing; texts of fewer words than a shingle have one element,
 the whole sequence; rows with one doc_id count as one document whose component
 is shared, and which is linked with whatever one of its texts is linked with;
-rows with null doc_id have no component; an empty table gives an empty result.
+rows with null doc_id have no component; very long texts are whole sets of
+their own piece of a batch; an empty table gives an empty result; other columns, whatever
+their names, are carried through by `one_of_each_group`.
 
 A set goes by the doc_id of its row where no other row has that doc_id, else by
 64 bits of its digest, so that different texts of one doc_id stay apart until
@@ -45,21 +54,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.llm.bits import BITS, bit_map, is_set
+from claimlens.llm.batches import free, pieces
+from claimlens.llm.bits import BitMap, bit_map
 from claimlens.operators.graph import connected_components
-from claimlens.session import materialize
+from claimlens.session import materialize, release
 
-#: Bits of the parity sketch, growth of the bands, and share of segments that may be left out.
-SKETCH_BITS, GROWTH, SPARE = 1024, 1.4, 0.25
+#: Bits of the parity sketch, growth of the bands, and share of segments in each of the two budgets for leaving out.
+SKETCH_BITS, GROWTH, SPARE = 1024, 1.4, 0.125
 #: Members from which a bucket is large. Where it is not, pairs in it grow with its members at most LARGE-fold.
 LARGE = 32
-#: Documents whose rows are made at once, so that a task holds few of them.
-SOME = 500
+#: Rows of a key in a slice of documents from which it is salted: OFTEN, or a 64th of the slice's documents if that is more.
+OFTEN = 8
 _ODD = [np.uint64(int(hashlib.blake2b(bytes([i]), digest_size=8).hexdigest(), 16) | 1) for i in range(64)]
-_KEPT, _ALL = 200_000, (1 << 64) - 1
+#: Words and sets that a worker remembers, and the longest word it does: 20 MB and 15 MB at most.
+_KEPT, _LONGEST, _ALL = 100_000, 32, (1 << 64) - 1
 _WORDS: dict[bytes, int] = {}
 
 
@@ -77,7 +88,7 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
         digest = xxhash.xxh3_64_intdigest
         new = {w: digest(w) for w, g in zip(words, got) if g is None}
         if len(_WORDS) < _KEPT:
-            _WORDS.update(new)
+            _WORDS.update((w, d) for w, d in new.items() if len(w) <= _LONGEST)
         got = [new[w] if g is None else g for w, g in zip(words, got)]
     return np.array(got, np.uint64)
 
@@ -114,43 +125,37 @@ def bands(percent: int) -> tuple[int, ...]:
     return tuple(out)
 
 
-def keys(found: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys of a set: of its own band, and of the next if a set there can be linked.
+def spare(percent: int, band: int) -> int:
+    """Segments that a document of a band may leave out, in each of the two steps."""
+    top = bands(percent)[band]
+    return max(1, round(SPARE * most_apart(top, top, percent)))
 
-    With each key goes a tag, 1000 * band + room: how many more segments of the
-    band the document may leave out (-1 if it may not leave out any).
-    """
+
+def keys(found: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket keys of a set, each with its band: the set's own, and the next if a set there can be linked."""
     n, tops = len(found), bands(percent)
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if not n:
-        return none
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     own = int(np.searchsorted(tops, n))
-    tags = []
     spread = np.sort(found * _ODD[40])
     value = spread * _ODD[41] ^ (spread >> np.uint64(23))
-    out = []
+    out, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for band in (own, own + 1):
         top = tops[band]
         apart = most_apart(top, top, percent)
         if not apart or (band > own and 100 * n < percent * (tops[own] + 1)):
             continue
-        spare = max(1, round(SPARE * apart))
-        k = apart + 1 + spare
+        few = spare(percent, band)
+        k = apart + 1 + 2 * few
         segment = ((spread >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-        sizes = np.diff(np.append(starts, n))
-        xor, place = np.bitwise_xor.reduceat(value, starts), segment[starts]
-        levels = np.cumsum(np.bincount(sizes, minlength=2) + np.concatenate([[k - len(starts)], np.zeros(max(1, int(sizes.max())), np.int64)]))
-        left_out = int(np.searchsorted(levels, spare, side="right")) - 1
-        if left_out < 0:  # more empty segments than may be left out: these count too
-            empty = np.setdiff1d(np.arange(k, dtype=np.uint64), place)
-            place, xor = np.concatenate([place, empty]), np.concatenate([xor, np.zeros(len(empty), np.uint64)])
-        elif left_out:
-            place, xor = place[sizes > left_out], xor[sizes > left_out]
-        room = spare - int(levels[left_out]) if left_out >= 0 else -1
-        tags.append(np.full(len(place), 1000 * band + min(room, 998)))
-        out.append(_mix(xor + place * _ODD[42] + np.uint64(int(_ODD[43]) * band & _ALL)))
-    return (np.concatenate(out), np.concatenate(tags)) if out else none
+        xor, size = np.zeros(k, np.uint64), np.zeros(k, np.int64)
+        place = segment[starts].astype(np.int64)
+        xor[place], size[place] = np.bitwise_xor.reduceat(value, starts), np.diff(np.append(starts, n))
+        key = _mix(xor + np.arange(k, dtype=np.uint64) * _ODD[42] + np.uint64(int(_ODD[43]) * band & _ALL))
+        out.append(key[np.lexsort((key, size))[few:]])
+        of.append(np.full(k - few, band))
+    return np.concatenate(out), np.concatenate(of)
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
@@ -159,56 +164,70 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(bool)).view(np.int64)
 
 
-_ROW = "key long, doc long, tag int, n long, digest binary, sketch array<long>"
+_ROW = "key long, salt int, doc long, tag int, n long, digest binary, sketch array<long>"
+#: Tags of rows that aren't a document's bucket (whose tag is its band): of documents by their id or their set, and delegates.
+BY_ID, BY_SET, DELEGATE = -3, -2, -1
 
 
 def _bit(doc_id: int) -> int:
-    return doc_id * 0x9E3779B97F4A7C15 % (1 << 63) % BITS
+    return doc_id * 0x9E3779B97F4A7C15 % (1 << 63)
 
 
 def _name(mark: bytes) -> int:
     return int.from_bytes(mark[:8], "big", signed=True)
 
 
+def _salted(key: np.ndarray, documents: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Salts of a slice's bucket rows (0 but for frequent keys), and the rows whose documents are delegates."""
+    _, first, at, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    often = count > max(OFTEN, documents >> 6)
+    return np.where(often[at], salt, 0).astype(np.int32), first[often]
+
+
 def _rows(k: int, percent: int, repeated):
-    """A first row for each document (key: its set's bits, tag: 1 if it goes by them) and one for each bucket, with the set's name."""
+    """A row for each document (key: its set's bits) and one for each bucket, with the set's name."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()
-        often = repeated.value if repeated else None
-        for b in (whole.slice(at, SOME) for whole in batches for at in range(0, whole.num_rows, SOME)):
-            key, doc, tag, n, digest, bits = [], [], [], [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        from pyspark import TaskContext
+
+        sent: set[int] = set()
+        often = repeated.value if repeated else ()
+        part = TaskContext.get().partitionId()
+        for slice_no, b in enumerate(pieces(batches)):
+            names, tags, counts, digests, bits = [], [], [], [], []
+            key, band, which = [], [], []
+            ids = b.column(0).to_pylist()
+            for i, (doc_id, text) in enumerate(zip(ids, b.column(1).to_pylist())):
                 found = shingles(text, k)
                 mark = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
-                made, tags = np.zeros(1, np.int64), np.zeros(1, np.int64)
-                new = doc_id is not None and mark is not None and mark not in sent
+                by_set = bool(mark and doc_id is not None and _bit(doc_id) in often)
+                name = _name(mark) if mark else doc_id or 0
+                new = doc_id is not None and mark is not None and name not in sent
                 if new:
                     if len(sent) < _KEPT:
-                        sent.add(mark)
-                    own, own_tags = keys(found, percent)
-                    made, tags = np.concatenate([made, own.view(np.int64)]), np.concatenate([tags, own_tags])
-                made[0] = _name(mark) if mark else (doc_id or 0)
-                tags[0] = bool(often and mark and doc_id is not None and is_set(often, _bit(doc_id)))
-                key.append(made)
-                tag.append(tags)
-                doc.append((doc_id, _name(mark) if tags[0] else doc_id, len(made)))
-                n.append(len(found))
-                digest.append(mark)
+                        sent.add(name)
+                    own, own_bands = keys(found, percent)
+                    key.append(own)
+                    band.append(own_bands)
+                    which.append(np.full(len(own), i))
+                names.append(name)
+                tags.append(BY_SET if by_set else BY_ID)
+                counts.append(len(found))
+                digests.append(mark)
                 bits.append(sketch(found) if new else None)
-            if not key:
-                continue
-            counts = np.array([c for *_, c in doc])
-            total, first = int(counts.sum()), np.concatenate([[0], np.cumsum(counts)[:-1]])
-            which = np.full(total, -1)
-            which[first] = np.arange(len(counts))
-            take = pa.array(which, mask=which < 0)
-            # Names of all sets, then doc_ids: a document's first row has the latter.
-            at = np.repeat(np.arange(len(counts)), counts)
-            at[first] += len(counts)
-            ids = pa.array([*(x for _, x, _ in doc), *(d for d, *_ in doc)], pa.int64()).take(pa.array(at))
-            arrays = [pa.array(np.concatenate(key)), ids, pa.array(np.concatenate(tag).astype(np.int32)), *(pa.array(x, t).take(take) for x, t in ((n, pa.int64()), (digest, pa.binary()), (bits, pa.list_(pa.int64()))))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc", "tag", "n", "digest", "sketch"])
+            key = np.concatenate([np.zeros(0, np.uint64), *key]).view(np.int64)
+            band, which = np.concatenate([np.zeros(0, np.int64), *band]), np.concatenate([np.zeros(0, np.int64), *which])
+            salt, chosen = _salted(key, len(ids), 1 + hash((part, slice_no)) % 0x7FFFFFFE)
+            # Documents, then buckets, then delegates; the latter two carry a name only.
+            whole, rest = len(ids), len(key) + len(chosen)
+            bucket_names = pa.array([n if t == BY_SET else d for n, t, d in zip(names, tags, ids)], pa.int64())
+            doc = pa.concat_arrays([pa.array(ids, pa.int64()), bucket_names.take(pa.array(np.concatenate([which, which[chosen]])))])
+            salts = np.concatenate([np.zeros(whole, np.int32), salt, np.zeros(len(chosen), np.int32)])
+            tag = np.concatenate([tags, band, np.full(len(chosen), DELEGATE)]).astype(np.int32)
+            arrays = [pa.array(np.concatenate([names, key, key[chosen]]).astype(np.int64)), pa.array(salts), doc, pa.array(tag)]
+            for values, kind in ((counts, pa.int64()), (digests, pa.binary()), (bits, pa.list_(pa.int64()))):
+                arrays.append(pa.concat_arrays([pa.array(values, kind), pa.nulls(rest, kind)]))
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "salt", "doc", "tag", "n", "digest", "sketch"])
 
     return rows
 
@@ -217,20 +236,21 @@ def _sets(k: int, wanted, repeated):
     """(doc, items): the sets wanted, by name; those of a repeated doc_id are known by name only when made."""
 
     def sets(batches):
-        bits, often, sent = wanted.value, repeated.value if repeated else None, set()
-        for b in batches:
+        bits, often, sent = wanted.value, repeated.value if repeated else (), set()
+        for b in pieces(batches):
             got = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for d, t in zip(b.column(0), b.column(1)):
+                d = d.as_py()
                 if d is None:
                     continue
-                if often and is_set(often, _bit(d)):
-                    items = shingles(t, k).tobytes()
+                if _bit(d) in often:
+                    items = shingles(t.as_py(), k).tobytes()
                     d = _name(hashlib.blake2b(items, digest_size=16).digest())
-                    if items and d not in sent and is_set(bits, _bit(d)):
+                    if items and d not in sent and _bit(d) in bits:
                         sent.add(d)
                         got.append((d, items))
-                elif is_set(bits, _bit(d)):
-                    got.append((d, shingles(t, k).tobytes()))
+                elif _bit(d) in bits:
+                    got.append((d, shingles(t.as_py(), k).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], names=["doc", "items"])
 
     return sets
@@ -240,10 +260,10 @@ def _near(percent: int):
     """Keeps pairs that their sizes and sketches allow."""
 
     def near(batches):
-        for b in batches:
+        for b in pieces(batches, rows=2000):
             n, m = np.array(b.column(2), dtype=np.int64), np.array(b.column(3), dtype=np.int64)
             s, t = (np.array(b.column(i).flatten()).reshape(b.num_rows, -1).view(np.uint64) for i in (4, 5))
-            apart = np.bitwise_count(s ^ t).sum(1) if b.num_rows else np.zeros(0)
+            apart = np.bitwise_count(s ^ t).sum(1)
             fine = apart.astype(np.int64) <= (100 - percent) * (n + m) // (100 + percent)
             fine &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
             yield b.select([0, 1]).filter(pa.array(fine))
@@ -253,10 +273,10 @@ def _near(percent: int):
 
 def _verify(percent: int):
     def verify(batches):
-        for b in batches:
+        for b in pieces(batches):
             fine = []
-            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+            for s, t in zip(b.column(2), b.column(3)):  # one pair of sets at a time
+                s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 fine.append(100 * both >= percent * (len(s) + len(t) - both))
             yield b.select([0, 1]).filter(pa.array(fine, pa.bool_()))
@@ -264,41 +284,61 @@ def _verify(percent: int):
     return verify
 
 
+def _chosen() -> Column:
+    return F.min(F.struct(F.xxhash64("doc").alias("h"), "doc"))
+
+
+def _places(made: DataFrame) -> DataFrame:
+    """Rows of documents, and of buckets with two members or more: first is one of the members, large whether it is large."""
+    w = Window.partitionBy("key", "salt")
+    member = F.when(F.col("tag") >= DELEGATE, F.col("doc"))
+    places = made.withColumns({"low": F.min(member).over(w), "high": F.max(member).over(w), "members": F.count(member).over(w)})
+    first = F.min(F.when(F.col("tag") >= DELEGATE, F.struct(F.xxhash64("doc").alias("h"), "doc"))).over(w)["doc"]
+    large = (F.col("members") > LARGE) | (F.col("salt") != 0) | (F.max(F.when(F.col("tag") == DELEGATE, 1)).over(w) == 1)
+    places = places.withColumns({"first": first, "large": F.coalesce(large, F.lit(False))})
+    return places.where((F.col("tag") < DELEGATE) | ((F.col("tag") >= 0) & ((F.col("low") < F.col("high")) | F.col("large"))))
+
+
+def _large(places: DataFrame, percent: int) -> DataFrame:
+    """(key, doc, first) of large buckets without the documents that leave theirs: those with as many of a band as they may leave out."""
+    rows = places.where((F.col("tag") >= 0) & F.col("large")).select("key", "doc", "tag")
+    few = F.array(*[F.lit(spare(percent, i)) for i in range(len(bands(percent)))])
+    staying = rows.groupBy("doc", "tag").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > F.get(few, F.col("tag"))).select("doc", "tag")
+    rows = materialize(rows.join(staying, ["doc", "tag"], "left_semi").select("key", "doc"), "staying")
+    firsts = rows.groupBy("key").agg(_chosen().alias("m"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    firsts = materialize(firsts.select("key", F.col("m.doc").alias("first")), "firsts")
+    out = materialize(rows.join(firsts, "key"), "large")
+    release(rows, firsts)
+    return out
+
+
 def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc, n) for every row of docs (doc_id, text), and (node, component) for documents with links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     often = materialize(_repeated(docs), "repeated")
     repeated = None if often.isEmpty() else docs.sparkSession.sparkContext.broadcast(_wanted(often))
-    made = docs.mapInArrow(_rows(k, percent, repeated), _ROW)
-    w = Window.partitionBy("key")
-    is_doc = F.col("n").isNotNull()
-    doc = F.when(~is_doc, F.col("doc"))
-    places = made.withColumns({"low": F.min(doc).over(w), "high": F.max(doc).over(w), "members": F.count(doc).over(w)})
-    places = places.withColumn("first", F.min(F.when(~is_doc, F.struct(F.xxhash64("doc").alias("h"), "doc"))).over(w)["doc"])
-    places = materialize(places.where(is_doc | (F.col("low") < F.col("high"))).drop("low", "high"), "jaccard")
-    slim = places.where(is_doc).select("doc", "n", "digest", "sketch", F.when(F.col("tag") == 1, F.col("key")).otherwise(F.col("doc")).alias("name"))
-    small = places.where(~is_doc & (F.col("members") <= LARGE)).select("key", "doc", "first")
-    large = places.where(~is_doc & (F.col("members") > LARGE))
-    # A document with room for all its large buckets of a band leaves them: its partners share a smaller one.
-    staying = large.groupBy("doc", "tag").agg(F.count(F.lit(1)).alias("c")).where("c > pmod(tag + 1, 1000) - 1").select("doc", "tag")
-    large = large.join(staying, ["doc", "tag"], "left_semi")
-    large = large.withColumn("first", F.min(F.struct(F.xxhash64("doc").alias("h"), "doc")).over(w)["doc"])
-    large = materialize(large.select("key", "doc", "first"), "large")
+    places = materialize(_places(docs.mapInArrow(_rows(k, percent, repeated), _ROW)), "jaccard")
+    name = F.when(F.col("tag") == BY_SET, F.col("key")).otherwise(F.col("doc"))
+    slim = places.where(F.col("tag") < DELEGATE).select("doc", "n", "digest", "sketch", name.alias("name"))
+    small = places.where((F.col("tag") >= 0) & ~F.col("large")).select("key", "doc", "first")
+    large = _large(places, percent)
     buckets = small.unionByName(large)
 
+    # Copies: rep is the least name of a set; a digest that many documents have is combined on the map side, and joined back as a table.
     named = slim.where("digest is not null and doc is not null")
-    of_digest = named.groupBy("digest").agg(F.min("name").alias("rep"))
-    rep = materialize(named.select(F.col("name").alias("doc"), "digest").join(of_digest, "digest").select("doc", "rep").distinct(), "copies")
-    size = materialize(
-        named.where("sketch is not null").join(of_digest, "digest").groupBy("rep").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches"
+    size = named.groupBy("digest").agg(
+        F.min("name").alias("rep"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")
     )
+    size = materialize(size, "sketches")
+    again = size.where("c > 1").select("digest", "rep")
+    rep = named.select(F.col("name").alias("doc"), "digest").join(again, "digest", "left")
+    rep = materialize(rep.select("doc", F.coalesce("rep", "doc").alias("rep")).distinct(), "copies")
 
     # Round one: every document with the chosen member that it shares most buckets with.
     best = buckets.where("doc <> first").groupBy("doc", "first").agg(F.count(F.lit(1)).alias("c"))
     best = best.groupBy("doc").agg(F.max(F.struct("c", "first")).alias("m")).select("doc", F.col("m.first").alias("other"))
-    pairs = _of_reps(best, rep)
-    tested = materialize(pairs, "pairs")
-    links = materialize(_checked(tested, size, docs, k, percent, repeated), "links")
+    tested = materialize(_of_reps(best, rep), "pairs")
+    links = _checked(tested, size, docs, k, percent, repeated)
 
     def components(links: DataFrame) -> DataFrame:
         every = links.select("a", "b").unionByName(rep.select(F.col("doc").alias("a"), F.col("rep").alias("b")))
@@ -306,25 +346,33 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
 
     labels = components(links)
     for last in (False, True):
-        def apart(rows: DataFrame) -> DataFrame:
-            """(key, doc, component) of the buckets that hold more than one component."""
+        def members(rows: DataFrame) -> DataFrame:
+            """(key, doc, component) with copies put together."""
             at = rows.select("key", "doc").join(rep, "doc").select("key", F.col("rep").alias("doc")).distinct()
-            at = at.join(labels.withColumnRenamed("node", "doc"), "doc")
-            return at.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo < hi").drop("lo", "hi")
-
+            return at.join(labels.withColumnRenamed("node", "doc"), "doc")
+
+        w = Window.partitionBy("key")
+        at = materialize(members(large), "members")
+        stats = at.groupBy("key").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("doc", "key").alias("h"), "doc", "component")).alias("p")
+        )
+        stats = materialize(stats.where("lo < hi"), "divided")
+        wide = at.join(stats, "key")
         if last:
-            more = _across(apart(small)).unionByName(_across(apart(large), size, percent)).distinct()
+            few = members(small).withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo < hi").drop("lo", "hi")
+            more = _across(few).unionByName(_across(materialize(wide.drop("lo", "hi", "p"), "wide"), size, percent)).distinct()
         else:
-            chosen = apart(large).withColumn("p", F.min(F.struct(F.xxhash64("doc", "key").alias("h"), "doc", "component")).over(w))
-            more = chosen.where("component <> p.component").select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct()
+            more = wide.where("component <> p.component").select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct()
         more = materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+        release(at, stats)
         if more.isEmpty():
             continue
-        found = materialize(_checked(more, size, docs, k, percent, repeated), "links")
+        found = _checked(more, size, docs, k, percent, repeated)
         tested = tested.unionByName(more)
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = components(links)
+    release(large)
     if repeated:
         # From names back to documents: those of a component hang on its least doc_id, and a document joins its texts' components.
         of = named.select("doc", "name").distinct().join(labels.withColumnRenamed("node", "name"), "name").select("doc", "component").distinct()
@@ -357,8 +405,8 @@ def _across(at: DataFrame, size: DataFrame | None = None, percent: int = 0) -> D
     return one.join(two, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _wanted(needed: DataFrame) -> bytes:
-    """Bits of the documents whose sets are needed."""
+def _wanted(needed: DataFrame) -> BitMap:
+    """The documents of needed (one column, their names)."""
 
     def bits(batches):
         for b in batches:
@@ -381,11 +429,13 @@ def _checked(pairs: DataFrame, size: DataFrame, docs: DataFrame, k: int, percent
     two = size.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     near = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(percent), "a long, b long")
     near = materialize(near, "near")
-    needed = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    needed = materialize(near.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "needed")
     sets = docs.mapInArrow(_sets(k, docs.sparkSession.sparkContext.broadcast(_wanted(needed)), repeated), "doc long, items binary")
     x, y = sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), sets.select(F.col("doc").alias("b"), F.col("items").alias("y"))
     full = near.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return full.mapInArrow(_verify(percent), "a long, b long").distinct()
+    out = materialize(full.mapInArrow(_verify(percent), "a long, b long").distinct(), "links")
+    release(near, needed)
+    return out
 
 
 def op4_ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -398,11 +448,11 @@ def op4_ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows whose document is linked to one with a smaller id; of rows with one doc_id the least stays."""
     _, labels = linked(docs, k, percent)
-    gone = labels.where("component < node").select(F.col("node").alias("_gone"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    often = materialize(_repeated(kept), "repeated")
-    if often.isEmpty():
+    gone, often = free(docs.columns, "gone"), free(docs.columns, "often")
+    kept = docs.join(labels.where("component < node").select(F.col("node").alias(gone)), docs["doc_id"] == F.col(gone), "left_anti")
+    twice = materialize(_repeated(kept).withColumnRenamed("doc_id", often), "repeated")
+    if twice.isEmpty():
         return kept
-    often = often.withColumnRenamed("doc_id", "_often")
-    one = kept.join(often, F.col("doc_id") == F.col("_often"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*kept.columns)).alias("m")).select("m.*")
-    return kept.join(often, F.col("doc_id") == F.col("_often"), "left_anti").unionByName(one)
+    names = [F.col(f"`{c}`") for c in kept.columns]
+    one = kept.join(twice, kept["doc_id"] == F.col(often), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*names)).alias(gone)).select(f"{gone}.*")
+    return kept.join(twice, kept["doc_id"] == F.col(often), "left_anti").unionByName(one)
