@@ -8,12 +8,12 @@ reach the threshold differ in at most d elements, where d follows from the
 largest size of their band; with k = d + 1 + e segments at least e + 1 agree,
 and documents that agree in a segment of a band meet in its bucket (pigeonhole).
 
-Two more budgets make rows and buckets fewer. k is larger by 2 * e, so that linked
-documents agree in 2 * e + 1 segments. Each leaves out its e first segments in an
+Two budgets make rows and buckets fewer: k is d + 1 + f + e, so that linked documents
+agree in f + e + 1 segments. Each leaves out its f first segments in an
 order that is a property of the segment: fewest elements first, then by key, so
 that segments that are empty or hold a single common shingle, where unlike
 documents meet, fall away. Of two documents one leaves out at least as far in that
-order as the other; of the agreeing segments it leaves out e at most, so e + 1 stay
+order as the other; of the agreeing segments it leaves out f at most, so e + 1 stay
 in both. Then a document whose large buckets are e at most leaves them all out;
 largeness is a property of the bucket, so of the e + 1 agreeing segments one stays in
 both again. No link is lost, and only documents that consist of shared passages for
@@ -62,8 +62,9 @@ from claimlens.llm.bits import BitMap, bit_map
 from claimlens.operators.graph import connected_components
 from claimlens.session import materialize, release
 
-#: Bits of the parity sketch, growth of the bands, and share of segments in each of the two budgets for leaving out.
-SKETCH_BITS, GROWTH, SPARE = 1024, 1.4, 0.125
+#: Bits of the parity sketch, growth of the bands, and the budgets for leaving out (segments with few elements, large buckets)
+#: as shares of the largest difference.
+SKETCH_BITS, GROWTH, FEW, SPARE = 1024, 1.4, 0.25, 0.1
 #: Members from which a bucket is large. Where it is not, pairs in it grow with its members at most LARGE-fold.
 LARGE = 32
 #: Rows of a key in a slice of documents from which it is salted: OFTEN, or a 64th of the slice's documents if that is more.
@@ -125,10 +126,11 @@ def bands(percent: int) -> tuple[int, ...]:
     return tuple(out)
 
 
-def spare(percent: int, band: int) -> int:
-    """Segments that a document of a band may leave out, in each of the two steps."""
+def budgets(percent: int, band: int) -> tuple[int, int]:
+    """Segments that a document of a band leaves out for their few elements, and those it may leave out for their large buckets."""
     top = bands(percent)[band]
-    return max(1, round(SPARE * most_apart(top, top, percent)))
+    apart = most_apart(top, top, percent)
+    return round(FEW * apart), max(1, round(SPARE * apart))
 
 
 def keys(found: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +147,8 @@ def keys(found: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         apart = most_apart(top, top, percent)
         if not apart or (band > own and 100 * n < percent * (tops[own] + 1)):
             continue
-        few = spare(percent, band)
-        k = apart + 1 + 2 * few
+        few, spare = budgets(percent, band)
+        k = apart + 1 + few + spare
         segment = ((spread >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
         xor, size = np.zeros(k, np.uint64), np.zeros(k, np.int64)
@@ -302,8 +304,8 @@ def _places(made: DataFrame) -> DataFrame:
 def _large(places: DataFrame, percent: int) -> DataFrame:
     """(key, doc, first) of large buckets without the documents that leave theirs: those with as many of a band as they may leave out."""
     rows = places.where((F.col("tag") >= 0) & F.col("large")).select("key", "doc", "tag")
-    few = F.array(*[F.lit(spare(percent, i)) for i in range(len(bands(percent)))])
-    staying = rows.groupBy("doc", "tag").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > F.get(few, F.col("tag"))).select("doc", "tag")
+    spare = F.array(*[F.lit(budgets(percent, i)[1]) for i in range(len(bands(percent)))])
+    staying = rows.groupBy("doc", "tag").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > F.get(spare, F.col("tag"))).select("doc", "tag")
     rows = materialize(rows.join(staying, ["doc", "tag"], "left_semi").select("key", "doc"), "staying")
     firsts = rows.groupBy("key").agg(_chosen().alias("m"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     firsts = materialize(firsts.select("key", F.col("m.doc").alias("first")), "firsts")
