@@ -14,10 +14,10 @@ order that is a property of the segment: fewest elements first, then by key, so
 that segments that are empty or hold a single common shingle, where unlike
 documents meet, fall away. Of two documents one leaves out at least as far in that
 order as the other; of the agreeing segments it leaves out f at most, so e + 1 stay
-in both. Then a document whose large buckets are e at most leaves them all out;
-largeness is a property of the bucket, so of the e + 1 agreeing segments one stays in
-both again. No link is lost, and only documents that consist of shared passages for
-the most part stay in large buckets.
+in both. Then each leaves out its large buckets, the largest first, then by key, up
+to e of them. This order, too, is a property of the bucket, so of the e + 1 agreeing
+segments one stays in both again. No link is lost, and only documents that consist of
+shared passages for the most part stay in large buckets, and in few of them.
 
 A bucket's members are counted in two steps: rows of a key that is frequent in a
 slice of documents get a salt of that slice, and one of them goes, beside, to the
@@ -30,8 +30,9 @@ than one component go on: large ones to another chosen member, then all to the
 pairs of different components that are left. What is looked up for large buckets
 (least and greatest component, chosen member) is combined on the map side, written,
 and joined back. Each pair is first tested on a parity bit
-sketch, whose Hamming distance bounds the difference from below, then verified
-on the whole sets. Exact copies are put together by a digest of their set first.
+sketch, whose Hamming distance bounds the difference from below; pairs of larger sets
+then on finer sketches of about as many bits as the set has elements; what is left is
+verified on the whole sets. Exact copies are put together by a digest of their set first.
 
 Defined cases: null or empty texts and texts without words have an empty set and
 are linked with nothing; texts of fewer words than a shingle have one element,
@@ -65,6 +66,8 @@ from claimlens.session import materialize, release
 #: Bits of the parity sketch, growth of the bands, and the budgets for leaving out (segments with few elements, large buckets)
 #: as shares of the largest difference.
 SKETCH_BITS, GROWTH, FEW, SPARE = 1024, 1.4, 0.25, 0.1
+#: Elements from which a set has a finer sketch too.
+FINE = 2 * SKETCH_BITS
 #: Members from which a bucket is large. Where it is not, pairs in it grow with its members at most LARGE-fold.
 LARGE = 32
 #: Rows of a key in a slice of documents from which it is salted: OFTEN, or a 64th of the slice's documents if that is more.
@@ -166,7 +169,24 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(bool)).view(np.int64)
 
 
-_ROW = "key long, salt int, doc long, tag int, n long, digest binary, sketch array<long>"
+def fine_sketch(found: np.ndarray) -> bytes | None:
+    """As sketch, with a power of two of bits, as many as elements or up to twice as many; a half laid over the other gives the next smaller one."""
+    if len(found) <= FINE:
+        return None
+    bits = 1 << (len(found) - 1).bit_length()
+    at = (found * _ODD[45] >> np.uint64(16)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def fine_distance(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+_ROW = "key long, salt int, doc long, tag int, n long, digest binary, sketch array<long>, fine binary"
 #: Tags of rows that aren't a document's bucket (whose tag is its band): of documents by their id or their set, and delegates.
 BY_ID, BY_SET, DELEGATE = -3, -2, -1
 
@@ -196,7 +216,7 @@ def _rows(k: int, percent: int, repeated):
         often = repeated.value if repeated else ()
         part = TaskContext.get().partitionId()
         for slice_no, b in enumerate(pieces(batches)):
-            names, tags, counts, digests, bits = [], [], [], [], []
+            names, tags, counts, digests, bits, fine = [], [], [], [], [], []
             key, band, which = [], [], []
             ids = b.column(0).to_pylist()
             for i, (doc_id, text) in enumerate(zip(ids, b.column(1).to_pylist())):
@@ -217,6 +237,7 @@ def _rows(k: int, percent: int, repeated):
                 counts.append(len(found))
                 digests.append(mark)
                 bits.append(sketch(found) if new else None)
+                fine.append(fine_sketch(found) if new else None)
             key = np.concatenate([np.zeros(0, np.uint64), *key]).view(np.int64)
             band, which = np.concatenate([np.zeros(0, np.int64), *band]), np.concatenate([np.zeros(0, np.int64), *which])
             salt, chosen = _salted(key, len(ids), 1 + hash((part, slice_no)) % 0x7FFFFFFE)
@@ -227,9 +248,9 @@ def _rows(k: int, percent: int, repeated):
             salts = np.concatenate([np.zeros(whole, np.int32), salt, np.zeros(len(chosen), np.int32)])
             tag = np.concatenate([tags, band, np.full(len(chosen), DELEGATE)]).astype(np.int32)
             arrays = [pa.array(np.concatenate([names, key, key[chosen]]).astype(np.int64)), pa.array(salts), doc, pa.array(tag)]
-            for values, kind in ((counts, pa.int64()), (digests, pa.binary()), (bits, pa.list_(pa.int64()))):
+            for values, kind in ((counts, pa.int64()), (digests, pa.binary()), (bits, pa.list_(pa.int64())), (fine, pa.binary())):
                 arrays.append(pa.concat_arrays([pa.array(values, kind), pa.nulls(rest, kind)]))
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "salt", "doc", "tag", "n", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "salt", "doc", "tag", "n", "digest", "sketch", "fine"])
 
     return rows
 
@@ -273,6 +294,19 @@ def _near(percent: int):
     return near
 
 
+def _finer(percent: int):
+    """Keeps pairs that their finer sketches allow, where both have one."""
+
+    def finer(batches):
+        for b in pieces(batches):
+            n, m = np.array(b.column(2), dtype=np.int64), np.array(b.column(3), dtype=np.int64)
+            most = (100 - percent) * (n + m) // (100 + percent)
+            sketches = zip(b.column(4), b.column(5), most.tolist())
+            yield b.select([0, 1]).filter(pa.array([not (x.is_valid and y.is_valid) or fine_distance(x.as_py(), y.as_py()) <= d for x, y, d in sketches], pa.bool_()))
+
+    return finer
+
+
 def _verify(percent: int):
     def verify(batches):
         for b in pieces(batches):
@@ -302,15 +336,17 @@ def _places(made: DataFrame) -> DataFrame:
 
 
 def _large(places: DataFrame, percent: int) -> DataFrame:
-    """(key, doc, first) of large buckets without the documents that leave theirs: those with as many of a band as they may leave out."""
+    """(key, doc, first) of large buckets without those that documents leave out: the largest of each band, as many as its budget says."""
     rows = places.where((F.col("tag") >= 0) & F.col("large")).select("key", "doc", "tag")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    sizes = materialize(sizes.select("key", "c"), "sizes")
     spare = F.array(*[F.lit(budgets(percent, i)[1]) for i in range(len(bands(percent)))])
-    staying = rows.groupBy("doc", "tag").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > F.get(spare, F.col("tag"))).select("doc", "tag")
-    rows = materialize(rows.join(staying, ["doc", "tag"], "left_semi").select("key", "doc"), "staying")
+    at = F.row_number().over(Window.partitionBy("doc", "tag").orderBy(F.desc("c"), "key"))
+    rows = materialize(rows.join(sizes, "key").withColumn("at", at).where(F.col("at") > F.get(spare, F.col("tag"))).select("key", "doc"), "staying")
     firsts = rows.groupBy("key").agg(_chosen().alias("m"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     firsts = materialize(firsts.select("key", F.col("m.doc").alias("first")), "firsts")
     out = materialize(rows.join(firsts, "key"), "large")
-    release(rows, firsts)
+    release(sizes, rows, firsts)
     return out
 
 
@@ -321,7 +357,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     repeated = None if often.isEmpty() else docs.sparkSession.sparkContext.broadcast(_wanted(often))
     places = materialize(_places(docs.mapInArrow(_rows(k, percent, repeated), _ROW)), "jaccard")
     name = F.when(F.col("tag") == BY_SET, F.col("key")).otherwise(F.col("doc"))
-    slim = places.where(F.col("tag") < DELEGATE).select("doc", "n", "digest", "sketch", name.alias("name"))
+    slim = places.where(F.col("tag") < DELEGATE).select("doc", "n", "digest", "sketch", "fine", name.alias("name"))
     small = places.where((F.col("tag") >= 0) & ~F.col("large")).select("key", "doc", "first")
     large = _large(places, percent)
     buckets = small.unionByName(large)
@@ -329,7 +365,8 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     # Copies: rep is the least name of a set; a digest that many documents have is combined on the map side, and joined back as a table.
     named = slim.where("digest is not null and doc is not null")
     size = named.groupBy("digest").agg(
-        F.min("name").alias("rep"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")
+        F.min("name").alias("rep"), F.count(F.lit(1)).alias("c"), F.first("n").alias("n"),
+        F.first("sketch", ignorenulls=True).alias("sketch"), F.first("fine", ignorenulls=True).alias("fine"),
     )
     size = materialize(size, "sketches")
     again = size.where("c > 1").select("digest", "rep")
@@ -431,6 +468,12 @@ def _checked(pairs: DataFrame, size: DataFrame, docs: DataFrame, k: int, percent
     two = size.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     near = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(percent), "a long, b long")
     near = materialize(near, "near")
+    larger = size.where("fine is not null")
+    one = larger.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa"))
+    two = larger.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb"))
+    both = near.join(one, "a", "left").join(two, "b", "left").fillna(0, ["na", "nb"]).select("a", "b", "na", "nb", "fa", "fb")
+    coarse, near = near, materialize(both.mapInArrow(_finer(percent), "a long, b long"), "nearer")
+    release(coarse)
     needed = materialize(near.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "needed")
     sets = docs.mapInArrow(_sets(k, docs.sparkSession.sparkContext.broadcast(_wanted(needed)), repeated), "doc long, items binary")
     x, y = sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), sets.select(F.col("doc").alias("b"), F.col("items").alias("y"))
