@@ -10,9 +10,10 @@ The edited text, whose first half is the document's, is parsed from the middle
 on: what was learnt up to there is the same.
 
 The next document in descending order of doc_id comes from a range partitioning:
-boundaries between the parts are ids from a sample, every row goes to its part,
-and the first row of a part also goes to the part before it. No part's rows are
-held together: they are read in order.
+boundaries between the parts are ids from a sample, every row goes to its part
+(a partition of its own), and the first row of a part also goes to the part before
+it. The number of parts follows the bytes of text. No part's rows are held together:
+they are read in order, and a task holds the phrases of two texts.
 
 Defined cases: a null text is an empty one; two empty fingerprints have a
 likeness of 1, an empty and another 0; null doc_id comes last; rows with one
@@ -29,11 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hashes in a fingerprint.
-K = 96
+from claimlens.llm.batches import pieces
+
+#: Hashes in a fingerprint, and bytes of text in a part.
+K, PART_BYTES = 96, 32 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,9 +123,18 @@ def _row(doc_id, mine: Parsed, following: Parsed) -> tuple:
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (part, ghost, doc_id, text) in order; a ghost is the first row of the part that follows."""
-    held = None
+    on = gc.isenabled()
     gc.disable()  # phrase trees hold no cycles
-    for b in batches:
+    try:
+        yield from _in_order(batches)
+    finally:
+        if on:
+            gc.enable()
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = None
+    for b in pieces(batches):
         out = []
         for part, ghost, doc_id, text in zip(*(b.column(i).to_pylist() for i in range(4))):
             one = Parsed(text or "")
@@ -165,11 +177,13 @@ def neighbours(docs: DataFrame, parts: int) -> DataFrame:
         .select(F.col("to").alias("part"), F.lit(True).alias("ghost"), "doc_id", "text", F.col("w.tie").alias("tie"))
     )
     both = keyed.select("part", F.lit(False).alias("ghost"), "doc_id", "text", "tie").unionByName(ghosts)
-    dealt = both.repartition(len(firsts), "part").sortWithinPartitions("part", "ghost", F.desc_nulls_last("doc_id"), "tie")
+    dealt = both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "ghost", F.desc_nulls_last("doc_id"), "tie")
     return dealt.select("part", "ghost", "doc_id", "text")
 
 
 def op5_lz_fingerprint(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Fingerprints of every row of docs (doc_id, text) and of its edited text, and their likeness."""
-    n = parts or 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return neighbours(docs, n).mapInArrow(_prints, _SCHEMA)
+    if not parts:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+    return neighbours(docs, parts).mapInArrow(_prints, _SCHEMA)
