@@ -3,8 +3,8 @@
 Statistics of each text (lengths, shares of character classes, repetition, line
 shapes) are standardised and mapped to D cosines with seeded random frequencies,
 which approximate a Gaussian kernel. Tasks sum the normal equations of their
-labelled rows (a D x D matrix for each fold, whatever the number of rows), the
-driver adds them up in a tree and solves the ridge system. Scores that a fold's
+labelled rows (a D x D matrix for each fold, whatever the number of rows), these
+are added up FAN at a time, and the driver adds the last few and solves the ridge system. Scores that a fold's
 rows get from the other folds' model are binned, and pooling adjacent violators
 over the bins gives the calibration. All labelled rows that aren't held out are
 used; nothing is sampled.
@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.session import materialize
+from claimlens.llm.batches import pieces
+from claimlens.session import materialize, release
 
 FEATURES, SEED, RIDGE, FOLDS, BINS, PRIOR, THRESHOLD = 192, 11, 1e-3, 4, 400, 0.5, 0.3
-_STRIP = str.maketrans("", "", "0123456789")
+#: Matrices that are added in one task.
+FAN = 8
 
 
 def statistics(text: str) -> list[float]:
@@ -63,7 +65,7 @@ N_STATISTICS = 28
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches):
         rows = [statistics(t or "") for t in b.column(1).to_pylist()]
         ids = b.column(0).to_pylist()
         fold = [zlib.crc32(str("" if i is None else i).encode()) for i in ids]
@@ -110,6 +112,8 @@ def _moments(batches):
 
 def _normal(model: Model):
     def sums(batches):
+        from pyspark import TaskContext
+
         got: dict[int, np.ndarray] = {}
         for b in batches:
             x = np.array(b.column(2).to_pylist(), float).reshape(-1, N_STATISTICS)
@@ -117,14 +121,25 @@ def _normal(model: Model):
             for f in np.unique(fold):
                 z = np.hstack([model.map(x[fold == f]), y[fold == f][:, None]])
                 got[int(f)] = got.get(int(f), 0) + z.T @ z
-        yield pa.RecordBatch.from_pydict({"fold": pa.array(list(got), pa.int32()), "a": pa.array([m.tobytes() for m in got.values()], pa.binary())})
+        part = pa.array([TaskContext.get().partitionId()] * len(got), pa.int64())
+        yield pa.RecordBatch.from_pydict({"part": part, "fold": pa.array(list(got), pa.int32()), "a": pa.array([m.tobytes() for m in got.values()], pa.binary())})
 
     return sums
 
 
 def _add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(a.as_py()) for a in rows.column("a"))
-    return pa.table({"fold": pa.array([key[0].as_py()], pa.int32()), "a": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "fold": pa.array([key[1].as_py()], pa.int32()), "a": pa.array([total.tobytes()], pa.binary())})
+
+
+def _added(sums: DataFrame) -> DataFrame:
+    """Sums of the matrices (part, fold, a) by fold, FAN at a time and level by level, so that no task holds more; FAN or fewer are left for each fold."""
+    sums = materialize(sums, "normal")
+    while (sums.agg(F.max("part")).first()[0] or 0) >= FAN:
+        wide = sums.withColumn("part", F.floor(F.col("part") / FAN).cast("long"))
+        last, sums = sums, materialize(wide.groupBy("part", "fold").applyInArrow(_add, "part long, fold int, a binary"), "normal")
+        release(last)
+    return sums
 
 
 def solve(total: np.ndarray) -> np.ndarray:
@@ -174,9 +189,7 @@ def fit(rows: DataFrame, labels: DataFrame) -> Model:
         return Model(zero, zero + 1)
     s = np.array([total[f"s{i}"] for i in range(2 * N_STATISTICS)]).reshape(2, -1) / n
     model = Model(s[0], np.sqrt(np.maximum(s[1] - s[0] ** 2, 0)) + 1e-3)
-    # One matrix for each task and fold; added up by fold and a salt before the driver adds the rest.
-    sums = train.mapInArrow(_normal(model), "fold int, a binary").withColumn("salt", F.expr("pmod(xxhash64(a), 8)"))
-    sums = sums.groupBy("fold", "salt").applyInArrow(_add, "fold int, a binary").collect()
+    sums = _added(train.mapInArrow(_normal(model), "part long, fold int, a binary")).collect()  # FOLDS * FAN matrices at most
     width = FEATURES + N_STATISTICS + 2
     folds = np.zeros((FOLDS, width, width))
     for r in sums:
@@ -217,7 +230,7 @@ def accepted_documents(docs: DataFrame, labels: DataFrame, threshold: float = TH
     at = docs.columns.index("text")
 
     def keep(batches):
-        for b in batches:
+        for b in pieces(batches):
             x = np.array([statistics(t or "") for t in b.column(at).to_pylist()], "<f4").astype(float).reshape(-1, N_STATISTICS)
             yield b.filter(pa.array(model.value.score(x) >= threshold))
 
