@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.llm.batches import pieces
 from claimlens.llm.units import LONGEST, UnitEncoder
 
 #: Rows of the broadcast table; with LONGEST characters each at most about 2 MB.
@@ -32,6 +33,7 @@ FREQUENT = 20_000
 _COUNTED = 300_000
 _UNIT = re.compile(" *[^ \n]+|\n| +")
 _MODELS: dict = {}
+_CACHE: dict = {}
 
 
 def model(path: str):
@@ -100,10 +102,11 @@ def frequent(docs: DataFrame) -> list[str]:
 
 def _count(path: str, table, key: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, key) not in _MODELS:
-            _MODELS[path, key] = (Lengths(path, table.value), parted(path))
-        cache, fine = _MODELS[path, key]
-        for b in batches:
+        if _CACHE.get("key") != (path, key):  # a worker keeps one cache, of the corpus it counts now
+            _CACHE.clear()
+            _CACHE.update(key=(path, key), lengths=(Lengths(path, table.value), parted(path)))
+        cache, fine = _CACHE["lengths"]
+        for b in pieces(batches):
             ids, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
             n = [cache.count(t) if fine and "\x00" not in t else len(model(path).encode(t)) for t in texts]
             size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]

@@ -110,7 +110,7 @@ def test_substrings(docs, none):
     documents = docs.toPandas()  # noqa: F841
     want = duckdb.sql(substrings.oracle()).df().sort_values("doc_id").reset_index(drop=True)
     got = substrings.op3_substrings(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
-    assert want[got.columns].astype("int64").equals(got.astype("int64")) and got.n_removed.sum() > 0
+    assert want[got.columns].astype(str).equals(got.astype(str)) and got.n_removed.sum() > 0 and (got.n_repeated > got.n_removed).any()
     text = dict(zip(documents.doc_id, documents.text))
     for r in substrings.deduplicated(docs).collect():
         if text[r["doc_id"]] is not None:
@@ -125,12 +125,21 @@ def test_kept_spans(spark, docs, none):
     got = substrings.op3_kept_spans(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
     assert sorted(got.columns) == sorted(want.columns) and got.n_removed.sum() > 0
     assert want[got.columns].astype(object).where(want[got.columns].notna(), None).equals(got.astype(object).where(got.notna(), None))
-    line = "one two three four five six seven eight"
-    few = spark.createDataFrame([(2, f"é\n{line}\nend"), (1, f"{line}\n\n{line}"), (3, None)], "doc_id long, text string")
-    rest = {1: (f"{line}\n", "0:39,40:40"), 2: ("é\nend", "0:1,42:45")}
+    # A stretch of 13 + 12 words in two lines, a blank one between; each line alone is too short.
+    one, two = " ".join(f"w{i}" for i in range(13)), " ".join(f"v{i}" for i in range(12))
+    text = f"{one}\n\n{two}"
+    few = spark.createDataFrame([(2, f"é\n{text}\nend"), (1, f"{text}\nmore\n{one}"), (3, None), (None, text), (4, f"{one}\nx\n{two}")], "doc_id long, text string")
+    n, m = len(one), len(two)
+    rest = {1: (f"{text}\nmore\n{one}", 0), 2: ("é\n\nend", 2), None: ("", 2), 4: (f"{one}\nx\n{two}", 0), 3: (None, 0)}
     out = by_id(substrings.op3_kept_spans(few))
-    assert {i: (out[i]["text_sha256"], out[i]["kept"]) for i in rest} == {i: (hashlib.sha256(t.encode()).hexdigest(), k) for i, (t, k) in rest.items()}
-    assert (out[3]["text_sha256"], out[3]["kept"], out[3]["n_units"]) == (None, "", 0)
+    assert {i: (out[i]["text_sha256"], out[i]["n_removed"]) for i in rest} == {i: (t if t is None else hashlib.sha256(t.encode()).hexdigest(), k) for i, (t, k) in rest.items()}
+    assert out[2]["kept"] == f"0:1,{n + 3}:{n + 3},{n + m + 5}:{n + m + 8}" and (out[3]["kept"], out[3]["n_units"], out[3]["kept_chars"]) == ("", 0, 0)
+    counts = by_id(substrings.op3_substrings(few))
+    assert counts[2]["removed"] == f"2:{n + 2},{n + 4}:{n + m + 4}"
+    assert {i: (r["n_repeated"], r["kept_chars"]) for i, r in counts.items()} == {1: (2, n + m + n + 8), 2: (2, 6), 3: (0, 0), 4: (0, n + m + 3), None: (2, 0)}
+    clash = few.withColumns({c: F.lit(i) for i, c in enumerate(("row", "digest", "pos", "offsets", "marks"))})
+    whole = substrings.deduplicated(clash)
+    assert whole.columns == [*clash.columns, "offsets_"] and [r["pos"] for r in whole.collect()] == [2] * 5
     assert substrings.op3_kept_spans(none).count() == 0
 
 
