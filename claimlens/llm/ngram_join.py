@@ -29,7 +29,7 @@ chosen by hash, the links found give components, and only buckets that hold more
 than one component go on: large ones to another chosen member, then all to the
 pairs of different components that are left. What is looked up for large buckets
 (least and greatest component, chosen member) is combined on the map side, written,
-and joined back. Each pair is first tested on a parity bit
+and joined back; small ones give pairs for each distinct list of members. Each pair is first tested on a parity bit
 sketch, whose Hamming distance bounds the difference from below; pairs of larger sets
 then on finer sketches of about as many bits as the set has elements; what is left is
 verified on the whole sets. Exact copies are put together by a digest of their set first.
@@ -65,11 +65,11 @@ from claimlens.session import materialize, release
 
 #: Bits of the parity sketch, growth of the bands, and the budgets for leaving out (segments with few elements, large buckets)
 #: as shares of the largest difference.
-SKETCH_BITS, GROWTH, FEW, SPARE = 1024, 1.4, 0.25, 0.1
+SKETCH_BITS, GROWTH, FEW, SPARE = 1024, 1.4, 0.25, 0.2
 #: Elements from which a set has a finer sketch too.
 FINE = 2 * SKETCH_BITS
 #: Members from which a bucket is large. Where it is not, pairs in it grow with its members at most LARGE-fold.
-LARGE = 32
+LARGE = 8
 #: Rows of a key in a slice of documents from which it is salted: OFTEN, or a 64th of the slice's documents if that is more.
 OFTEN = 8
 _ODD = [np.uint64(int(hashlib.blake2b(bytes([i]), digest_size=8).hexdigest(), 16) | 1) for i in range(64)]
@@ -385,25 +385,24 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
 
     labels = components(links)
     for last in (False, True):
+        known = materialize(rep.join(labels.withColumnRenamed("node", "doc"), "doc"), "known")
+
         def members(rows: DataFrame) -> DataFrame:
             """(key, doc, component) with copies put together."""
-            at = rows.select("key", "doc").join(rep, "doc").select("key", F.col("rep").alias("doc")).distinct()
-            return at.join(labels.withColumnRenamed("node", "doc"), "doc")
+            return rows.select("key", "doc").join(known, "doc").select("key", F.col("rep").alias("doc"), "component")
 
-        w = Window.partitionBy("key")
-        at = materialize(members(large), "members")
+        at = materialize(members(large).distinct(), "members")
         stats = at.groupBy("key").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("doc", "key").alias("h"), "doc", "component")).alias("p")
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("doc", F.lit(2)).alias("h"), "doc", "component")).alias("p")
         )
         stats = materialize(stats.where("lo < hi"), "divided")
         wide = at.join(stats, "key")
         if last:
-            few = members(small).withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo < hi").drop("lo", "hi")
-            more = _across(few).unionByName(_across(materialize(wide.drop("lo", "hi", "p"), "wide"), size, percent)).distinct()
+            more = _listed(members(small)).unionByName(_across(materialize(wide.drop("lo", "hi", "p"), "wide"), size, percent)).distinct()
         else:
             more = wide.where("component <> p.component").select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b")).distinct()
         more = materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        release(at, stats)
+        release(at, stats, known)
         if more.isEmpty():
             continue
         found = _checked(more, size, docs, k, percent, repeated)
@@ -425,22 +424,34 @@ def _repeated(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
 
 
-def _across(at: DataFrame, size: DataFrame | None = None, percent: int = 0) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket; with size, only those that sizes and sketches allow,
-    a condition of the join itself."""
-    one = at.select("key", F.col("doc").alias("a"), F.col("component").alias("ca"))
-    two = at.select("key", F.col("doc").alias("b"), F.col("component").alias("cb"))
-    on = (one["key"] == two["key"]) & (F.col("ca") < F.col("cb"))
-    if size is not None:
-        one = one.join(size.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        two = two.join(size.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        both = [F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH_BITS // 64)]
-        total = both[0]
-        for x in both[1:]:
-            total = total + x
-        on = (one["key"] == two["key"]) & (F.col("ca") < F.col("cb"))
-        on = on & (total * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
-        on = on & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+def _listed(at: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in small buckets. Documents that share much meet in many buckets with the same
+    members, so lists of members (LARGE at most) are made distinct before they are paired."""
+    lists = at.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("component", "doc"))).alias("m")).select("m").distinct()
+    later = lambda x, i: F.filter(F.slice("m", i + 2, F.size("m")), lambda y: y["component"] > x["component"])
+    pair = lambda x, y: F.struct(F.least(x["doc"], y["doc"]).alias("a"), F.greatest(x["doc"], y["doc"]).alias("b"))
+    every = F.flatten(F.transform("m", lambda x, i: F.transform(later(x, i), lambda y: pair(x, y))))
+    return lists.where("m[0].component < m[size(m) - 1].component").select(F.explode(every).alias("p")).select("p.a", "p.b")
+
+
+def _across(at: DataFrame, size: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket that sizes and sketches allow, a condition of the join itself.
+
+    Where the last bucket before, by key, is the same for both documents, they have met there already.
+    """
+    at = at.withColumn("before", F.lag("key").over(Window.partitionBy("doc").orderBy("key")))
+    sides = []
+    for x in "ab":
+        mine = size.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        sides.append(at.select("key", F.col("doc").alias(x), F.col("component").alias(f"c{x}"), F.col("before").alias(f"k{x}")).join(mine, x))
+    one, two = sides
+    both = [F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH_BITS // 64)]
+    total = both[0]
+    for x in both[1:]:
+        total = total + x
+    on = (one["key"] == two["key"]) & (F.col("ca") < F.col("cb")) & F.coalesce(F.col("ka") != F.col("kb"), F.lit(True))
+    on = on & (total * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    on = on & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return one.join(two, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
