@@ -1,34 +1,58 @@
-"""Measures of rankings and classifiers."""
+"""Measures of rankings and classifiers.
+
+Where rows are ranked by a score, only counts by score are ordered, and those in
+ranges: each range is summed by a task of its own, and what lies before a range
+comes from a row for each range (RANGES at most, on the driver).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimlens.session import materialize
 
-def auc(rows: DataFrame) -> DataFrame:
-    """Area under the curve of (positive 0/1, score) from counts by score: ties count half; 0.5 if a side is empty.
+RANGES = 64
 
-    Only counts of distinct scores are ordered, in ranges; rows are summed first.
-    """
+
+def _running(rows: DataFrame, order: list[Column], count: str, before: str) -> DataFrame:
+    """rows with the sum of count over the rows that stand before by order."""
+    parts = materialize(rows.repartitionByRange(RANGES, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    total, start = {}, 0
+    for r in parts.groupBy("_range").agg(F.sum(count).alias("s")).orderBy("_range").collect():  # a row for each range
+        total[r["_range"]], start = start, start + r["s"]
+    if not total:
+        return rows.withColumn(before, F.lit(0).cast("long"))
+    base = F.create_map(*[F.lit(x) for item in total.items() for x in item])[F.col("_range")]
+    own = F.sum(count).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return parts.withColumn(before, (base + F.coalesce(own, F.lit(0))).cast("long")).drop("_range")
+
+
+def auc(rows: DataFrame) -> DataFrame:
+    """Area under the curve of (positive 0/1, score) from counts by score: ties count half; 0.5 if a side is empty."""
     by = rows.groupBy("score").agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = by.withColumn("wins", F.col("p") * (below + F.col("n") / 2)).agg(F.sum("wins").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    below = _running(by, [F.asc("score")], "n", "below")
+    t = below.withColumn("wins", F.col("p") * (F.col("below") + F.col("n") / 2)).agg(F.sum("wins").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return t.select(F.round(F.when(F.col("p") * F.col("n") > 0, F.col("w") / (F.col("p") * F.col("n"))).otherwise(0.5), 6).alias("auc"))
 
 
 def precision_and_lift(rows: DataFrame, score: str, tie: str, k: int = 10) -> DataFrame:
     """Share of expected rows among the first k and in the top tenth against all; rows: score, tie, expected."""
-    top = rows.orderBy(F.desc(score), tie).limit(k).agg(F.avg(F.col("expected").cast("int")).alias("p"))
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("expected").cast("int")).alias("base"))
-    tenth = F.greatest(F.lit(1), F.round(0.1 * F.col("n")))
-    # The border of the top tenth is found on counts by score, then ids rank within the border's score only.
-    by = rows.groupBy(score).agg(F.count(F.lit(1)).alias("c"))
-    above = by.withColumn("above", F.coalesce(F.sum("c").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = rows.join(above, score).crossJoin(F.broadcast(total)).withColumn("in", F.row_number().over(Window.partitionBy(score).orderBy(tie)) + F.col("above"))
-    lift = at.where(F.col("in") <= tenth).agg((F.avg(F.col("expected").cast("int")) / F.first("base")).alias("lift"))
-    out = total.crossJoin(top).crossJoin(lift)
-    return out.select(F.round("p", 6).alias("precision_at_10"), F.round("base", 6).alias("base_rate"), F.round("lift", 6).alias("lift"))
+    rows = materialize(rows.select(score, tie, "expected"), "ranked")
+    hit = F.avg(F.col("expected").cast("int"))
+    n = rows.count()
+    tenth = max(1, int(n / 10 + 0.5))
+    # The border score of the top tenth is found on counts by score; of the border's rows only as many as are missing are ranked.
+    above = _running(rows.groupBy(score).agg(F.count(F.lit(1)).alias("c")), [F.desc(score)], "c", "above")
+    border = above.where(F.col("above") < tenth).orderBy(score).limit(1).collect()  # one row
+    top = rows.orderBy(F.desc(score), tie).limit(k)
+    head = rows.limit(0)
+    if border:
+        b = border[0]
+        ties = rows.where(F.col(score) == F.lit(b[score])).orderBy(tie).limit(tenth - b["above"])
+        head = rows.where(F.col(score) > F.lit(b[score])).unionByName(ties)
+    one = top.agg(hit.alias("p")).crossJoin(rows.agg(hit.alias("base"))).crossJoin(head.agg(hit.alias("t")))  # one row each
+    return one.select(F.round("p", 6).alias("precision_at_10"), F.round("base", 6).alias("base_rate"), F.round(F.try_divide("t", "base"), 6).alias("lift"))
 
 
 def recall(expected: DataFrame, flags: DataFrame, key: str) -> DataFrame:
@@ -38,6 +62,11 @@ def recall(expected: DataFrame, flags: DataFrame, key: str) -> DataFrame:
     return n.withColumn("recall", F.round(F.try_divide("caught", "expected"), 6))
 
 
+def missed(expected: DataFrame, flags: DataFrame, key: list[str]) -> DataFrame:
+    """Expected rows (key) that no flag meets."""
+    return expected.join(flags.select(*key).distinct(), key, "left_anti")
+
+
 def pass_rate(rows: DataFrame, flags: DataFrame, case: list[str], key: str) -> DataFrame:
     """Share of cases in which no row has a high flag."""
     high = flags.where("severity = 'high'").select(key).distinct().withColumn("hit", F.lit(1))
@@ -45,6 +74,32 @@ def pass_rate(rows: DataFrame, flags: DataFrame, case: list[str], key: str) -> D
     return cases.agg(F.round(F.avg((F.col("high") == 0).cast("int")), 6).alias("pass_rate"))
 
 
+def error_rates(rows: DataFrame, score: str, threshold: float) -> DataFrame:
+    """By variant: rows, mean score, and how many reach the threshold; rows: variant, score (null counts as unmeasured)."""
+    hit = F.count_if(F.col(score) >= threshold)
+    by = rows.groupBy("variant").agg(F.count(score).alias("measured"), F.round(F.avg(score), 6).alias("mean_score"), hit.alias("flagged"))
+    return by.withColumn("rate", F.round(F.try_divide("flagged", "measured"), 6))
+
+
+def graded(truth: DataFrame, read: DataFrame, key: str = "document") -> DataFrame:
+    """(key, field, status) of every true value: right, wrong, or missing where nothing was read.
+
+    truth, read: key and a map of fields. Values are compared as letters and digits only, numbers by their digits.
+    """
+    plain = lambda c: F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
+    want = truth.select(key, F.explode("truth").alias("field", "want"))
+    got = read.select(key, F.explode("fields").alias("field", "got"))
+    both = want.join(got, [key, "field"], "left")
+    status = F.when(F.col("got").isNull() | (F.trim("got") == ""), "missing").when(plain(F.col("want")) == plain(F.col("got")), "right").otherwise("wrong")
+    return both.select(key, "field", status.alias("status"))
+
+
+def whole_documents(grades: DataFrame, key: str = "document") -> DataFrame:
+    """Documents graded, and those of which every field is right."""
+    one = grades.groupBy(key).agg(F.bool_and(F.col("status") == "right").alias("whole"))
+    return one.agg(F.count(F.lit(1)).alias("documents"), F.count_if("whole").alias("correct"))
+
+
 def field_accuracy(graded: DataFrame) -> DataFrame:
     """From (check, status): how many of each field were graded and right; skipped ones are not graded."""
     done, right = F.count_if(F.col("status") != "skipped"), F.count_if(F.col("status") == "pass")

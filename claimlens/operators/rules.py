@@ -2,21 +2,22 @@
 
 A rule is a function (population, rule) -> findings(application_id, rule, evidence).
 The population has scope, household and the declared and read values. All rules
-are groupings and equi-joins on keys; none compares all pairs.
+are groupings and equi-joins on keys; none compares all pairs. Rules that look at
+one row only are conditions: a run takes all of them in one scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.functions.similarity import exceeds_tolerance
-from claimlens.functions.text import alnum, editing_software, serial_tail
+from claimlens.functions.text import editing_software, serial_tail
 from claimlens.operators.documents import agreement, named
-from claimlens.session import materialize
+from claimlens.session import materialize, release
 
 
 @dataclass(frozen=True)
@@ -64,30 +65,63 @@ def rules_of(version: int) -> dict[str, Rule]:
     return {n: r for n, r in RULES.items() if r.since <= version}
 
 
+def configured(version: int, config: dict[str, dict]) -> dict[str, Rule]:
+    """The rules of a version with a configuration's severities, weights and parameters; rules it disables or leaves out are not run.
+
+    config: by rule, a mapping with enabled, severity, weight and params, each of which may be missing.
+    """
+    out = {}
+    for name, rule in rules_of(version).items():
+        c = config.get(name)
+        if c is not None and c.get("enabled", True):
+            given = {k: c[k] for k in ("severity", "weight") if c.get(k) is not None}
+            out[name] = replace(rule, params=rule.params | (c.get("params") or {}), **given)
+    return out
+
+
+def _rules(version: int, config: dict[str, dict] | None) -> dict[str, Rule]:
+    return rules_of(version) if config is None else configured(version, config)
+
+
 def _found(df: DataFrame, rule: Rule, evidence: Column) -> DataFrame:
     return df.select("application_id", F.lit(rule.name).alias("rule"), evidence.cast("string").alias("evidence"))
 
 
-def sibling_income(pop: DataFrame, rule: Rule) -> DataFrame:
-    w = Window.partitionBy("scope", "household")
+def _far(pop: DataFrame, key: list[str], apart: str | None) -> DataFrame:
+    """(application_id, o): the counterpart of every row whose income exceeds the tolerance against another row of its key
+    (and, with apart, of another household).
+
+    The gap that is tolerated grows with the gap itself, so the rows with the least and the greatest income decide
+    who fires, and the farther of the two is the counterpart (the least income on equal gaps, the least id on equal
+    incomes). Only those two, and with apart those of the key's second household at either end, are kept of a key:
+    groupings that are combined before the shuffle, however common a name is.
+    """
     inc = F.col("declared_annual_income")
-    near = pop.withColumns({"lo": F.min(inc).over(w), "hi": F.max(inc).over(w)})
-    hit = near.where(exceeds_tolerance(inc, F.col("lo")) | exceeds_tolerance(inc, F.col("hi")))
-    other = pop.select("scope", "household", F.col("application_id").alias("other"), inc.alias("other_income"))
-    pairs = hit.join(other, ["scope", "household"]).where(exceeds_tolerance(inc, F.col("other_income")))
-    return _found(pairs.groupBy("application_id").agg(F.min("other").alias("o")), rule, F.col("o"))
+    rows = pop.select(*key, *([apart] if apart else []), "application_id", "declared_annual_income")
+    ends = {"lo": F.struct(inc.alias("v"), F.col("application_id").alias("id")), "hi": F.struct((-inc).alias("v"), F.col("application_id").alias("id"))}
+    if not apart:
+        best = rows.groupBy(*key).agg(*[F.min(e).alias(n) for n, e in ends.items()])
+        found = [F.struct(F.col("lo.v").alias("v"), F.col("lo.id").alias("id")), F.struct((-F.col("hi.v")).alias("v"), F.col("hi.id").alias("id"))]
+    else:
+        homes = rows.groupBy(*key, apart).agg(*[F.min(e).alias(n) for n, e in ends.items()])
+        # The best household of each end, and the best of the others: a row of the best one looks at the latter.
+        pair = {n: F.struct(F.col(f"{n}.v").alias("v"), F.col(f"{n}.id").alias("id"), F.col(apart).alias("h")) for n in ends}
+        first = homes.groupBy(*key).agg(*[F.min(x).alias(f"{n}1") for n, x in pair.items()])
+        second = homes.join(first, key).groupBy(*key).agg(*[F.min(F.when(F.col(apart) != F.col(f"{n}1.h"), x)).alias(f"{n}2") for n, x in pair.items()])
+        best = first.join(second, key)
+        other = {n: F.when(F.col(f"{n}1.h") != F.col(apart), F.col(f"{n}1")).otherwise(F.col(f"{n}2")) for n in ends}
+        found = [F.struct((other["lo"]["v"]).alias("v"), other["lo"]["id"].alias("id")), F.struct((-other["hi"]["v"]).alias("v"), other["hi"]["id"].alias("id"))]
+    at = rows.join(best, key).withColumn("o", F.explode(F.array(*found))).where(exceeds_tolerance(inc, F.col("o.v")))
+    farther = F.min(F.struct((-F.abs(inc - F.col("o.v"))).alias("g"), F.col("o.v").alias("v"), F.col("o.id").alias("id")))
+    return at.groupBy("application_id").agg(farther.alias("m")).select("application_id", F.col("m.id").alias("o"))
+
+
+def sibling_income(pop: DataFrame, rule: Rule) -> DataFrame:
+    return _found(_far(pop, ["scope", "household"], None), rule, F.col("o"))
 
 
 def guardian_income(pop: DataFrame, rule: Rule) -> DataFrame:
-    """Households' extremes stand for a guardian's other applications, so a common name makes no pairs of rows."""
-    inc = F.col("declared_annual_income")
-    mine = pop.where("guardian_key <> ''").select("scope", "guardian_key", "household", "application_id", "declared_annual_income")
-    w = Window.partitionBy("scope", "guardian_key")
-    ends = mine.withColumns({"lo": F.min(inc).over(w), "hi": F.max(inc).over(w)})
-    hit = ends.where(exceeds_tolerance(inc, F.col("lo")) | exceeds_tolerance(inc, F.col("hi"))).drop("lo", "hi")
-    other = mine.select("scope", "guardian_key", F.col("household").alias("h2"), F.col("application_id").alias("other"), inc.alias("other_income"))
-    pairs = hit.join(other, ["scope", "guardian_key"]).where((F.col("household") != F.col("h2")) & exceeds_tolerance(inc, F.col("other_income")))
-    return _found(pairs.groupBy("application_id").agg(F.min("other").alias("o")), rule, F.col("o"))
+    return _found(_far(pop.where("guardian_key <> ''"), ["scope", "guardian_key"], "household"), rule, F.col("o"))
 
 
 def _clustered(pop: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -122,54 +156,81 @@ def shared_contact(pop, rule):
     return _found(_clustered(pop.where("phone_key is not null"), ["phone_key"], 2), rule, F.col("n"))
 
 
-def deadline(pop, rule, last_day: Column | None = None):
-    days = F.datediff(last_day if last_day is not None else F.make_date(F.col("scope").cast("int"), F.lit(7), F.lit(31)), "certificate_issue_date")
-    return _found(pop.where(days.between(0, rule.params["days"])), rule, days)
-
-
 def _read(c: str, rule: Rule) -> Column:
     return F.col(c).isNotNull() & (F.col("read_confidence") >= rule.params["confidence"])
 
 
-def below_certificate(pop, rule):
-    d, c = F.col("declared_annual_income"), F.col("read_income")
-    return _found(pop.where(_read("read_income", rule) & (c > d) & exceeds_tolerance(c, d)), rule, c - d)
+def _fails(rule: Rule, fields: tuple[str, ...]) -> tuple[Column, Column]:
+    """Fires where a field, declared and read well enough, disagrees; evidence: those fields' names."""
+    bad = F.concat_ws(", ", *[F.when(_read(f"read_{f}", rule) & ~agreement(f), F.lit(f)) for f in fields])
+    return bad != "", bad
 
 
-def _fails(pop: DataFrame, rule: Rule, fields: tuple[str, ...]) -> DataFrame:
-    """Rows on which a field, declared and read well enough, disagrees; evidence: those fields' names."""
-    bad = F.concat_ws(", ", *[F.when(_read(f"read_{f}", rule) & ~agreement(f), F.lit(f)) for f in fields])
-    return _found(pop.withColumn("bad", bad).where("bad <> ''"), rule, F.col("bad"))
+def deadline(rule):
+    days = F.datediff(F.make_date(F.col("scope").try_cast("int"), F.lit(7), F.lit(31)), "certificate_issue_date")
+    return days.between(0, rule.params["days"]), days
+
 
+def below_certificate(rule):
+    d, c = F.col("declared_annual_income"), F.col("read_income")
+    return _read("read_income", rule) & (c > d) & exceeds_tolerance(c, d), c - d
 
-def certificate_holder(pop, rule):
-    return _fails(named(pop), rule, ("applicant_name", "guardian_name"))
 
+def certificate_holder(rule):
+    return _fails(rule, ("applicant_name", "guardian_name"))
 
-def certificate_number(pop, rule):
-    return _fails(pop, rule, ("certificate_id",))
 
+def certificate_number(rule):
+    return _fails(rule, ("certificate_id",))
 
-def income_words(pop, rule):
-    return _found(pop.where(F.col("words_mismatch") & (F.col("read_confidence") >= rule.params["confidence"])), rule, F.lit("words"))
 
+def income_words(rule):
+    return F.col("words_mismatch") & (F.col("read_confidence") >= rule.params["confidence"]), F.lit("words")
 
-def certificate_details(pop, rule):
-    return _fails(pop, rule, ("district", "pincode", "family_size"))
 
+def certificate_details(rule):
+    return _fails(rule, ("district", "pincode", "family_size"))
 
-def tampered(pop, rule):
-    return _found(pop.where(F.col("ela_applied").isNotNull() & editing_software(F.col("software"))), rule, F.col("software"))
 
+def tampered(rule):
+    """An editor's name in the document's tags, or a tamper score at the configured threshold (there is none by default)."""
+    edited = F.col("ela_applied").isNotNull() & editing_software(F.col("software"))
+    least = rule.params.get("tamper_score")
+    if least is None:
+        return edited, F.col("software")
+    high = F.coalesce(F.col("ela_applied") & (F.col("tamper_score") >= least), F.lit(False))
+    return edited | high, F.when(edited, F.col("software")).otherwise(F.concat(F.lit("score "), F.round("tamper_score", 3).cast("string")))
 
-def government_record(pop, rule):
-    return _found(pop.where("verification = 'mismatch'"), rule, F.col("verification"))
 
+def government_record(rule):
+    return F.col("verification") == "mismatch", F.col("verification")
 
-def not_a_certificate(pop, rule):
+
+def not_a_certificate(rule):
     p = rule.params
     legible = (F.col("word_count") >= p["words"]) & (F.col("read_confidence") >= p["confidence"])
-    return _found(pop.where(legible & (F.col("fields_found") < p["fields"])), rule, F.col("fields_found"))
+    return legible & (F.col("fields_found") < p["fields"]), F.col("fields_found")
+
+
+#: Rules on one row: rule -> (condition, evidence).
+ROW_RULES: dict[str, Callable] = {
+    "DEADLINE_PROXIMITY": deadline, "DECLARED_INCOME_BELOW_CERTIFICATE": below_certificate,
+    "CERTIFICATE_HOLDER_MISMATCH": certificate_holder, "CERTIFICATE_NUMBER_MISMATCH": certificate_number,
+    "CERTIFICATE_INCOME_WORDS_MISMATCH": income_words, "CERTIFICATE_DETAILS_MISMATCH": certificate_details,
+    "DOCUMENT_TAMPER_SIGNAL": tampered, "GOVERNMENT_RECORD_MISMATCH": government_record, "DOCUMENT_NOT_A_CERTIFICATE": not_a_certificate,
+}
+_NAMED = "CERTIFICATE_HOLDER_MISMATCH"
+
+
+def row_findings(pop: DataFrame, some: dict[str, Rule]) -> DataFrame:
+    """Findings of the rules on one row, all in one scan."""
+    hits = []
+    for name, rule in some.items():
+        fires, evidence = ROW_RULES[name](rule)
+        hits.append(F.when(fires, F.struct(F.lit(name).alias("rule"), evidence.cast("string").alias("evidence"))))
+    rows = named(pop) if _NAMED in some else pop
+    each = rows.select("application_id", F.explode(F.array_compact(F.array(*hits))).alias("f"))
+    return each.select("application_id", "f.rule", "f.evidence")
 
 
 def bunching(pop, rule):
@@ -217,19 +278,23 @@ def fragmentation(pairs: DataFrame, rule: Rule) -> DataFrame:
     return _found(sides.select(F.col("s.x").alias("application_id"), F.col("s.y").alias("y")), rule, F.col("y"))
 
 
-FUNCTIONS: dict[str, Callable] = {
+#: Rules that group the population: (population, rule) -> findings.
+GROUP_RULES: dict[str, Callable] = {
     "SIBLING_INCOME_CONTRADICTION": sibling_income, "GUARDIAN_INCOME_CONTRADICTION": guardian_income,
     "ADDRESS_CLUSTER_UNRELATED": address_cluster, "ISSUING_OFFICE_MISMATCH": issuing_office,
     "DUPLICATE_CERTIFICATE_ID": duplicate_certificate, "FAMILY_SIZE_CONTRADICTION": family_size,
-    "SHARED_CONTACT_UNRELATED_HOUSEHOLDS": shared_contact, "DEADLINE_PROXIMITY": deadline,
-    "DECLARED_INCOME_BELOW_CERTIFICATE": below_certificate, "CERTIFICATE_HOLDER_MISMATCH": certificate_holder, "CERTIFICATE_NUMBER_MISMATCH": certificate_number,
-    "CERTIFICATE_INCOME_WORDS_MISMATCH": income_words, "CERTIFICATE_DETAILS_MISMATCH": certificate_details,
-    "DOCUMENT_TAMPER_SIGNAL": tampered, "GOVERNMENT_RECORD_MISMATCH": government_record,
-    "DOCUMENT_NOT_A_CERTIFICATE": not_a_certificate, "INCOME_THRESHOLD_BUNCHING": bunching,
+    "SHARED_CONTACT_UNRELATED_HOUSEHOLDS": shared_contact, "INCOME_THRESHOLD_BUNCHING": bunching,
     "CERTIFICATE_SERIAL_ADJACENCY": serial_adjacency, "IDENTICAL_ROUND_INCOME_CLUSTER": round_income,
 }
 
 
+def _one(name: str) -> Callable:
+    return GROUP_RULES.get(name) or (lambda pop, rule: row_findings(pop, {name: rule}))
+
+
+FUNCTIONS: dict[str, Callable] = {n: _one(n) for n in RULES if n in GROUP_RULES or n in ROW_RULES}
+
+
 def corroborated(findings: DataFrame) -> DataFrame:
     """Without the findings that need another one, not of a population rule, on the same application."""
     weak = [n for n, r in RULES.items() if r.corroborated]
@@ -238,37 +303,49 @@ def corroborated(findings: DataFrame) -> DataFrame:
     return findings.where(~needs).unionByName(findings.where(needs).join(support, "application_id", "left_semi"))
 
 
-def findings(pop: DataFrame, version: int = 5, pairs: DataFrame | None = None) -> DataFrame:
-    """All findings of a version's rules (a rule without a function here has no rows), corroboration applied.
+def findings(pop: DataFrame, version: int = 5, pairs: DataFrame | None = None, config: dict[str, dict] | None = None) -> DataFrame:
+    """All findings of a version's rules (or of those that a configuration leaves in), corroboration applied.
 
-    The population is written once, since every rule reads it, and so are the
+    The population is written once, since the groupings read it, and so are the
     findings, which flags, scores and reports read.
     """
-    pop = materialize(pop, "population")
-    parts = [FUNCTIONS[n](pop, r) for n, r in rules_of(version).items() if n in FUNCTIONS]
-    if pairs is not None and "HOUSEHOLD_FRAGMENTATION" in rules_of(version):
-        parts.append(fragmentation(pairs, RULES["HOUSEHOLD_FRAGMENTATION"]))
+    some = _rules(version, config)
+    written = materialize(pop, "population")
+    parts = [row_findings(written, rows)] if (rows := {n: r for n, r in some.items() if n in ROW_RULES}) else []
+    parts += [f(written, some[n]) for n, f in GROUP_RULES.items() if n in some]
+    if pairs is not None and "HOUSEHOLD_FRAGMENTATION" in some:
+        parts.append(fragmentation(pairs, some["HOUSEHOLD_FRAGMENTATION"]))
+    if not parts:
+        return written.select("application_id", F.lit("").alias("rule"), F.lit("").alias("evidence")).limit(0)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return materialize(corroborated(materialize(out, "findings")), "findings")
+    out = materialize(out, "findings")
+    release(written)
+    return corroborated(out)
+
+
+def stamped(found: DataFrame, version: int) -> DataFrame:
+    """Findings with the version that gave them, as they are stored."""
+    return found.withColumn("version", F.lit(f"v{version}"))
 
 
-def _of_rule(what: str) -> Column:
-    pairs = [F.lit(x) for n, r in RULES.items() for x in (n, getattr(r, what))]
+def _of_rule(what: str, config: dict[str, dict] | None = None) -> Column:
+    known = RULES if config is None else RULES | configured(max(r.since for r in RULES.values()), config)
+    pairs = [F.lit(x) for n, r in known.items() for x in (n, getattr(r, what))]
     return F.create_map(*pairs)[F.col("rule")]
 
 
-def flags(found: DataFrame) -> DataFrame:
+def flags(found: DataFrame, config: dict[str, dict] | None = None) -> DataFrame:
     """One row for each application and rule: the greatest evidence stands."""
     one = found.groupBy("application_id", "rule").agg(F.max("evidence").alias("evidence"))
-    return one.withColumns({"severity": _of_rule("severity"), "weight": _of_rule("weight")})
+    return one.withColumns({"severity": _of_rule("severity", config), "weight": _of_rule("weight", config)})
 
 
-def scores(pop: DataFrame, found: DataFrame, score_from: str = "findings") -> DataFrame:
+def scores(pop: DataFrame, found: DataFrame, score_from: str = "findings", config: dict[str, dict] | None = None) -> DataFrame:
     """Summed weights of findings (every one counts) or of flags (one for a rule); 0 where there are none."""
     rows = found if score_from == "findings" else found.select("application_id", "rule").distinct()
-    total = rows.groupBy("application_id").agg(F.sum(_of_rule("weight")).cast("long").alias("s"))
+    total = rows.groupBy("application_id").agg(F.sum(_of_rule("weight", config)).cast("long").alias("s"))
     return pop.select("application_id").join(total, "application_id", "left").select("application_id", F.coalesce("s", F.lit(0)).alias("risk_score"))
 
 

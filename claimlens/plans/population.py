@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimlens.operators import resolve
-from claimlens.session import materialize, table
+from claimlens.session import table
 
 _WORDS = "".join(w.ljust(6)[:6] for w in "Ravi Kumar Meena Suresh Latha Murthy Reddy Sankar Faruk Gowda Swamy Deepa Mohan Iqbal Thomas Radha".split())
 
@@ -21,14 +20,14 @@ select lpad(cast(o_orderkey as string), 8, '0') as application_id, cast(year(o_o
   cast(o_custkey as string) as applicant_id,
   {_word('o_orderkey')} || ' ' || {_word('o_custkey')} as applicant_name,
   'Shri S. ' || {_word('o_custkey % 7')} || ' ' || translate(lpad(cast(o_custkey as string), 6, '0'), '0123456789', 'abdeiklmou') as guardian_name,
-  cast({house} as string) || 'th, ' || {_word(house)} || ' St.' as address_line, 'Dist ' || {_word(house)} as district,
+  case when o_orderkey % 6 = 0 then '12 ' else '' end || cast({house} as string) || 'th, ' || {_word(house)} || ' St.' as address_line, 'Dist ' || {_word(house)} as district,
   case when o_custkey % 11 = 0 then null else '+91 9' || lpad(cast(o_custkey - o_custkey % 2 as string), 9, '0') end as guardian_phone,
   case when o_orderkey % 7 = 0 then 90000 + 10000 * (o_orderkey % 3) when o_orderkey % 5 = 0 then 232000 + 1000 * (o_orderkey % 10)
        else cast(floor(o_totalprice) as bigint) end as declared_annual_income,
   1 + o_orderkey % 9 as declared_family_size,
   case when o_orderkey % 13 = 0 then null when o_orderkey % 17 = 0 then 'TN-2025-' || lpad(cast(o_orderkey - o_orderkey % 34 as string), 6, '0')
        else 'TN-2025-' || lpad(cast(o_orderkey as string), 6, '0') end as certificate_id,
-  ' Office ' || cast(o_custkey % 40 as string) as issuing_office, cast(o_orderdate as date) as certificate_issue_date,
+  ' Office ' || cast((o_custkey + case when o_orderkey % 10 = 0 then 1 else 0 end) % 40 as string) as issuing_office, cast(o_orderdate as date) as certificate_issue_date,
   case o_orderstatus when 'O' then 'submitted' when 'F' then 'approved' else 'ready_for_review' end as status,
   cast(o_orderdate as date) as submitted_on,
   case when o_orderkey % 5 = 1 then null else cast(floor(o_totalprice) as bigint) + 30000 * (o_orderkey % 4) end as read_income,
@@ -71,19 +70,3 @@ def population(spark, sf_dir):
 def cases(spark, sf_dir):
     """The population with a case in place of the scope."""
     return spark.sql(_population("{apps}"), apps=applications(spark, sf_dir).withColumn("scope", F.expr(_CASE)))
-
-
-def resolved(apps):
-    """(population, scored pairs) of applications: households are components of the links that fuzzy
-    resolution finds within a scope, keys are normal forms."""
-    apps = materialize(resolve.normalized(apps), "normalized")
-    pairs = materialize(resolve.scored(resolve.candidates(apps, "scope"), apps, "scope"), "scored")
-    return with_households(apps, resolve.households(apps, resolve.surviving(pairs))), pairs
-
-
-def with_households(apps, households):
-    """The population from normalized applications and (application_id, household)."""
-    phone = F.col("phone").alias("phone_key")
-    keys = F.col("guardian.canonical").alias("guardian_key"), F.col("address").alias("address_key"), phone
-    pop = apps.join(households, "application_id").select("*", *keys)
-    return pop.drop("applicant", "guardian", "address", "phone", "address_grams")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from claimlens.functions import similarity, text
 from claimlens.operators import intake, queue, resolve, rules
-from claimlens.plans.population import SQL, applications, population, resolved
+from claimlens.operators import engine
+from claimlens.plans.population import SQL, applications, population
 from claimlens.session import materialize, table
 
 QUERIES, ORACLE = {}, {}
@@ -23,7 +24,7 @@ def register(sql=None):
     return add
 
 
-_POP = f"with pop as ({SQL})"
+_POP = f"with pop as materialized ({SQL})"
 _APART = "({a} + {b} - abs({a} - {b})) / 2"
 
 
@@ -31,6 +32,13 @@ def _tolerance(a: str, b: str) -> str:
     return f"(greatest({a}, {b}) > 0 and 100 * abs({a} - {b}) > 15 * greatest({a}, {b}) and abs({a} - {b}) > 12000)"
 
 
+def _counterpart(on: str) -> str:
+    """The row whose income is farthest from that of p, of all that contradict it."""
+    a, b = "p.declared_annual_income", "q.declared_annual_income"
+    return f"""select p.application_id, arg_min(q.application_id, (-abs({a} - {b}), {b}, q.application_id)) as o
+        from pop p join pop q on p.scope = q.scope and {on} and {_tolerance(a, b)} group by p.application_id"""
+
+
 def _finding(rule: str, evidence: str, rest: str) -> str:
     return f"{_POP} select p.application_id, '{rule}' as rule, cast({evidence} as varchar) as evidence {rest}"
 
@@ -56,8 +64,8 @@ AGREE = {
     "family_size": "(declared_family_size = read_family_size)",
 }
 RULE_SQL = {
-    "SIBLING_INCOME_CONTRADICTION": ("min(q.application_id)", f"from pop p join pop q on p.scope = q.scope and p.household = q.household and {_tolerance('p.declared_annual_income', 'q.declared_annual_income')} group by p.application_id"),
-    "GUARDIAN_INCOME_CONTRADICTION": ("min(q.application_id)", f"from pop p join pop q on p.scope = q.scope and p.guardian_key = q.guardian_key and p.household <> q.household and {_tolerance('p.declared_annual_income', 'q.declared_annual_income')} group by p.application_id"),
+    "SIBLING_INCOME_CONTRADICTION": ("o", f"from ({_counterpart('p.household = q.household')}) p"),
+    "GUARDIAN_INCOME_CONTRADICTION": ("o", f"from ({_counterpart('p.guardian_key = q.guardian_key and p.household <> q.household')}) p"),
     "ADDRESS_CLUSTER_UNRELATED": ("g.n", _clustered("address_key", f"declared_annual_income <= {rules.CEILING}", 3)),
     "ISSUING_OFFICE_MISMATCH": ("g.n", _clustered("household", "issuing_office is not null", 2, "lower(trim(issuing_office))")),
     "DUPLICATE_CERTIFICATE_ID": ("g.n", _clustered("certificate_id", "certificate_id is not null", 2, "application_id")),
@@ -102,10 +110,11 @@ for _n, (_evidence, _rest) in RULE_SQL.items():
 _BODIES = {n: _finding(n, e, r).removeprefix(_POP) for n, (e, r) in RULE_SQL.items()}
 _FOUND = " union all ".join(f"({b})" for b in _BODIES.values())
 _WEIGHTS = ", ".join(f"('{n}', '{r.severity}', {r.weight}, {str(r.population or r.corroborated).lower()})" for n, r in rules.RULES.items())
-_ALL = f"""{_POP}, w(rule, severity, weight, soft) as (values {_WEIGHTS}), f0 as ({_FOUND}),
-f as (select * from f0 where rule <> 'DEADLINE_PROXIMITY' or application_id in (select application_id from f0 join w using (rule) where not soft)),
-fl as (select application_id, rule, max(evidence) as evidence, any_value(severity) as severity, any_value(weight) as weight from f join w using (rule) group by application_id, rule),
-sc as (select p.application_id, cast(coalesce(sum(weight), 0) as bigint) as risk_score from pop p left join (select application_id, weight from f join w using (rule)) x using (application_id) group by p.application_id)"""
+_ALL = f"""{_POP}, w(rule, severity, weight, soft) as (values {_WEIGHTS}), f0 as materialized ({_FOUND}),
+hard as (select distinct application_id, true as backed from f0 join w using (rule) where not soft),
+f as materialized (select application_id, rule, evidence from f0 left join hard using (application_id) where rule <> 'DEADLINE_PROXIMITY' or backed),
+fl as materialized (select application_id, rule, max(evidence) as evidence, any_value(severity) as severity, any_value(weight) as weight from f join w using (rule) group by application_id, rule),
+sc as materialized (select p.application_id, cast(coalesce(sum(weight), 0) as bigint) as risk_score from pop p left join (select application_id, weight from f join w using (rule)) x using (application_id) group by p.application_id)"""
 
 
 @register(f"{_ALL} select application_id, rule, evidence from f")
@@ -124,14 +133,31 @@ def r23_scores(spark, sf_dir):
     return rules.scores(pop, rules.findings(pop))
 
 
-@register(f"""{_ALL}, old as (select * from fl where rule not in ('DOCUMENT_NOT_A_CERTIFICATE') and cast(application_id as bigint) % 5 <> 0)
-select application_id, rule, case when o.rule is null then 'I' else 'D' end as change, n.evidence, n.weight
-from fl n full join old o using (application_id, rule) where o.rule is null or n.rule is null""")
+_STORED = """select application_id, rule, evidence, case when cast(application_id as bigint) % 7 = 0 then weight + 1 else weight end as weight from fl
+  where rule <> 'DOCUMENT_NOT_A_CERTIFICATE' and cast(application_id as bigint) % 5 <> 0
+ union all select application_id, 'RETIRED_RULE', 'x', 5 from fl where rule = 'DOCUMENT_TAMPER_SIGNAL'"""
+
+
+def _stored(flags):
+    """A stored set without the newest rule and a fifth of the applications, with some other weights, and with flags of a rule that is gone."""
+    number = F.col("application_id").cast("long")
+    old = flags.where((F.col("rule") != "DOCUMENT_NOT_A_CERTIFICATE") & (number % 5 != 0)).withColumn("weight", F.when(number % 7 == 0, F.col("weight") + 1).otherwise(F.col("weight")))
+    gone = flags.where("rule = 'DOCUMENT_TAMPER_SIGNAL'").select("application_id", F.lit("RETIRED_RULE").alias("rule"), F.lit("x").alias("evidence"), F.lit(5).alias("weight"))
+    return old.select("application_id", "rule", "evidence", "weight").unionByName(gone)
+
+
+@register(f"""{_ALL}, old as ({_STORED})
+select application_id, rule, case when o.rule is null then 'I' when n.rule is null then 'D' else 'U' end as change, coalesce(n.evidence, '') as evidence, coalesce(n.weight, 0) as weight
+from fl n full join old o using (application_id, rule) where o.rule is null or n.rule is null or o.weight <> n.weight or o.evidence is distinct from n.evidence""")
 def r26_change_set(spark, sf_dir):
-    """Against a stored set without the newest rule and without a fifth of the applications."""
-    new = rules.flags(rules.findings(population(spark, sf_dir)))
-    old = new.where((F.col("rule") != "DOCUMENT_NOT_A_CERTIFICATE") & (F.col("application_id").cast("long") % 5 != 0))
-    return rules.change_set(old, new, ["application_id", "rule"], ["evidence", "weight"])
+    new = materialize(rules.flags(rules.findings(population(spark, sf_dir))), "flags")
+    return rules.change_set(_stored(new), new, ["application_id", "rule"], ["evidence", "weight"]).fillna({"evidence": "", "weight": 0})
+
+
+@register(f"""{_ALL}, old as ({_STORED}) select o.application_id, o.rule, 'v5' as version from old o left join fl n using (application_id, rule) where n.rule is null""")
+def r27_stale_flags(spark, sf_dir):
+    new = materialize(rules.flags(rules.findings(population(spark, sf_dir))), "flags")
+    return engine.stale_flags(_stored(new).withColumn("version", F.lit("v5")), new, "v5")
 
 
 @register(f"""{_ALL}, t as (select application_id, count(*) as flag_count, count(*) filter (severity = 'high') as high_count,
@@ -148,23 +174,70 @@ def q1_review_queue(spark, sf_dir):
 @register()
 def r22_resolved_findings(spark, sf_dir):
     """r22 over resolved households and normal keys, with the rule on scored pairs."""
-    pop, pairs = resolved(applications(spark, sf_dir))
-    return rules.findings(pop, pairs=pairs)
+    return engine.run(applications(spark, sf_dir)).findings
 
 
 @register()
 def r23_resolved_scores(spark, sf_dir):
-    pop, pairs = resolved(applications(spark, sf_dir))
-    pop = materialize(pop, "resolved")
-    return rules.scores(pop, rules.findings(pop, pairs=pairs))
+    return engine.run(applications(spark, sf_dir)).scores
 
 
 @register()
 def q1_resolved_queue(spark, sf_dir):
-    pop, pairs = resolved(applications(spark, sf_dir))
-    pop = materialize(pop, "resolved")
-    found = rules.findings(pop, pairs=pairs)
-    return queue.page(pop, rules.flags(found), rules.scores(pop, found), status="submitted", limit=100)
+    run = engine.run(applications(spark, sf_dir))
+    return queue.page(run.population, run.flags, run.scores, status="submitted", limit=100)
+
+
+_REASONS = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in engine.SENTENCES.items())
+
+
+@register(f"""{_ALL}, t(rule, sentence) as (values {_REASONS}) select f.application_id, f.rule, f.evidence, 'v5' as version,
+ replace(sentence, '{{n}}', evidence) as reason from f join t using (rule) where rule not in ('SIBLING_INCOME_CONTRADICTION', 'GUARDIAN_INCOME_CONTRADICTION', 'DECLARED_INCOME_BELOW_CERTIFICATE')""")
+def r25_reasons(spark, sf_dir):
+    """Sentences of the rules whose evidence is shown as it is, with the version; those with amounts are tested."""
+    pop = population(spark, sf_dir)
+    found = rules.stamped(rules.findings(pop), 5)
+    amounts = ("SIBLING_INCOME_CONTRADICTION", "GUARDIAN_INCOME_CONTRADICTION", "DECLARED_INCOME_BELOW_CERTIFICATE")
+    return engine.reasons(found.where(~F.col("rule").isin(*amounts)), pop).select("application_id", "rule", "evidence", "version", "reason")
+
+
+@register(f"""{_POP} select application_id, 'ready_for_review' as status from pop where status in ('submitted', 'processing') and cast(application_id as bigint) % 2 = 0""")
+def r28_promotion(spark, sf_dir):
+    """Requests came for every second application."""
+    pop = population(spark, sf_dir)
+    return engine.promoted(pop, pop.where("cast(application_id as bigint) % 2 = 0"))
+
+
+@register(f"""{_POP} select distinct p.application_id, q.application_id as member from pop p join pop q using (scope, household) where p.status = 'ready_for_review'""")
+def g2_household_lookup(spark, sf_dir):
+    pop = population(spark, sf_dir)
+    return engine.household_of(pop, pop.where("status = 'ready_for_review'"))
+
+
+@register(f"""{_POP} select distinct scope, household from pop where application_id in (select application_id from pop where certificate_id is null)""")
+def g5_affected_households(spark, sf_dir):
+    """Applications without a certificate stand for those that have just come in."""
+    pop = population(spark, sf_dir)
+    return engine.affected(pop.where("certificate_id is null"), pop)
+
+
+@register("""with o as (select least(l_partkey, l_suppkey) as a, greatest(l_partkey, l_suppkey) as b, l_shipmode as field, max(l_discount) as similarity, bool_or(l_returnflag = 'R') as rejected
+ from (select *, case l_linenumber % 4 when 0 then 'guardian' when 1 then 'applicant' when 2 then 'address' else 'phone' end as l_shipmode from lineitem where l_orderkey % 3 <> 0) group by 1, 2, 3),
+n as (select least(l_partkey, l_suppkey) as a, greatest(l_partkey, l_suppkey) as b, l_shipmode as field, max(l_discount) as similarity
+ from (select *, case l_linenumber % 4 when 0 then 'guardian' when 1 then 'applicant' when 2 then 'address' else 'phone' end as l_shipmode from lineitem where l_orderkey % 4 <> 0) group by 1, 2, 3)
+select a, b, field, case when o.similarity is null then 'I' else 'U' end as change, n.similarity from n left join o using (a, b, field)
+ where not coalesce(rejected, false) and (o.similarity is null or o.similarity <> n.similarity)""")
+def s9_edge_changes(spark, sf_dir):
+    """Line items stand for edges of two runs; returned ones for edges that a reviewer has rejected."""
+    field = F.get(F.array(*map(F.lit, ("guardian", "applicant", "address", "phone"))), (F.col("l_linenumber") % 4).cast("int"))
+    e = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_returnflag", F.least("l_partkey", "l_suppkey").alias("a"), F.greatest("l_partkey", "l_suppkey").alias("b"), field.alias("field"), "l_discount"
+    )
+    edge = ["a", "b", "field"]
+    old = e.where("l_orderkey % 3 <> 0").groupBy(*edge).agg(F.max("l_discount").alias("similarity"), F.bool_or(F.col("l_returnflag") == "R").alias("rejected"))
+    new = e.where("l_orderkey % 4 <> 0").groupBy(*edge).agg(F.max("l_discount").alias("similarity"))
+    one = F.lit(1.0).alias("weight")
+    return engine.edge_changes(old.select("*", one), new.select("*", one)).drop("weight")
 
 
 @register(f"{_ALL} select rule, count(*) as n from fl group by rule")

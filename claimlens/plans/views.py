@@ -137,12 +137,12 @@ def q15_purge(spark, sf_dir):
     return logs.purged(d, F.col("doc_id") % 3 == 0, ["text"], "text")
 
 
-@register("""select user_id, count(*) filter (event_type = 'purchase') as done from events group by user_id having count(*) filter (event_type = 'error' and value > 90) = 0
- and count(*) filter (event_type = 'purchase') < 5 and epoch_us((select max(ts) from events)) - epoch_us(max(ts)) > 600000000""")
+@register("""select user_id, count(*) filter (event_type = 'purchase') as done from events group by user_id having count(*) filter (event_type = 'error' and value > 180) = 0
+ and count(*) filter (event_type = 'purchase') < 40 and epoch_us((select max(ts) from events)) - epoch_us(max(ts)) > 600000000""")
 def q16_stuck(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     now = F.lit(e.agg(F.max("ts")).first()[0])
-    return logs.stuck(e, "user_id", "ts", (F.col("event_type") == "error") & (F.col("value") > 90), F.col("event_type") == "purchase", now)
+    return logs.stuck(e, "user_id", "ts", (F.col("event_type") == "error") & (F.col("value") > 180), F.col("event_type") == "purchase", now, stages=40)
 
 
 @register("""select event_id, user_id, finished_at from (select *, case when event_id % 5 <> 0 then ts end as finished_at from events where event_type = 'error') order by finished_at desc nulls last, event_id limit 100""")
@@ -151,9 +151,10 @@ def q17_dead_letters(spark, sf_dir):
     return e.orderBy(F.desc_nulls_last("finished_at"), "event_id").limit(100).select("event_id", "user_id", "finished_at")
 
 
-@register("select event_id, user_id, event_type, ts from events where user_id between 5 and 9 order by ts, event_id")
+@register("select event_id, user_id, event_type, ts from events order by user_id, ts, event_id")
 def q18_audit_trail(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("user_id between 5 and 9").orderBy("ts", "event_id").select("event_id", "user_id", "event_type", "ts")
+    """The trail of all actors, each in order of time."""
+    return table(spark, sf_dir, "events").orderBy("user_id", "ts", "event_id").select("event_id", "user_id", "event_type", "ts")
 
 
 @register("""select d.doc_id, cast(m.event_id as varchar) as mark from documents d left join (select user_id, event_id from (select *, row_number() over (partition by user_id order by ts, event_id) as k
