@@ -210,6 +210,30 @@ def test_ngram_join_on_repeated_ids(spark):
     assert sorted(map(str, kept)) == sorted(map(str, [(1, "a"), (2, text(a, 1)), (7, text(c)), (3, "x y"), (None, text(a)), (None, text(a))]))
 
 
+def test_ngram_join_beside_a_shared_passage(spark):
+    """Two linked texts whose agreeing segments partly stand in large buckets."""
+    rng = random.Random(9)
+    for trial in range(2):
+        passage = [f"p{trial}{i}" for i in range(14)]
+        a = [f"a{rng.randrange(10**6)}" for _ in range(7)] + passage + [f"b{rng.randrange(10**6)}" for _ in range(7)]
+        b = a[:-2] + [f"c{rng.randrange(10**6)}" for _ in range(2)]
+        rest = [[f"f{rng.randrange(10**6)}" for _ in range(6)] + passage + [f"g{rng.randrange(10**6)}" for _ in range(6)] for _ in range(45)]
+        made = [(i + 1, " ".join(t), None) for i, t in enumerate([a, b, *rest])]
+        df = spark.createDataFrame([r[:2] for r in made], "doc_id long, text string").repartition(2)
+        got = {i: (r["n_shingles"], r["component_id"]) for i, r in by_id(ngram_join.op4_ngram_join(df)).items()}
+        assert got == groups(made, 4, 85) and got[2][1] == 1
+
+
+def test_token_ids_on_white_space():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    tok, enc, rng = Tokenizer.from_file(path), token_files.byte_encoder(path), random.Random(2)
+    for _ in range(4000):
+        t = "".join(rng.choice(["a", "b,", "12", " ", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\u2028", "\u3000", "é"]) for _ in range(rng.randint(1, 14)))
+        assert enc.ids(t).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_buckets_lose_no_link():
     rng = np.random.default_rng(5)
     for percent in (80, 85, 95):
