@@ -21,6 +21,12 @@ class BitMap:
         bit = key & self.last
         return bool(self.bits[bit >> 3] & (128 >> (bit & 7)))
 
+    def hits(self, keys: np.ndarray) -> np.ndarray:
+        """As `in`, for an array of unsigned longs."""
+        bit = keys & np.uint64(self.last)
+        found = np.frombuffer(self.bits, np.uint8)[(bit >> np.uint64(3)).astype(np.int64)]
+        return (found & (128 >> (bit & np.uint64(7)).astype(np.uint8))) != 0
+
 
 def size_for(keys: int) -> int:
     """Bits of a map for so many keys, a power of two. Beyond MOST / EACH keys false hits become more frequent;

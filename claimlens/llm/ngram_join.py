@@ -54,6 +54,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,8 +192,11 @@ _ROW = "key long, salt int, doc long, tag int, n long, digest binary, sketch arr
 BY_ID, BY_SET, DELEGATE = -3, -2, -1
 
 
+_GOLDEN = 0x9E3779B97F4A7C15
+
+
 def _bit(doc_id: int) -> int:
-    return doc_id * 0x9E3779B97F4A7C15 % (1 << 63)
+    return doc_id * _GOLDEN % (1 << 63)
 
 
 def _name(mark: bytes) -> int:
@@ -501,11 +505,28 @@ def op4_ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone (one column).
+
+    A bit map of gone tells documents that surely stay; only the others, with their texts,
+    go through the join, which is exact, so false hits of a full map only cost work.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(_wanted(gone))
+
+    @F.pandas_udf("boolean")
+    def doubtful(ids: pd.Series) -> pd.Series:
+        return pd.Series(bits.value.hits(ids.to_numpy(np.int64).view(np.uint64) * np.uint64(_GOLDEN) & np.uint64((1 << 63) - 1)))
+
+    mark = doubtful(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))  # the join keeps nulls
+    some = docs.where(mark)
+    return docs.where(~mark).unionByName(some.join(gone, some["doc_id"] == F.col(gone.columns[0]), "left_anti"))
+
+
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows whose document is linked to one with a smaller id; of rows with one doc_id the least stays."""
     _, labels = linked(docs, k, percent)
     gone, often = free(docs.columns, "gone"), free(docs.columns, "often")
-    kept = docs.join(labels.where("component < node").select(F.col("node").alias(gone)), docs["doc_id"] == F.col(gone), "left_anti")
+    kept = _without(docs, materialize(labels.where("component < node").select(F.col("node").alias(gone)), "gone"))
     twice = materialize(_repeated(kept).withColumnRenamed("doc_id", often), "repeated")
     if twice.isEmpty():
         return kept

@@ -210,6 +210,14 @@ def test_ngram_join_on_repeated_ids(spark):
     assert sorted(map(str, kept)) == sorted(map(str, [(1, "a"), (2, text(a, 1)), (7, text(c)), (3, "x y"), (None, text(a)), (None, text(a))]))
 
 
+def test_documents_without_those_gone(spark):
+    ids = [None, 0, 0, -3, 5, 2**62 + 1, -(2**63), *range(100, 200)]
+    df = spark.createDataFrame([(i, f"t{n}") for n, i in enumerate(ids)], "doc_id long, text string")
+    for gone in ([], [-3, 2**62 + 1], [0], [*range(100, 200, 2), -(2**63)]):
+        kept = ngram_join._without(df, spark.createDataFrame([(g,) for g in gone], "gone long")).collect()
+        assert sorted(r["text"] for r in kept) == sorted(f"t{n}" for n, i in enumerate(ids) if i not in gone)
+
+
 def test_ngram_join_beside_a_shared_passage(spark):
     """Two linked texts whose agreeing segments partly stand in large buckets."""
     rng = random.Random(9)
