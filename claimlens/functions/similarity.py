@@ -41,23 +41,31 @@ def _aligned(small: Column, initials: Column, large: Column) -> Column:
         )
 
     def of_token(acc, t):
-        scores = F.transform(acc["free"], lambda x, i: F.struct(jaccard(trigrams(t), trigrams(x)).alias("s"), (-i).alias("j"), i.alias("i")))
+        scores = F.transform(acc["free"], lambda x, i: F.struct(jaccard(t["grams"], x["grams"]).alias("s"), (-i).alias("j"), i.alias("i")))
         return take(acc, F.array_max(scores))
 
     def of_initial(acc, t):
-        hits = F.filter(F.transform(acc["free"], lambda x, i: F.struct(F.lit(INITIAL).alias("s"), (-i).alias("j"), F.when(x.startswith(t), i).alias("i"))), lambda h: h["i"].isNotNull())
+        hits = F.filter(F.transform(acc["free"], lambda x, i: F.struct(F.lit(INITIAL).alias("s"), (-i).alias("j"), F.when(x["token"].startswith(t), i).alias("i"))), lambda h: h["i"].isNotNull())
         return take(acc, F.array_max(hits))
 
     return F.aggregate(initials, F.aggregate(small, start, of_token), of_initial, lambda a: a["low"])
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """a, b: structs of normalize_name. The side with fewer tokens (the first on ties) is aligned with the other."""
-    few = F.size(a["tokens"]) <= F.size(b["tokens"])
+def name_parts(name: Column) -> Column:
+    """A name with the trigrams of its tokens, so that a name that is compared often is taken apart once."""
+    return F.struct(F.transform(name["tokens"], lambda t: F.struct(t.alias("token"), trigrams(t).alias("grams"))).alias("tokens"), name["initials"].alias("initials"))
+
+
+def parts_similarity(a: Column, b: Column, n: Column, m: Column) -> Column:
+    """name_similarity of names in parts, which have n and m tokens."""
     one = _aligned(a["tokens"], a["initials"], b["tokens"])
     two = _aligned(b["tokens"], b["initials"], a["tokens"])
-    none = (F.size(a["tokens"]) == 0) | (F.size(b["tokens"]) == 0)
-    return F.when(none, 0.0).when(few, one).otherwise(two)
+    return F.when((n == 0) | (m == 0), 0.0).when(n <= m, one).otherwise(two)
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """a, b: structs of normalize_name. The side with fewer tokens (the first on ties) is aligned with the other."""
+    return parts_similarity(name_parts(a), name_parts(b), F.size(a["tokens"]), F.size(b["tokens"]))
 
 
 def phone_similarity(a: Column, b: Column) -> Column:

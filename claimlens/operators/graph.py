@@ -29,9 +29,8 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     the edge set no longer changes; each round's edges are written to the shared
     folder, so the plan stays short and a lost executor costs one round at most.
     """
-    e = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b"))
-    loops = e.where("a = b").select("a", "b").distinct()
-    e = materialize(e.where("a <> b").distinct(), "edges")
+    given = materialize(edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).distinct(), "edges")
+    loops, e = given.where("a = b"), given.where("a <> b")
     before = None
     while True:
         mark = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -39,6 +38,6 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
             break
         before = mark
         last, e = e, materialize(_small(_large(e)), "edges")
-        release(last)
+        release(last)  # not the edges given, whose loops are read at the end
     found = e.unionByName(e.select(F.col("b").alias("a"), "b")).unionByName(loops.join(e.select("a"), "a", "left_anti"))
     return found.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))

@@ -381,8 +381,8 @@ def e4_precision_and_lift(spark, sf_dir):
 @register()
 def j1_households(spark, sf_dir):
     """Normalization, blocked resolution and components of the whole population."""
-    apps = resolve.normalized(applications(spark, sf_dir)).withColumnRenamed("scope", "cycle")
-    pairs = resolve.scored(resolve.candidates(apps), apps)
+    apps = materialize(resolve.normalized(applications(spark, sf_dir)).withColumnRenamed("scope", "cycle"), "normalized")
+    pairs = materialize(resolve.scored(resolve.candidates(apps), apps), "scored")
     return resolve.households(apps, resolve.surviving(pairs))
 
 
