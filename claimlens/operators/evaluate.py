@@ -117,3 +117,8 @@ def retired(cases: DataFrame, caught: DataFrame, log: DataFrame) -> DataFrame:
     both = log.join(now, "case_id", "left")
     wrong = F.when(F.col("known").isNull(), "unknown").when(F.col("caught") != F.coalesce("hit", F.lit(False)), "differs")
     return both.withColumn("wrong", wrong).where("wrong is not null").select("case_id", "wrong")
+
+
+def false_positive_rate(rows: DataFrame, score: str, control: Column, least: float = 0.5) -> DataFrame:
+    """One row: how many controls there are, and the share of them that scores least or more."""
+    return rows.where(control).agg(F.count(F.lit(1)).alias("controls"), F.round(F.avg((F.col(score) >= least).cast("int")), 6).alias("false_positive_rate"))

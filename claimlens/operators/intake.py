@@ -11,6 +11,10 @@ from claimlens.functions.text import person_key
 LENGTHS = {"applicant_name": (2, 120), "address_line": (4, 240), "district": (2, 80)}
 RANGES = {"declared_annual_income": (0, 100_000_000), "declared_family_size": (1, 30)}
 PHONE = "^[0-9]{10}$"
+PATTERNS = {"email": "^[^@\\s]+@[^@\\s]+[.][^@\\s.]{2,}$", "guardian_phone": PHONE, "pincode": "^[0-9]{6}$", "certificate_issue_date": "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"}
+LONGEST = {"certificate_id": 60, "issuing_office": 120}
+OPTIONAL = ("guardian_phone", "pincode", "certificate_id", "issuing_office", "certificate_issue_date")
+COLUMNS = (*LENGTHS, "guardian_name", *RANGES, *PATTERNS, *LONGEST)
 
 
 def invalid_fields(rows: DataFrame) -> DataFrame:
@@ -65,3 +69,31 @@ def tips(rows: DataFrame, applications: DataFrame) -> DataFrame:
     known = applications.select("application_id", F.col("application_id").alias("known")).distinct()
     fit = rows.withColumn("body", F.btrim("body")).where(F.length("body").between(10, 2000))
     return fit.join(known, "application_id", "left").withColumn("application_id", F.col("known")).drop("known")
+
+
+def issues(rows: DataFrame) -> DataFrame:
+    """rows of strings with an array (issues) of the names of the fields that can't be admitted; fields named in OPTIONAL may be blank."""
+    value = {c: F.trim(F.col(c)) for c in COLUMNS}
+    checks = {c: F.length(value[c]).between(*b) for c, b in (LENGTHS | {"guardian_name": (2, 120)}).items()}
+    checks |= {c: value[c].try_cast("bigint").between(*b) & value[c].rlike("^[0-9]+$") for c, b in RANGES.items()}
+    checks |= {c: value[c].rlike(p) for c, p in PATTERNS.items()} | {c: F.length(value[c]) <= most for c, most in LONGEST.items()}
+    blank = {c: F.coalesce(value[c], F.lit("")) == "" if c in OPTIONAL else F.lit(False) for c in COLUMNS}
+    return rows.withColumn("issues", F.array_compact(F.array(*[F.when(~(blank[c] | F.coalesce(ok, F.lit(False))), F.lit(c)) for c, ok in checks.items()])))
+
+
+def tips_shown(tips: DataFrame) -> DataFrame:
+    """Tips that belong to an application, newest first in each, with nothing of the sender."""
+    return tips.where("application_id is not null").select("application_id", "tip_id", "body", "at", "abusive").orderBy("application_id", F.desc("at"), F.desc("tip_id"))
+
+
+def reprocessable(docs: DataFrame, apps: DataFrame, scope: str | None = None) -> DataFrame:
+    """(document_id, scope, at) of documents that are not purged, oldest first, of one scope or all."""
+    if scope is not None:
+        apps = apps.where(F.col("scope") == scope)
+    out = docs.where("purged_on is null").join(apps.select("application_id", "scope"), "application_id")
+    return out.select("document_id", "scope", "at").orderBy("at", "document_id")
+
+
+def confirmed_scopes(confirmed: DataFrame, apps: DataFrame) -> DataFrame:
+    """Scopes to be rescored when accounts (applicant_id) are confirmed: those that their applications are in."""
+    return apps.join(confirmed.select("applicant_id"), "applicant_id", "left_semi").select("scope").distinct()

@@ -363,3 +363,8 @@ def change_set(old: DataFrame, new: DataFrame, keys: list[str], values: list[str
     both = o.join(n, keys, "full")
     kind = F.when(F.col("o").isNull(), "I").when(F.col("n").isNull(), "D").when(~F.col("o").eqNullSafe(F.col("n")), "U")
     return both.withColumn("change", kind).where("change is not null").select(*keys, "change", *[F.col(f"n.{v}").alias(v) for v in values])
+
+
+def configs_differ(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows (rule, enabled, severity, weight) that the new configuration has and the old one has not."""
+    return new.exceptAll(old.select(*new.columns))

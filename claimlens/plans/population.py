@@ -70,3 +70,19 @@ def population(spark, sf_dir):
 def cases(spark, sf_dir):
     """The population with a case in place of the scope."""
     return spark.sql(_population("{apps}"), apps=applications(spark, sf_dir).withColumn("scope", F.expr(_CASE)))
+
+
+def _decisions(lineitem: str) -> str:
+    """A log of decisions: returned lines reject, accepted ones approve, others pass the case on; reasons differ in length."""
+    return f"""
+select lpad(cast(l_orderkey as string), 8, '0') as application_id, cast(l_shipdate as date) as at, cast(l_linenumber as bigint) as seq,
+  case l_returnflag when 'R' then 'rejected' when 'A' then 'approved' else 'escalated' end as decision, 'reviewer ' || cast(l_suppkey % 20 as string) as decider,
+  substr('Income read as shown on the page', 1, cast(4 + l_partkey % 20 as int)) as reason
+from {lineitem}"""
+
+
+DECISIONS = _decisions("lineitem")
+
+
+def decisions(spark, sf_dir):
+    return spark.sql(_decisions("{lines}"), lines=table(spark, sf_dir, "lineitem"))

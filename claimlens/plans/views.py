@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimlens.functions import text
-from claimlens.operators import documents, logs, rules
-from claimlens.plans.population import CASE_SQL, applications, cases, population
+from claimlens.operators import documents, evaluate, intake, logs, queue, rules
+from claimlens.plans.population import CASE_SQL, DECISIONS, applications, cases, decisions, population
 from claimlens.plans.registry import _ALL, _POP, AGREE, register
 from claimlens.session import table
 
@@ -223,3 +223,67 @@ def n6_income(spark, sf_dir):
     shown = F.concat(F.lit("Rs. "), F.col("v"), F.lit("/-"))
     v = applications(spark, sf_dir).select(F.col("declared_annual_income").alias("v")).distinct()
     return v.select("v", text.parse_income(shown).alias("form"), shown.alias("shown"))
+
+
+_LOG = f"lg as materialized ({DECISIONS})"
+
+
+@register(f"""{_ALL}, s as (select * from pop where status in ('ready_for_review', 'escalated') and (applicant_name ilike '%ravi%' or guardian_name ilike '%ravi%' or certificate_id ilike '%ravi%')
+   and application_id in (select application_id from fl where severity = 'high')),
+ t as (select application_id, count(*) as flag_count, count(*) filter (severity = 'high') as high_count, arg_max(rule, (weight, rule)) as top_rule from fl group by application_id)
+select s.application_id, scope, district, status, sc.risk_score, flag_count, high_count, top_rule, (select count(*) from s) as total
+from s join sc using (application_id) join t using (application_id) order by risk_score desc, submitted_on, application_id limit 50""")
+def q1_queue_listing(spark, sf_dir):
+    pop = population(spark, sf_dir)
+    found = rules.findings(pop)
+    return queue.listing(pop, rules.flags(found), rules.scores(pop, found), "awaiting", text=" RAVI ", severity="high")
+
+
+@register(f"""{_POP} select application_id from pop where applicant_name ilike '%deepa%' or guardian_name ilike '%deepa%' or certificate_id ilike '%deepa%'""")
+def q5_find(spark, sf_dir):
+    return queue.find(population(spark, sf_dir), "deepa").select("application_id")
+
+
+@register(f"""{_ALL}, {_LOG}, d as (select application_id, arg_max(decision, (lg.at, lg.seq)) as decision, arg_max(decider, (lg.at, lg.seq)) as decider from lg group by application_id),
+ x as (select application_id, string_agg(distinct rule, '; ' order by rule) as fired from fl group by application_id)
+select p.application_id, p.status, coalesce(fired, '') as fired, decision, decider from pop p left join x using (application_id) left join d using (application_id)""")
+def q6_export_decisions(spark, sf_dir):
+    pop = population(spark, sf_dir)
+    return queue.export_decisions(pop, rules.flags(rules.findings(pop)), decisions(spark, sf_dir))
+
+
+@register(f"""with {_LOG}, good as (select * from lg where length(trim(reason)) >= 12)
+select g.* from good g where not exists (select 1 from good e where e.application_id = g.application_id and e.decision <> 'escalated' and (e.at, e.seq) < (g.at, g.seq))""")
+def q12_decisions(spark, sf_dir):
+    return queue.decided(decisions(spark, sf_dir))
+
+
+@register(f"""{_POP} select p.application_id, doc_id as tip_id, sha256(trim(text, ' ')) as body_sha256, p.submitted_on as at, doc_id % 9 = 0 as abusive
+from documents d join pop p on p.application_id = lpad(cast(doc_id as varchar), 8, '0') where length(trim(text, ' ')) between 10 and 2000""")
+def q11_tips(spark, sf_dir):
+    apps = applications(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("application_id"), F.col("text").alias("body"))
+    tips = intake.tips(d, apps).join(apps.select("application_id", F.col("submitted_on").alias("at")), "application_id", "left")
+    shown = intake.tips_shown(tips.withColumn("tip_id", F.col("doc_id")).withColumn("abusive", F.col("doc_id") % 9 == 0))
+    return shown.select("application_id", "tip_id", F.sha2("body", 256).alias("body_sha256"), "at", "abusive")
+
+
+@register(f"""{_POP} select 'c-' || application_id as document_id, scope, submitted_on as at from pop where cast(application_id as bigint) % 4 <> 0""")
+def q19_manifest(spark, sf_dir):
+    """One document for each application, of which a quarter is purged."""
+    apps = applications(spark, sf_dir)
+    purged = F.when(F.col("application_id").cast("bigint") % 4 == 0, F.col("submitted_on"))
+    docs = apps.select("application_id", F.concat(F.lit("c-"), "application_id").alias("document_id"), F.col("submitted_on").alias("at"), purged.alias("purged_on"))
+    return intake.reprocessable(docs, apps)
+
+
+@register(f"""{_POP} select count(*) as controls, round(avg(cast(tamper_score >= 0.5 as int)), 6) as false_positive_rate from pop where status = 'approved'""")
+def e7_false_positive_rate(spark, sf_dir):
+    return evaluate.false_positive_rate(population(spark, sf_dir), "tamper_score", F.col("status") == "approved")
+
+
+@register(f"""{_POP} select distinct scope from pop where cast(applicant_id as bigint) in (select user_id from events where event_type = 'signup')""")
+def w4_confirmed_scopes(spark, sf_dir):
+    """Signups stand for confirmed accounts."""
+    confirmed = table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("user_id").cast("string").alias("applicant_id"))
+    return intake.confirmed_scopes(confirmed, applications(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.functions.text import safe_cell
+from claimlens.operators.intake import COLUMNS, issues
 
 
 def rule_config(spark: SparkSession, folder: str, version: str) -> DataFrame:
@@ -41,3 +42,32 @@ def write_queue_csv(rows: DataFrame, path: str) -> None:
     first, *rest = rows.columns
     cells = rows.select(safe_cell(F.col(first)).alias(f"\ufeff{first}"), *[safe_cell(F.col(c)).alias(c) for c in rest])
     cells.write.option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").mode("overwrite").csv(path)
+
+
+class Refused(ValueError):
+    """A file of applications of which nothing was admitted; errors: (line, fields) of 20 rows at most."""
+
+    def __init__(self, message: str, errors: list | None = None):
+        super().__init__(message)
+        self.errors = errors or []
+
+
+def read_applications(spark: SparkSession, path: str, most: int = 2000) -> DataFrame:
+    """The rows of a CSV file with a header, all of them or, if a single one has an issue, none.
+
+    Names in the header are trimmed and may follow a byte order mark; blank lines don't
+    count. An upload is one file of most rows at most, read by one task in its order, so
+    a row's line is its number and two.
+    """
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    raw = raw.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    raw = raw.toDF(*[c.replace("\ufeff", "").strip() for c in raw.columns])
+    rows = raw.select("*", *[F.lit(None).cast("string").alias(c) for c in COLUMNS if c not in raw.columns])
+    rows = issues(rows.withColumn("line", F.monotonically_increasing_id() + 2))
+    n = rows.limit(most + 1).count()
+    if not 0 < n <= most:
+        raise Refused(f"{n} rows" if not n else f"more than {most} rows")
+    wrong = rows.where(F.size("issues") > 0)
+    if bad := wrong.count():
+        raise Refused(f"{bad} of {n} rows can't be admitted", [(r["line"], r["issues"]) for r in wrong.orderBy("line").limit(20).collect()])
+    return rows.drop("line", "issues")

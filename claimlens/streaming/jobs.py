@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.operators.intake import confirmed_scopes
+
 
 def over_limit(events: DataFrame, ts: str, key: str, width: str, limit: int, late: str | None = None) -> DataFrame:
     """Keys with more than limit events in a window; on a stream, late is the watermark."""
@@ -31,3 +33,12 @@ def rescore_stream(arrivals: DataFrame, rescore: Callable[[DataFrame, int], None
         rescore(rows.select(scope).distinct(), batch_id)
 
     return arrivals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+
+
+def confirmation_stream(confirmed: DataFrame, apps: DataFrame, rescore: Callable[[DataFrame, int], None], checkpoint: str):
+    """Starts a query that hands the scopes of each micro-batch of confirmed accounts (applicant_id) to rescore(scopes, batch_id)."""
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        rescore(confirmed_scopes(rows, apps), batch_id)
+
+    return confirmed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
