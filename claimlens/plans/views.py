@@ -244,7 +244,7 @@ def q5_find(spark, sf_dir):
     return queue.find(population(spark, sf_dir), "deepa").select("application_id")
 
 
-@register(f"""{_ALL}, {_LOG}, d as (select application_id, arg_max(decision, (lg.at, lg.seq)) as decision, arg_max(decider, (lg.at, lg.seq)) as decider from lg group by application_id),
+@register(f"""{_ALL}, {_LOG}, d as (select application_id, arg_max(decision, (lg.at, lg.seq, decision, decider)) as decision, arg_max(decider, (lg.at, lg.seq, decision, decider)) as decider from lg group by application_id),
  x as (select application_id, string_agg(distinct rule, '; ' order by rule) as fired from fl group by application_id)
 select p.application_id, p.status, coalesce(fired, '') as fired, decision, decider from pop p left join x using (application_id) left join d using (application_id)""")
 def q6_export_decisions(spark, sf_dir):
