@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 
-from claimlens.llm import bpe, lz_fingerprint, mixing, ngram_join, pii, quality_model, quality_rules, token_counts, token_files
-from claimlens.llm import substrings
+from claimlens.llm import bpe, exact_dedup, filter_audit, hard_negatives, lz_fingerprint, mixing, ngram_join, pii, quality_model, quality_rules
+from claimlens.llm import substrings, token_counts, token_files
 from claimlens.session import table
 
 
@@ -63,12 +63,32 @@ def op10_quality_model(spark, sf_dir):
     return quality_model.op10_quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.op11_filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    return hard_negatives.op12_hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark, sf_dir):
+    return exact_dedup.op13_exact_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_bpe, op3_substrings, op3_kept_spans, op4_ngram_join, op5_lz_fingerprint,
         op6_pii, op7_token_files, op8_quality_rules, op9_token_counts, op10_quality_model,
+        op11_filter_audit, op12_hard_negatives, op13_exact_dedup,
     )
 }
 
-ORACLE = {"op3_substrings": substrings.oracle(), "op3_kept_spans": substrings.kept_oracle(), "op8_quality_rules": quality_rules.oracle()}
+ORACLE = {
+    "op3_substrings": substrings.oracle(),
+    "op3_kept_spans": substrings.kept_oracle(),
+    "op8_quality_rules": quality_rules.oracle(),
+    "op11_filter_audit": filter_audit.oracle(),
+    "op12_hard_negatives": hard_negatives.oracle(),
+    "op13_exact_dedup": exact_dedup.oracle(),
+}
