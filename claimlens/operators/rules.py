@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from claimlens.functions.similarity import exceeds_tolerance
 from claimlens.functions.text import editing_software, serial_tail
+from claimlens.operators import scan
 from claimlens.operators.documents import agreement, named
 from claimlens.session import materialize, release
 
@@ -58,6 +59,8 @@ RULES = {
     )
 }
 CEILING = 250_000
+#: The score from which resolution links a pair.
+LINK = 0.55
 
 
 def rules_of(version: int) -> dict[str, Rule]:
@@ -87,41 +90,50 @@ def _found(df: DataFrame, rule: Rule, evidence: Column) -> DataFrame:
     return df.select("application_id", F.lit(rule.name).alias("rule"), evidence.cast("string").alias("evidence"))
 
 
-def _far(pop: DataFrame, key: list[str], apart: str | None) -> DataFrame:
-    """(application_id, o): the counterpart of every row whose income exceeds the tolerance against another row of its key
-    (and, with apart, of another household).
+def contradicting(pop: DataFrame, key: list[str], apart: str | None = None) -> DataFrame:
+    """(application_id, o): for every row whose income exceeds the tolerance against other rows of its key (with apart,
+    of another value of that column), the least id of those rows.
 
-    The gap that is tolerated grows with the gap itself, so the rows with the least and the greatest income decide
-    who fires, and the farther of the two is the counterpart (the least income on equal gaps, the least id on equal
-    incomes). Only those two, and with apart those of the key's second household at either end, are kept of a key:
-    groupings that are combined before the shuffle, however common a name is.
+    What contradicts an income lies at or below one limit, or at or above another, so the answer is a running minimum
+    of ids along the incomes (and one along them downwards), read at the limits. With apart, the least id and the
+    least of any other value of apart are kept: whichever differs from the row's own counts. Keys whose extremes don't
+    contradict each other take no part. Rows are dealt by ranges of key and income, so a common key has many tasks.
     """
-    inc = F.col("declared_annual_income")
-    rows = pop.select(*key, *([apart] if apart else []), "application_id", "declared_annual_income")
-    ends = {"lo": F.struct(inc.alias("v"), F.col("application_id").alias("id")), "hi": F.struct((-inc).alias("v"), F.col("application_id").alias("id"))}
+    own = apart or "application_id"
+    rows = pop.where("declared_annual_income is not null").select(*key, F.col(own).alias("h"), F.col("application_id").alias("id"), F.col("declared_annual_income").cast("long").alias("x"))
+    ends = rows.groupBy(*key).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where(exceeds_tolerance(F.col("lo"), F.col("hi")))
+    rows = rows.join(ends.select(*key), key, "left_semi")
+    x = F.col("x")
+    # The largest income below x, and the smallest above, that contradict it.
+    below = F.when(x > 0, F.least(F.expr("(85 * x + 99) div 100 - 1"), x - 12_001))
+    above = F.greatest(F.expr("(100 * x) div 85 + 1"), x + 12_001, F.lit(1))
+    marks = [
+        F.struct(F.lit(side).alias("side"), v.alias("v"), F.lit(asks).alias("asks"))
+        for side, asks, v in (("down", False, x), ("down", True, below), ("up", False, -x), ("up", True, -above))
+    ]
+    each = rows.select(*key, "h", "id", F.explode(F.array(*marks)).alias("m")).select(*key, "h", "id", "m.*").where("v is not null")
+    group, order = [*key, "side"], ["v", "asks", "id"]
+    laid = scan.laid_out(each, group, order)
+    best = F.when(~F.col("asks"), F.struct("id", "h"))
+    first = scan.preceding_min(laid, group, order, best, "first")
     if not apart:
-        best = rows.groupBy(*key).agg(*[F.min(e).alias(n) for n, e in ends.items()])
-        found = [F.struct(F.col("lo.v").alias("v"), F.col("lo.id").alias("id")), F.struct((-F.col("hi.v")).alias("v"), F.col("hi.id").alias("id"))]
+        found = first.where("asks and first is not null").select("id", F.col("first.id").alias("o"))
     else:
-        homes = rows.groupBy(*key, apart).agg(*[F.min(e).alias(n) for n, e in ends.items()])
-        # The best household of each end, and the best of the others: a row of the best one looks at the latter.
-        pair = {n: F.struct(F.col(f"{n}.v").alias("v"), F.col(f"{n}.id").alias("id"), F.col(apart).alias("h")) for n in ends}
-        first = homes.groupBy(*key).agg(*[F.min(x).alias(f"{n}1") for n, x in pair.items()])
-        second = homes.join(first, key).groupBy(*key).agg(*[F.min(F.when(F.col(apart) != F.col(f"{n}1.h"), x)).alias(f"{n}2") for n, x in pair.items()])
-        best = first.join(second, key)
-        other = {n: F.when(F.col(f"{n}1.h") != F.col(apart), F.col(f"{n}1")).otherwise(F.col(f"{n}2")) for n in ends}
-        found = [F.struct((other["lo"]["v"]).alias("v"), other["lo"]["id"].alias("id")), F.struct((-other["hi"]["v"]).alias("v"), other["hi"]["id"].alias("id"))]
-    at = rows.join(best, key).withColumn("o", F.explode(F.array(*found))).where(exceeds_tolerance(inc, F.col("o.v")))
-    farther = F.min(F.struct((-F.abs(inc - F.col("o.v"))).alias("g"), F.col("o.v").alias("v"), F.col("o.id").alias("id")))
-    return at.groupBy("application_id").agg(farther.alias("m")).select("application_id", F.col("m.id").alias("o"))
+        first = materialize(first, "first")
+        # Where a row becomes the first of another household, the former first is the best of the rest from then on.
+        former = F.col("first.id") < F.col("id")
+        push = F.when(~F.col("asks") & (F.col("first.h") != F.col("h")), F.when(former, F.struct("id", "h")).otherwise(F.col("first")))
+        both = scan.preceding_min(first, group, order, push, "second").where("asks")
+        found = both.select("id", F.when(F.col("first.h") != F.col("h"), F.col("first.id")).otherwise(F.col("second.id")).alias("o")).where("o is not null")
+    return found.groupBy(F.col("id").alias("application_id")).agg(F.min("o").alias("o"))
 
 
 def sibling_income(pop: DataFrame, rule: Rule) -> DataFrame:
-    return _found(_far(pop, ["scope", "household"], None), rule, F.col("o"))
+    return _found(contradicting(pop, ["scope", "household"]), rule, F.col("o"))
 
 
 def guardian_income(pop: DataFrame, rule: Rule) -> DataFrame:
-    return _found(_far(pop.where("guardian_key <> ''"), ["scope", "guardian_key"], "household"), rule, F.col("o"))
+    return _found(contradicting(pop.where("guardian_key <> ''"), ["scope", "guardian_key"], "household"), rule, F.col("o"))
 
 
 def _clustered(pop: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -271,9 +283,10 @@ def round_income(pop, rule):
 
 
 def fragmentation(pairs: DataFrame, rule: Rule) -> DataFrame:
-    """From scored pairs: both sides of every unlinked pair near the threshold on several fields."""
+    """From scored pairs: both sides of every unlinked pair near the threshold on several fields; a score that is rounded
+    up to the threshold is neither linked nor near."""
     p = rule.params
-    near = pairs.where(~F.col("linked") & (F.col("score") >= p["floor"]) & (F.size("edges") >= p["fields"]))
+    near = pairs.where(~F.col("linked") & (F.col("score") >= p["floor"]) & (F.col("score") < LINK) & (F.size("edges") >= p["fields"]))
     sides = near.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("s"))
     return _found(sides.select(F.col("s.x").alias("application_id"), F.col("s.y").alias("y")), rule, F.col("y"))
 

@@ -33,9 +33,9 @@ def _tolerance(a: str, b: str) -> str:
 
 
 def _counterpart(on: str) -> str:
-    """The row whose income is farthest from that of p, of all that contradict it."""
+    """The least id of the rows that contradict the income of p."""
     a, b = "p.declared_annual_income", "q.declared_annual_income"
-    return f"""select p.application_id, arg_min(q.application_id, (-abs({a} - {b}), {b}, q.application_id)) as o
+    return f"""select p.application_id, min(q.application_id) as o
         from pop p join pop q on p.scope = q.scope and {on} and {_tolerance(a, b)} group by p.application_id"""
 
 
