@@ -29,14 +29,23 @@ class Run:
 
 def run(apps: DataFrame, rejected: DataFrame | None = None, version: int = 5, config: dict | None = None) -> Run:
     """Applications (with scope) through all steps. rejected: edges (a, b, field) that reviewers have rejected;
-    config: rules by name in place of the version's own (see rules.configured)."""
+    config: rules by name in place of the version's own (see rules.configured). Which keys candidates meet in follows
+    from the configured floor and number of fields; a configuration that would use every pair is an error."""
+    floor, fields = near_misses(version, config)
+    sets = resolve.key_sets(floor=floor, fields=fields)
     apps = materialize(resolve.normalized(apps), "normalized")
-    pairs = materialize(resolve.scored(resolve.candidates(apps, "scope"), apps, "scope"), "scored")
+    pairs = materialize(resolve.used(resolve.scored(resolve.candidates(apps, "scope", sets), apps, "scope"), floor, fields), "scored")
     pop = materialize(with_households(apps, resolve.households(apps, resolve.surviving(pairs, rejected))), "resolved")
     found = rules.findings(pop, version, pairs, config)
     return Run(pop, pairs, found, rules.flags(found, config), rules.scores(pop, found, config=config))
 
 
+def near_misses(version: int = 5, config: dict | None = None) -> tuple[float, int]:
+    """The least score and number of fields of unlinked pairs that the rules read."""
+    rule = rules.active(version, config).get("HOUSEHOLD_FRAGMENTATION")
+    return (float(rule.params["floor"]), int(rule.params["fields"])) if rule else (resolve.LINK, 1)
+
+
 def with_households(apps: DataFrame, households: DataFrame) -> DataFrame:
     """The population from normalized applications and (application_id, household): keys are normal forms."""
     keys = F.col("guardian.canonical").alias("guardian_key"), F.col("address").alias("address_key"), F.col("phone").alias("phone_key")

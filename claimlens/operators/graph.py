@@ -41,3 +41,17 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
         release(last)  # not the edges given, whose loops are read at the end
     found = e.unionByName(e.select(F.col("b").alias("a"), "b")).unionByName(loops.join(e.select("a"), "a", "left_anti"))
     return found.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+
+
+def recomputed(labels: DataFrame, links: DataFrame, touched: DataFrame) -> DataFrame:
+    """(node, component) of the nodes whose component may have changed, when links have come or gone.
+
+    labels: (node, component) of all nodes before; links: (a, b) of all links now; touched: (node) with both ends of
+    every link that has come or gone, and every new node. Only the components these nodes had are put together again
+    from their links, whether that joins or splits them; nothing else is read of links, and all other labels stand.
+    """
+    mine = touched.select("node").distinct()
+    hit = labels.join(mine, "node", "left_semi").select("component").distinct()
+    members = materialize(labels.join(hit, "component", "left_semi").select("node").unionByName(mine).distinct(), "members")
+    found = connected_components(links.join(members, F.col("a") == F.col("node"), "left_semi"), "a", "b")
+    return members.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -82,7 +82,8 @@ def configured(version: int, config: dict[str, dict]) -> dict[str, Rule]:
     return out
 
 
-def _rules(version: int, config: dict[str, dict] | None) -> dict[str, Rule]:
+def active(version: int, config: dict[str, dict] | None) -> dict[str, Rule]:
+    """The rules that a run applies."""
     return rules_of(version) if config is None else configured(version, config)
 
 
@@ -322,7 +323,7 @@ def findings(pop: DataFrame, version: int = 5, pairs: DataFrame | None = None, c
     The population is written once, since the groupings read it, and so are the
     findings, which flags, scores and reports read.
     """
-    some = _rules(version, config)
+    some = active(version, config)
     written = materialize(pop, "population")
     parts = [row_findings(written, rows)] if (rows := {n: r for n, r in some.items() if n in ROW_RULES}) else []
     parts += [f(written, some[n]) for n, f in GROUP_RULES.items() if n in some]
