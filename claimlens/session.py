@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_HELD = threading.local()
 #: Held while a table is written: its shuffle files go afterwards, and Python workers get small batches.
 _WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
@@ -60,9 +64,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    if scopes := getattr(_HELD, "scopes", None):
+        scopes[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What this thread materializes within the block is deleted at its end; what is to last must be written elsewhere by then."""
+    scopes = _HELD.scopes = getattr(_HELD, "scopes", None) or []
+    scopes.append([])
+    try:
+        yield
+    finally:
+        release(*scopes.pop())
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables that materialize wrote, when no later job reads them; frames it didn't return are left alone."""
     for t in tables:
