@@ -1,12 +1,15 @@
-"""Normalizers, parsers and renderers as functions on columns; none is a Python UDF."""
+"""Normalizers, parsers and renderers as functions on columns; none but canonical_text is a function in Python."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Titles dropped from names, spelling substitutions in order,
 # address words (an empty value drops the word), editor names in metadata.
@@ -147,9 +150,19 @@ def parse_family_size(c: Column) -> Column:
     return F.when(n.between(1, 30), n)
 
 
-def canonical_text(c: Column) -> Column:
-    dashes = F.regexp_replace(strip_diacritics(F.coalesce(c, F.lit(""))), "[‐-―−]", "-")
-    return F.lower(F.btrim(F.regexp_replace(F.regexp_replace(dashes, r"[^\p{L}\p{N}\s]", " "), r"\s+", " ")))
+_DASHES = {0x2013: "-", 0x2014: "-"}
+
+
+@F.arrow_udf(StringType())
+def canonical_text(c: pa.Array) -> pa.Array:
+    """A text for comparing readings: compatibility forms taken apart, dashes alike, other marks as spaces, single spaces,
+    case folded; null is empty. There is no built-in for the first and the last, so it is a function on Arrow batches."""
+
+    def one(text: str | None) -> str:
+        text = unicodedata.normalize("NFKD", text or "").translate(_DASHES)
+        return " ".join(re.sub(r"[^\w\s-]", " ", text).split()).casefold()
+
+    return pa.array(map(one, c.to_pylist()), pa.string())
 
 
 def serial_tail(c: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimlens.functions.text import canonical_text, parse_family_size, parse_income
 from claimlens.session import materialize
 
 RANGES = 64
@@ -84,13 +85,16 @@ def error_rates(rows: DataFrame, score: str, threshold: float) -> DataFrame:
 def graded(truth: DataFrame, read: DataFrame, key: str = "document") -> DataFrame:
     """(key, field, status) of every true value: right, wrong, or missing where nothing was read.
 
-    truth, read: key and a map of fields. Values are compared as letters and digits only, numbers by their digits.
+    truth, read: (key, field, value as text). Incomes and family sizes are read by their parsers and compared as
+    numbers, all else as canonical text.
     """
-    plain = lambda c: F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
-    want = truth.select(key, F.explode("truth").alias("field", "want"))
-    got = read.select(key, F.explode("fields").alias("field", "got"))
-    both = want.join(got, [key, "field"], "left")
-    status = F.when(F.col("got").isNull() | (F.trim("got") == ""), "missing").when(plain(F.col("want")) == plain(F.col("got")), "right").otherwise("wrong")
+    both = truth.select(key, "field", F.col("value").alias("want")).where("want is not null")
+    both = both.join(read.select(key, "field", F.col("value").alias("got")), [key, "field"], "left")
+    number = F.when(F.col("field") == "annual_income", parse_income(F.col("got"))).otherwise(parse_family_size(F.col("got")))
+    numeric = F.col("field").isin("annual_income", "family_size")
+    same = F.when(numeric, F.coalesce(number.cast("long") == F.col("want").try_cast("long"), F.lit(False))).otherwise(F.col("plain_got") == F.col("plain_want"))
+    both = both.withColumns({"plain_got": canonical_text(F.col("got")), "plain_want": canonical_text(F.col("want"))})
+    status = F.when(F.col("got").isNull() | (F.trim("got") == ""), "missing").when(same, "right").otherwise("wrong")
     return both.select(key, "field", status.alias("status"))
 
 

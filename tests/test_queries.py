@@ -3,7 +3,7 @@
 import __spark_entry__ as entry
 import duckdb
 import pytest
-from claimlens.plans import registry, views  # noqa: F401
+from claimlens.plans import pages, registry, views  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
