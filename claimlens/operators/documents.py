@@ -6,7 +6,7 @@ well enough, is skipped, never failed; null confidence means no document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.functions.similarity import district_agrees, names_agree
@@ -32,11 +32,11 @@ def named(pop: DataFrame) -> DataFrame:
     return pop.withColumns({f"norm_{c}": normalize_name(F.col(c)) for c in names})
 
 
-def agreement(field: str) -> Column:
-    """Whether the declared and the read value of a field agree; null if either is missing. Names need named()."""
+def agreement(field: str, least: float = 0.25) -> Column:
+    """Whether the declared and the read value of a field agree; null if either is missing. Names need named(), and a likeness of least."""
     a, b = _declared(field), F.col(f"read_{field}").cast("string")
     if field in ("applicant_name", "guardian_name"):
-        return F.when(a.isNotNull() & b.isNotNull(), names_agree(F.col(f"norm_{field}"), F.col(f"norm_read_{field}")))
+        return F.when(a.isNotNull() & b.isNotNull(), names_agree(F.col(f"norm_{field}"), F.col(f"norm_read_{field}"), least))
     if field == "certificate_id":
         return alnum(a) == alnum(b)
     if field == "district":
@@ -87,8 +87,31 @@ def document_checks(pop: DataFrame, threshold: float | None = None) -> DataFrame
     return _long(pop, {"identity": identity_status(), "income_words": words_status(), "editing_software": editing_status(), "tamper_score": tamper_status(threshold)})
 
 
-def checklist(pop: DataFrame, flags: DataFrame, stages: DataFrame, threshold: float | None = None) -> DataFrame:
+def _unread(least: float, *cases: tuple[Column, str]) -> Column:
+    """What is missing for a reading to count: the document, one of the cases, or confidence."""
+    out = F.when(F.col("read_confidence").isNull(), "document")
+    for test, need in cases:
+        out = out.when(test, need)
+    return out.when(F.col("read_confidence") < least, "confidence")
+
+
+def _unmet(check: str, threshold: float | None) -> Column | None:
+    """What a check that was skipped or is pending still needs; null if nothing can be said."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    if check in FIELDS:
+        return _unread(0.8, (blank(_declared(check)), "declared"), (blank(F.col(f"read_{check}").cast("string")), "read"))
+    if check == "identity":
+        return _unread(0.8, (F.col("word_count").isNull() | (F.col("word_count") < 40), "words"))
+    if check == "income_words":
+        return _unread(0.8, (F.col("words_mismatch").isNull(), "read"))
+    known = {"editing_software": "forensics", "tamper_score": "forensics" if threshold is not None else "threshold", "government_record": "verification"}
+    known |= {f"stage_{s}": "stage" for s in STAGES} | {r: n for r, n in RULE_NEEDS.items() if n}
+    return F.lit(known.get(check))
+
+
+def checklist(pop: DataFrame, flags: DataFrame, stages: DataFrame, threshold: float | None = None, needs: bool = False) -> DataFrame:
     """(application_id, check, status): stages, document, fields, government and household rules of every application.
+    With needs also what a check that is skipped or pending lacks (need).
 
     stages: application_id, stage, status of the latest run. Flags and stages are
     folded to one row for each application first, so nothing is joined per check.
@@ -107,7 +130,10 @@ def checklist(pop: DataFrame, flags: DataFrame, stages: DataFrame, threshold: fl
         unmet = F.lit(False) if need is None else F.col("members") < 2 if need == "household" else F.col(need).isNull()
         hit = F.coalesce(F.array_contains("fired", rule), F.lit(False))
         checks[rule] = F.when(hit, "fail").when(unmet, "skipped").otherwise("pass")
-    return _long(all_, checks)
+    if not needs:
+        return _long(all_, checks)
+    both = {n: F.struct(c.alias("status"), F.when(c.isin("skipped", "pending"), _unmet(n, threshold)).alias("need")) for n, c in checks.items()}
+    return _long(all_, both).select("application_id", "check", "status.status", "status.need")
 
 
 def summary(checks: DataFrame) -> DataFrame:
@@ -120,17 +146,41 @@ def page_report(words: DataFrame, doc: str, conf: str) -> DataFrame:
     return words.groupBy(doc).agg(F.round(F.avg(conf), 6).alias("confidence"), F.count(F.lit(1)).alias("word_count"))
 
 
+def _deviations(blocks: DataFrame, ink: float, least: int) -> DataFrame:
+    """Inked blocks with their distance from the document's median in scaled median deviations (zs); null in documents that
+    have too few of them, or no deviation."""
+    inked = blocks.where(F.col("ink") >= ink)
+    mid = inked.groupBy("doc").agg(F.median("energy").alias("mid"))
+    far = inked.join(mid, "doc")
+    spread = far.groupBy("doc").agg((F.median(F.abs(F.col("energy") - F.col("mid"))) * 1.4826).alias("dev"), F.count(F.lit(1)).alias("n"))
+    return far.join(spread, "doc").withColumn("zs", F.when((F.col("n") >= least) & (F.col("dev") > 1e-6), (F.col("energy") - F.col("mid")) / F.col("dev")))
+
+
 def block_outliers(blocks: DataFrame, ink: float = 6.0, z: float = 3.5, full: float = 12.0, least: int = 24) -> DataFrame:
     """(doc, n_blocks, applied, regions, score) from blocks (doc, energy, ink) by median and scaled median deviation.
 
     Documents with fewer inked blocks than least or without deviation are not
     measured (score 0). Only the inked blocks are shuffled, by document.
     """
-    inked = blocks.where(F.col("ink") >= ink)
-    mid = inked.groupBy("doc").agg(F.median("energy").alias("mid"))
-    far = inked.join(mid, "doc")
-    spread = far.groupBy("doc").agg((F.median(F.abs(F.col("energy") - F.col("mid"))) * 1.4826).alias("dev"), F.count(F.lit(1)).alias("n"))
-    at = far.join(spread, "doc").withColumn("zs", F.when((F.col("n") >= least) & (F.col("dev") > 1e-6), (F.col("energy") - F.col("mid")) / F.col("dev")))
-    out = at.groupBy("doc").agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if(F.col("zs") >= z).alias("regions"), F.max("zs").alias("peak"))
+    out = _deviations(blocks, ink, least).groupBy("doc").agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if(F.col("zs") >= z).alias("regions"), F.max("zs").alias("peak"))
     score = F.when(F.col("peak") > z, F.least(F.lit(1.0), (F.col("peak") - z) / (full - z))).otherwise(0.0)
     return out.select("doc", "n_blocks", F.col("peak").isNotNull().alias("applied"), "regions", F.round(score, 4).alias("score"))
+
+
+def block_regions(blocks: DataFrame, ink: float = 6.0, z: float = 3.5, least: int = 24, most: int = 12, size: int = 8) -> DataFrame:
+    """(doc, rank, row, col, left, top, right, bottom, z_score, energy): the most outlying blocks of each document, up to most.
+
+    blocks: doc, row, col, energy, ink; size: pixels of a block. Blocks alike in deviation are ranked by place. Each task
+    keeps no more than most blocks of a document before they are ranked together.
+    """
+    out = _deviations(blocks, ink, least).where(F.col("zs") >= z)
+    order = Window.partitionBy("doc").orderBy(F.desc("zs"), "row", "col")
+    out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    box = [(F.col("col") * size).alias("left"), (F.col("row") * size).alias("top"), ((F.col("col") + 1) * size).alias("right"), ((F.col("row") + 1) * size).alias("bottom")]
+    return out.select("doc", "rank", "row", "col", *box, F.round("zs", 3).alias("z_score"), F.round("energy", 3).alias("energy"))
+
+
+def region_lists(regions: DataFrame) -> DataFrame:
+    """(doc, regions): a document's regions as one list, the strongest first; of bounded length, as ranks are."""
+    one = F.struct("rank", "left", "top", "right", "bottom", "z_score", "energy")
+    return regions.groupBy("doc").agg(F.sort_array(F.collect_list(one)).alias("regions"))

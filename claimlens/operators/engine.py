@@ -134,19 +134,32 @@ SENTENCES = {
 }
 
 
-def reasons(found: DataFrame, pop: DataFrame) -> DataFrame:
+def reasons(found: DataFrame, pop: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """found with a sentence (reason) and a JSON payload of the values that fired the rule.
 
-    Where the evidence is another application, the sentence ends with the gap of
-    the two incomes. Both lookups are joins on the application.
+    Where the evidence is another application's income, the sentence ends with the gap of
+    the two incomes; where it is an application that nearly resembles, with the score and the
+    fields that agree, if the scored pairs are given. All lookups are joins on the application.
     """
     income = pop.select("application_id", F.col("declared_annual_income").alias("income"))
     others = pop.select(F.col("application_id").alias("evidence"), F.col("declared_annual_income").alias("other_income"))
     both = found.join(income, "application_id", "left").join(others, "evidence", "left")
+    near = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("array<struct<field:string,similarity:double>>")
+    if pairs is not None:
+        likely = pairs.where(~F.col("linked")).select(
+            F.lit("HOUSEHOLD_FRAGMENTATION").alias("rule"), "a", "b", F.col("score").alias("_score"),
+            F.transform("edges", lambda e: F.struct(e["field"].alias("field"), e["similarity"].alias("similarity"))).alias("_fields"),
+        )
+        both = both.withColumns({"a": F.least("application_id", "evidence"), "b": F.greatest("application_id", "evidence")}).join(likely, ["rule", "a", "b"], "left")
+        percent = F.transform("_fields", lambda e: F.concat(e["field"], F.lit(" "), F.round(100 * e["similarity"]).cast("int").cast("string"), F.lit("%")))
+        near = F.concat(F.lit(": "), F.format_string("%.2f", "_score"), F.lit(" ("), F.array_join(percent, ", "), F.lit(")")), F.col("_score"), F.col("_fields")
     pairs = [F.lit(x) for item in SENTENCES.items() for x in item]
     shown = F.when(F.col("rule") == "DECLARED_INCOME_BELOW_CERTIFICATE", format_inr(F.col("evidence").try_cast("bigint"))).otherwise(F.col("evidence"))
     sentence: Column = F.replace(F.create_map(*pairs)[F.col("rule")], F.lit("{n}"), F.coalesce(shown, F.lit("")))
     named = F.col("rule").isin("SIBLING_INCOME_CONTRADICTION", "GUARDIAN_INCOME_CONTRADICTION")
     gap = F.when(named, F.concat(F.lit(": a gap of "), describe_gap(F.col("income"), F.col("other_income"))))
-    payload = F.to_json(F.struct("rule", "evidence", F.col("income").alias("declared_annual_income"), F.when(named, F.col("other_income")).alias("other_income")))
-    return both.select(*found.columns, F.concat(sentence, F.coalesce(gap, F.lit(""))).alias("reason"), payload.alias("payload"))
+    payload = F.to_json(F.struct(
+        "rule", "evidence", F.col("income").alias("declared_annual_income"), F.when(named, F.col("other_income")).alias("other_income"),
+        near[1].alias("resolution_score"), near[2].alias("near_miss_fields"),
+    ))
+    return both.select(*found.columns, F.concat(sentence, F.coalesce(gap, near[0], F.lit(""))).alias("reason"), payload.alias("payload"))

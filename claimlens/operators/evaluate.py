@@ -1,8 +1,8 @@
 """Measures of rankings and classifiers.
 
-Where rows are ranked by a score, only counts by score are ordered, and those in
-ranges: each range is summed by a task of its own, and what lies before a range
-comes from a row for each range (RANGES at most, on the driver).
+Where rows are ranked by a score, counts by score are ordered, and of rows those at
+the border of what is asked for, both in ranges: each range is summed by a task of
+its own, and what lies before a range comes from a table with a row for each range.
 """
 
 from __future__ import annotations
@@ -13,20 +13,16 @@ from pyspark.sql import functions as F
 from claimlens.functions.text import canonical_text, parse_family_size, parse_income
 from claimlens.session import materialize
 
-RANGES = 64
-
 
 def _running(rows: DataFrame, order: list[Column], count: str, before: str) -> DataFrame:
     """rows with the sum of count over the rows that stand before by order."""
-    parts = materialize(rows.repartitionByRange(RANGES, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    total, start = {}, 0
-    for r in parts.groupBy("_range").agg(F.sum(count).alias("s")).orderBy("_range").collect():  # a row for each range
-        total[r["_range"]], start = start, start + r["s"]
-    if not total:
-        return rows.withColumn(before, F.lit(0).cast("long"))
-    base = F.create_map(*[F.lit(x) for item in total.items() for x in item])[F.col("_range")]
+    parts = materialize(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = parts.groupBy("_range").agg(F.sum(count).alias("s"))
+    earlier = F.sum("s").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    base = totals.select("_range", F.coalesce(earlier, F.lit(0)).alias("_base"))
     own = F.sum(count).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return parts.withColumn(before, (base + F.coalesce(own, F.lit(0))).cast("long")).drop("_range")
+    out = parts.withColumn("_own", F.coalesce(own, F.lit(0))).join(F.broadcast(base), "_range")
+    return out.withColumn(before, (F.col("_base") + F.col("_own")).cast("long")).select(*rows.columns, before)
 
 
 def auc(rows: DataFrame) -> DataFrame:
@@ -43,15 +39,16 @@ def precision_and_lift(rows: DataFrame, score: str, tie: str, k: int = 10) -> Da
     hit = F.avg(F.col("expected").cast("int"))
     n = rows.count()
     tenth = max(1, int(n / 10 + 0.5))
-    # The border score of the top tenth is found on counts by score; of the border's rows only as many as are missing are ranked.
+    # The border score of the top tenth is found on counts by score; of the border's rows those that so many others don't precede belong to it.
     above = _running(rows.groupBy(score).agg(F.count(F.lit(1)).alias("c")), [F.desc(score)], "c", "above")
     border = above.where(F.col("above") < tenth).orderBy(score).limit(1).collect()  # one row
     top = rows.orderBy(F.desc(score), tie).limit(k)
     head = rows.limit(0)
     if border:
         b = border[0]
-        ties = rows.where(F.col(score) == F.lit(b[score])).orderBy(tie).limit(tenth - b["above"])
-        head = rows.where(F.col(score) > F.lit(b[score])).unionByName(ties)
+        ties = rows.where(F.col(score) == F.lit(b[score])).withColumn("one", F.lit(1))
+        ties = _running(ties, [F.asc(tie)], "one", "before").where(F.col("before") < tenth - b["above"])
+        head = rows.where(F.col(score) > F.lit(b[score])).unionByName(ties.select(*rows.columns))
     one = top.agg(hit.alias("p")).crossJoin(rows.agg(hit.alias("base"))).crossJoin(head.agg(hit.alias("t")))  # one row each
     return one.select(F.round("p", 6).alias("precision_at_10"), F.round("base", 6).alias("base_rate"), F.round(F.try_divide("t", "base"), 6).alias("lift"))
 

@@ -75,7 +75,7 @@ class State:
 
     def findings(self) -> DataFrame:
         """All findings as rules give them, corroboration applied."""
-        return rules.corroborated(self.table("findings").drop("scope"))
+        return rules.corroborated(self.table("findings").drop("scope"), rules.active(self.version, self.config))
 
 
 def _scopes(*frames: DataFrame) -> list[str]:
@@ -239,7 +239,7 @@ def _rescored(
     at = pop.select("scope", "application_id")
     findings = materialize(kept.unionByName(again).join(at, "application_id").select("scope", "application_id", "rule", "evidence"), "findings")
 
-    firm = rules.corroborated(findings.drop("scope"))
+    firm = rules.corroborated(findings.drop("scope"), some)
     flags = rules.flags(firm, state.config).join(at, "application_id").select("scope", "application_id", "rule", "evidence", "severity", "weight")
     scores = rules.scores(pop, firm, config=state.config).join(at, "application_id").select("scope", "application_id", F.col("risk_score").cast("long").alias("risk_score"))
     new |= {"findings": findings, "flags": materialize(flags, "flags"), "scores": materialize(scores, "scores")}

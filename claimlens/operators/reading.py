@@ -6,7 +6,7 @@ with the labels it may be; likeness is the sequence ratio of difflib, which has
 built-in form, so it alone is a function in Python, on pairs that can still reach
 the threshold by their lengths. A line keeps the best window of each field, a
 document the best line. Lines are gathered by line and fields by document, never a
-document's words as a whole.
+document's words as a whole; lines are written once, and read for labels and values.
 
 Defined cases: words without text or confidence are left out; a document without a
 readable word has no rows, any other a row for every field, null where nothing was
@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimlens.session import materialize
+
 
 @dataclass(frozen=True)
 class Field:
@@ -87,32 +89,39 @@ def lines(words: DataFrame) -> DataFrame:
     return one.select("doc", F.row_number().over(order).alias("at"), "words", F.lead("words").over(order).alias("next"))
 
 
+def _shown(words: Column, start: Column, size: Column) -> Column:
+    """The letters and digits of so many words; null if there are fewer."""
+    text = plain(F.array_join(F.transform(F.slice(words, start + 1, size), lambda x: x["text"]), " "))
+    return F.when(start + size <= F.size(words), text)
+
+
+def with_heads(all_lines: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
+    """lines with heads, what their first one, two, ... words show: what most labels are compared with."""
+    longest = 1 + max(len(f.label.split()) for f in fields)
+    return all_lines.withColumn("heads", F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: _shown(F.col("words"), F.lit(0), n)))
+
+
 def windows(all_lines: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
     """(doc, at, words, next, k): lines with windows k (field, rank, start, size, label, seen) that may be a label, by their lengths."""
-    kinds = []
+    first, inner = [], []
     for f in fields:
         tokens = f.label.split()
         n = len(tokens)
         for size, rank in ((n, EXACT), (n + 1, SPLIT), *([(n - 1, LOST)] if n > 2 else [])):
-            shown = "".join(c for c in " ".join(tokens[: min(size, n)]).lower() if c.isascii() and c.isalnum())
-            kinds.append(F.struct(F.lit(f.name).alias("field"), F.lit(rank).alias("rank"), F.lit(size).alias("size"), F.lit(shown).alias("label"), F.lit(f.midline).alias("midline")))
-    w = F.col("words")
-
-    def starts(kind):
-        last = F.size(w) - kind["size"]
-        return F.transform(
-            F.when(last < 0, F.array().cast("array<int>")).when(kind["midline"], F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array(F.lit(0))),
-            lambda i: F.struct(
-                kind["field"].alias("field"), kind["rank"].alias("rank"), i.alias("start"), kind["size"].alias("size"), kind["label"].alias("label"),
-                plain(F.array_join(F.transform(F.slice(w, i + 1, kind["size"]), lambda x: x["text"]), " ")).alias("seen"),
-            ),
-        )
+            label = plain_text(" ".join(tokens[: min(size, n)]))
+            kind = F.lit(f.name).alias("field"), F.lit(rank).alias("rank"), F.lit(size).alias("size"), F.lit(label).alias("label")
+            first.append(F.struct(F.lit(0).alias("start"), *kind, F.get(F.col("heads"), F.lit(size - 1)).alias("seen")))
+            if f.midline:
+                last = F.size("words") - size
+                later = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+                inner.append(F.transform(later, lambda i, kind=kind, size=size: F.struct(i.alias("start"), *kind, _shown(F.col("words"), i, F.lit(size)).alias("seen"))))
 
     def may_be(k):
         a, b = F.length(k["seen"]), F.length(k["label"])
-        return (a > 0) & (2 * F.least(a, b) >= LABEL * (a + b))
+        return F.coalesce((a > 0) & (2 * F.least(a, b) >= LABEL * (a + b)), F.lit(False))
 
-    return all_lines.withColumn("k", F.filter(F.flatten(F.transform(F.array(*kinds), starts)), may_be)).where(F.size("k") > 0)
+    every = F.concat(F.array(*first), *inner)
+    return all_lines.withColumn("k", F.filter(every, may_be)).where(F.size("k") > 0)
 
 
 def _value(words: Column) -> Column:
@@ -126,7 +135,7 @@ def _value(words: Column) -> Column:
 
 def read_fields(words: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
     """(doc, field, value, confidence, left, top, right, bottom): a row for every field of every document."""
-    all_lines = lines(words)
+    all_lines = materialize(with_heads(lines(words), fields), "lines")
     some = windows(all_lines, fields)
     some = some.withColumn("s", likenesses(F.transform("k", lambda k: k["seen"]), F.transform("k", lambda k: k["label"])))
     hits = F.filter(F.zip_with("k", "s", lambda k, s: F.struct(k.alias("k"), s.alias("alike"))), lambda x: x["alike"] >= LABEL)

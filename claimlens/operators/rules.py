@@ -8,6 +8,7 @@ one row only are conditions: a run takes all of them in one scan.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -18,7 +19,7 @@ from claimlens.functions.similarity import exceeds_tolerance
 from claimlens.functions.text import editing_software, serial_tail
 from claimlens.operators import scan
 from claimlens.operators.documents import agreement, named
-from claimlens.session import materialize, release
+from claimlens.session import is_written, materialize, release
 
 
 @dataclass(frozen=True)
@@ -71,13 +72,16 @@ def rules_of(version: int) -> dict[str, Rule]:
 def configured(version: int, config: dict[str, dict]) -> dict[str, Rule]:
     """The rules of a version with a configuration's severities, weights and parameters; rules it disables or leaves out are not run.
 
-    config: by rule, a mapping with enabled, severity, weight and params, each of which may be missing.
+    config: by rule, a mapping with enabled, severity, weight, corroborated and params, each of which may be missing.
+    A rule that isn't known is an error.
     """
+    if unknown := set(config) - set(RULES):
+        raise ValueError(f"no such rules: {sorted(unknown)}")
     out = {}
     for name, rule in rules_of(version).items():
         c = config.get(name)
         if c is not None and c.get("enabled", True):
-            given = {k: c[k] for k in ("severity", "weight") if c.get(k) is not None}
+            given = {k: c[k] for k in ("severity", "weight", "corroborated") if c.get(k) is not None}
             out[name] = replace(rule, params=rule.params | (c.get("params") or {}), **given)
     return out
 
@@ -91,82 +95,92 @@ def _found(df: DataFrame, rule: Rule, evidence: Column) -> DataFrame:
     return df.select("application_id", F.lit(rule.name).alias("rule"), evidence.cast("string").alias("evidence"))
 
 
-def contradicting(pop: DataFrame, key: list[str], apart: str | None = None) -> DataFrame:
-    """(application_id, o): for every row whose income exceeds the tolerance against other rows of its key (with apart,
-    of another value of that column), the least id of those rows.
+def _tolerance(rule: Rule) -> tuple[float, float]:
+    return rule.params.get("percent", 15), rule.params.get("absolute", 12_000)
 
-    What contradicts an income lies at or below one limit, or at or above another, so the answer is a running minimum
-    of ids along the incomes (and one along them downwards), read at the limits. With apart, the least id and the
-    least of any other value of apart are kept: whichever differs from the row's own counts. Keys whose extremes don't
-    contradict each other take no part. Rows are dealt by ranges of key and income, so a common key has many tasks.
-    """
-    own = apart or "application_id"
-    rows = pop.where("declared_annual_income is not null").select(*key, F.col(own).alias("h"), F.col("application_id").alias("id"), F.col("declared_annual_income").cast("long").alias("x"))
-    ends = rows.groupBy(*key).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where(exceeds_tolerance(F.col("lo"), F.col("hi")))
-    rows = rows.join(ends.select(*key), key, "left_semi")
-    x = F.col("x")
-    # The largest income below x, and the smallest above, that contradict it.
-    below = F.when(x > 0, F.least(F.expr("(85 * x + 99) div 100 - 1"), x - 12_001))
-    above = F.greatest(F.expr("(100 * x) div 85 + 1"), x + 12_001, F.lit(1))
-    marks = [
-        F.struct(F.lit(side).alias("side"), v.alias("v"), F.lit(asks).alias("asks"))
-        for side, asks, v in (("down", False, x), ("down", True, below), ("up", False, -x), ("up", True, -above))
-    ]
-    each = rows.select(*key, "h", "id", F.explode(F.array(*marks)).alias("m")).select(*key, "h", "id", "m.*").where("v is not null")
-    group, order = [*key, "side"], ["v", "asks", "id"]
-    laid = scan.laid_out(each, group, order)
-    best = F.when(~F.col("asks"), F.struct("id", "h"))
-    first = scan.preceding_min(laid, group, order, best, "first")
-    if not apart:
-        found = first.where("asks and first is not null").select("id", F.col("first.id").alias("o"))
-    else:
-        first = materialize(first, "first")
-        # Where a row becomes the first of another household, the former first is the best of the rest from then on.
-        former = F.col("first.id") < F.col("id")
-        push = F.when(~F.col("asks") & (F.col("first.h") != F.col("h")), F.when(former, F.struct("id", "h")).otherwise(F.col("first")))
-        both = scan.preceding_min(first, group, order, push, "second").where("asks")
-        found = both.select("id", F.when(F.col("first.h") != F.col("h"), F.col("first.id")).otherwise(F.col("second.id")).alias("o")).where("o is not null")
-    return found.groupBy(F.col("id").alias("application_id")).agg(F.min("o").alias("o"))
-
-
-def sibling_income(pop: DataFrame, rule: Rule) -> DataFrame:
-    return _found(contradicting(pop, ["scope", "household"]), rule, F.col("o"))
 
+def _ceiling(rule: Rule) -> int:
+    return rule.params.get("ceiling", CEILING)
 
-def guardian_income(pop: DataFrame, rule: Rule) -> DataFrame:
-    return _found(contradicting(pop.where("guardian_key <> ''"), ["scope", "guardian_key"], "household"), rule, F.col("o"))
 
+#: Rules on incomes that contradict each other: the key (beside scope) that brings rows together, and the column in which they must differ.
+CONTRADICTIONS = {"SIBLING_INCOME_CONTRADICTION": ("household", "application_id"), "GUARDIAN_INCOME_CONTRADICTION": ("guardian_key", "household")}
 
-def _clustered(pop: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Rows whose key occurs in at least so many households, with that number as n."""
-    groups = pop.groupBy("scope", *keys).agg(F.count_distinct("household").alias("n")).where(F.col("n") >= least)
-    return pop.join(groups, ["scope", *keys])
 
+def contradictions(pop: DataFrame, some: dict[str, Rule]) -> DataFrame:
+    """Findings of the income rules: evidence is, for every row whose income exceeds the tolerance against other rows of
+    its key, the least id of those rows.
 
-def address_cluster(pop, rule):
-    some = pop.where((F.col("declared_annual_income") <= CEILING) & (F.col("address_key") != ""))
-    return _found(_clustered(some, ["address_key"], rule.params["households"]), rule, F.col("n"))
-
-
-def issuing_office(pop, rule):
-    named = pop.withColumn("office", F.lower(F.trim("issuing_office"))).where("office <> ''")
-    many = named.groupBy("scope", "household").agg(F.count_distinct("office").alias("n")).where("n > 1")
-    return _found(named.join(many, ["scope", "household"]), rule, F.col("n"))
-
-
-def duplicate_certificate(pop, rule):
-    cert = pop.withColumn("cert", F.trim("certificate_id")).where("cert <> ''")
-    many = cert.groupBy("scope", "cert").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return _found(cert.join(many, ["scope", "cert"]), rule, F.col("n"))
-
-
-def family_size(pop, rule):
-    many = pop.groupBy("scope", "household").agg(F.count_distinct("declared_family_size").alias("n")).where("n > 1")
-    return _found(pop.join(many, ["scope", "household"]), rule, F.col("n"))
+    What contradicts an income lies at or below one limit, or at or above another, so the answer is a running minimum
+    of ids along the incomes (and one along them downwards), read at the limits. The least id and the least of any other
+    value of the column that must differ are kept: whichever differs from the row's own counts. Keys whose extremes don't
+    contradict each other take no part. Rows are dealt by ranges of key and income, so a common key has many tasks.
+    A tolerance has percent (below 100, in hundredths) and an absolute gap.
+    """
+    x, asked, far = F.col("declared_annual_income").cast("long"), [], F.lit(False)
+    for name, rule in some.items():
+        percent, absolute = _tolerance(rule)
+        if not 0 <= percent < 100:
+            raise ValueError(f"{name}: a tolerance of {percent} percent")
+        left, gap = 10_000 - round(100 * percent), math.floor(absolute) + 1
+        # The largest income below x, and the smallest above, that contradict it.
+        y = "cast(declared_annual_income as bigint)"
+        below = F.when(x > 0, F.least(F.expr(f"({left} * {y} + 9999) div 10000 - 1"), x - gap))
+        above = F.greatest(F.expr(f"(10000 * {y}) div {left} + 1"), x + gap, F.lit(1).cast("long"))
+        key, apart = CONTRADICTIONS[name]
+        asked.append(F.when(x.isNotNull() & (F.col(key) != ""), F.struct(F.lit(name).alias("rule"), F.col(key).alias("k"), F.col(apart).alias("h"), below.alias("below"), above.alias("above"))))
+        far = far | ((F.col("rule") == name) & exceeds_tolerance(F.col("lo"), F.col("hi"), percent, absolute))
+    group = ["scope", "rule", "k"]
+    rows = pop.select("scope", F.col("application_id").alias("id"), x.alias("x"), F.explode(F.array_compact(F.array(*asked))).alias("r")).select("scope", "id", "x", "r.*")
+    ends = rows.groupBy(*group).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where(far)
+    rows = rows.join(ends.select(*group), group, "left_semi")
+    marks = [
+        F.struct(F.lit(side).alias("side"), F.lit(asks).alias("asks"), v.alias("v"))
+        for side, asks, v in (("down", False, F.col("x")), ("down", True, F.col("below")), ("up", False, -F.col("x")), ("up", True, -F.col("above")))
+    ]
+    each = rows.select(*group, "h", "id", F.explode(F.array(*marks)).alias("m")).select(*group, "h", "id", "m.*").where("v is not null")
+    group, order = [*group, "side"], ["v", "asks", "id"]
+    laid = scan.laid_out(each, group, order)
+    first = materialize(scan.preceding_min(laid, group, order, F.when(~F.col("asks"), F.struct("id", "h")), "first"), "first")
+    # Where a row becomes the first of another household, the former first is the best of the rest from then on.
+    former = F.col("first.id") < F.col("id")
+    push = F.when(~F.col("asks") & (F.col("first.h") != F.col("h")), F.when(former, F.struct("id", "h")).otherwise(F.col("first")))
+    both = scan.preceding_min(first, group, order, push, "second").where("asks")
+    found = both.select("rule", "id", F.when(F.col("first.h") != F.col("h"), F.col("first.id")).otherwise(F.col("second.id")).alias("o")).where("o is not null")
+    return found.groupBy(F.col("id").alias("application_id"), "rule").agg(F.min("o").alias("evidence"))
+
+
+def _office() -> Column:
+    return F.lower(F.trim("issuing_office"))
+
+
+#: Rules on what occurs with several different values: rule -> (how many, key beside scope, value, condition on a row).
+CLUSTERS: dict[str, Callable] = {
+    "ADDRESS_CLUSTER_UNRELATED": lambda r: (r.params["households"], ["address_key"], "household", (F.col("declared_annual_income") <= _ceiling(r)) & (F.col("address_key") != "")),
+    "ISSUING_OFFICE_MISMATCH": lambda r: (2, ["household"], _office(), _office() != ""),
+    "DUPLICATE_CERTIFICATE_ID": lambda r: (2, [F.trim("certificate_id")], "application_id", F.trim("certificate_id") != ""),
+    "FAMILY_SIZE_CONTRADICTION": lambda r: (2, ["household"], "declared_family_size", F.lit(True)),
+    "SHARED_CONTACT_UNRELATED_HOUSEHOLDS": lambda r: (2, ["phone_key"], "household", F.col("phone_key").isNotNull()),
+    "IDENTICAL_ROUND_INCOME_CLUSTER": lambda r: (
+        r.params["households"], [_office(), "declared_annual_income"], "household",
+        (F.col("declared_annual_income") > 0) & (F.col("declared_annual_income") % r.params["step"] == 0) & (_office() != ""),
+    ),
+}
 
 
-def shared_contact(pop, rule):
-    return _found(_clustered(pop.where("phone_key is not null"), ["phone_key"], 2), rule, F.col("n"))
+def clustered(pop: DataFrame, some: dict[str, Rule]) -> DataFrame:
+    """Findings of rows whose key occurs with at least so many different values; evidence: their number. All rules are one
+    grouping and one join back, on rows of a rule, a key and a value each."""
+    hits, least = [], []
+    for name, rule in some.items():
+        n, keys, value, fit = CLUSTERS[name](rule)
+        text = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in (*keys, value)]
+        hits.append(F.when(fit, F.struct(F.lit(name).alias("rule"), F.concat_ws("\x1f", *text[:-1]).alias("k"), text[-1].alias("v"))))
+        least += [F.lit(name), F.lit(n)]
+    group = ["scope", "rule", "k"]
+    rows = pop.select("scope", "application_id", F.explode(F.array_compact(F.array(*hits))).alias("r")).select("scope", "application_id", "r.*")
+    many = rows.groupBy(*group).agg(F.count_distinct("v").alias("n")).where(F.col("n") >= F.create_map(*least)[F.col("rule")])
+    return rows.join(many, group).select("application_id", "rule", F.col("n").cast("string").alias("evidence"))
 
 
 def _read(c: str, rule: Rule) -> Column:
@@ -175,7 +189,8 @@ def _read(c: str, rule: Rule) -> Column:
 
 def _fails(rule: Rule, fields: tuple[str, ...]) -> tuple[Column, Column]:
     """Fires where a field, declared and read well enough, disagrees; evidence: those fields' names."""
-    bad = F.concat_ws(", ", *[F.when(_read(f"read_{f}", rule) & ~agreement(f), F.lit(f)) for f in fields])
+    least = rule.params.get("similarity", 0.25)
+    bad = F.concat_ws(", ", *[F.when(_read(f"read_{f}", rule) & ~agreement(f, least), F.lit(f)) for f in fields])
     return bad != "", bad
 
 
@@ -186,7 +201,7 @@ def deadline(rule):
 
 def below_certificate(rule):
     d, c = F.col("declared_annual_income"), F.col("read_income")
-    return _read("read_income", rule) & (c > d) & exceeds_tolerance(c, d), c - d
+    return _read("read_income", rule) & (c > d) & exceeds_tolerance(c, d, *_tolerance(rule)), c - d
 
 
 def certificate_holder(rule):
@@ -248,8 +263,9 @@ def row_findings(pop: DataFrame, some: dict[str, Rule]) -> DataFrame:
 
 def bunching(pop, rule):
     p, inc = rule.params, F.col("declared_annual_income")
-    width = CEILING * p["band"] // 100
-    band, below = (inc > CEILING - width) & (inc <= CEILING), (inc > CEILING - 2 * width) & (inc <= CEILING - width)
+    top = _ceiling(rule)
+    width = top * p["band"] / 100
+    band, below = (inc > top - width) & (inc <= top), (inc > top - 2 * width) & (inc <= top - width)
     counts = pop.groupBy("scope").agg(F.count_if(band).alias("n"), F.count_if(below).alias("m"))
     dense = counts.where((F.col("n") >= p["least"]) & (F.col("n") >= p["ratio"] * F.greatest("m", F.lit(1))))
     return _found(pop.where(band).join(dense, "scope"), rule, F.col("n"))
@@ -277,12 +293,6 @@ def serial_adjacency(pop, rule):
     return _found(members.join(wide, key), rule, F.concat_ws("-", "lo", "hi"))
 
 
-def round_income(pop, rule):
-    p, inc = rule.params, F.col("declared_annual_income")
-    some = pop.withColumn("office", F.lower(F.trim("issuing_office"))).where((inc > 0) & (inc % p["step"] == 0) & (F.col("office") != ""))
-    return _found(_clustered(some, ["office", "declared_annual_income"], p["households"]), rule, F.col("n"))
-
-
 def fragmentation(pairs: DataFrame, rule: Rule) -> DataFrame:
     """From scored pairs: both sides of every unlinked pair near the threshold on several fields; a score that is rounded
     up to the threshold is neither linked nor near."""
@@ -292,14 +302,13 @@ def fragmentation(pairs: DataFrame, rule: Rule) -> DataFrame:
     return _found(sides.select(F.col("s.x").alias("application_id"), F.col("s.y").alias("y")), rule, F.col("y"))
 
 
+def _together(name: str, rules_of_a_kind: Callable) -> Callable:
+    return lambda pop, rule: rules_of_a_kind(pop, {name: rule})
+
+
 #: Rules that group the population: (population, rule) -> findings.
-GROUP_RULES: dict[str, Callable] = {
-    "SIBLING_INCOME_CONTRADICTION": sibling_income, "GUARDIAN_INCOME_CONTRADICTION": guardian_income,
-    "ADDRESS_CLUSTER_UNRELATED": address_cluster, "ISSUING_OFFICE_MISMATCH": issuing_office,
-    "DUPLICATE_CERTIFICATE_ID": duplicate_certificate, "FAMILY_SIZE_CONTRADICTION": family_size,
-    "SHARED_CONTACT_UNRELATED_HOUSEHOLDS": shared_contact, "INCOME_THRESHOLD_BUNCHING": bunching,
-    "CERTIFICATE_SERIAL_ADJACENCY": serial_adjacency, "IDENTICAL_ROUND_INCOME_CLUSTER": round_income,
-}
+GROUP_RULES: dict[str, Callable] = {n: _together(n, contradictions) for n in CONTRADICTIONS} | {n: _together(n, clustered) for n in CLUSTERS}
+GROUP_RULES |= {"INCOME_THRESHOLD_BUNCHING": bunching, "CERTIFICATE_SERIAL_ADJACENCY": serial_adjacency}
 
 
 def _one(name: str) -> Callable:
@@ -309,10 +318,11 @@ def _one(name: str) -> Callable:
 FUNCTIONS: dict[str, Callable] = {n: _one(n) for n in RULES if n in GROUP_RULES or n in ROW_RULES}
 
 
-def corroborated(findings: DataFrame) -> DataFrame:
-    """Without the findings that need another one, not of a population rule, on the same application."""
-    weak = [n for n, r in RULES.items() if r.corroborated]
-    support = findings.where(~F.col("rule").isin(weak + [n for n, r in RULES.items() if r.population])).select("application_id").distinct()
+def corroborated(findings: DataFrame, some: dict[str, Rule] | None = None) -> DataFrame:
+    """Without the findings that need another one, not of a population rule, on the same application; some: the rules as configured."""
+    known = RULES | (some or {})
+    weak = [n for n, r in known.items() if r.corroborated]
+    support = findings.where(~F.col("rule").isin(weak + [n for n, r in known.items() if r.population])).select("application_id").distinct()
     needs = F.col("rule").isin(weak)
     return findings.where(~needs).unionByName(findings.where(needs).join(support, "application_id", "left_semi"))
 
@@ -320,13 +330,14 @@ def corroborated(findings: DataFrame) -> DataFrame:
 def findings(pop: DataFrame, version: int = 5, pairs: DataFrame | None = None, config: dict[str, dict] | None = None) -> DataFrame:
     """All findings of a version's rules (or of those that a configuration leaves in), corroboration applied.
 
-    The population is written once, since the groupings read it, and so are the
-    findings, which flags, scores and reports read.
+    The population is written once, since the groupings read it (one that has been materialized is read as it is), and
+    so are the findings, which flags, scores and reports read. Rules of a kind are evaluated together.
     """
     some = active(version, config)
-    written = materialize(pop, "population")
-    parts = [row_findings(written, rows)] if (rows := {n: r for n, r in some.items() if n in ROW_RULES}) else []
-    parts += [f(written, some[n]) for n, f in GROUP_RULES.items() if n in some]
+    written = pop if is_written(pop) else materialize(pop, "population")
+    kinds = ((ROW_RULES, row_findings), (CLUSTERS, clustered), (CONTRADICTIONS, contradictions))
+    parts = [f(written, of) for names, f in kinds if (of := {n: r for n, r in some.items() if n in names})]
+    parts += [GROUP_RULES[n](written, r) for n, r in some.items() if n in GROUP_RULES and n not in CLUSTERS and n not in CONTRADICTIONS]
     if pairs is not None and "HOUSEHOLD_FRAGMENTATION" in some:
         parts.append(fragmentation(pairs, some["HOUSEHOLD_FRAGMENTATION"]))
     if not parts:
@@ -335,8 +346,9 @@ def findings(pop: DataFrame, version: int = 5, pairs: DataFrame | None = None, c
     for p in parts[1:]:
         out = out.unionByName(p)
     out = materialize(out, "findings")
-    release(written)
-    return corroborated(out)
+    if written is not pop:
+        release(written)
+    return corroborated(out, some)
 
 
 def stamped(found: DataFrame, version: int) -> DataFrame:

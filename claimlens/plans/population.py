@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimlens.session import table
+from claimlens.session import materialize, table
 
 _WORDS = "".join(w.ljust(6)[:6] for w in "Ravi Kumar Meena Suresh Latha Murthy Reddy Sankar Faruk Gowda Swamy Deepa Mohan Iqbal Thomas Radha".split())
 
@@ -67,6 +67,11 @@ def population(spark, sf_dir):
     return spark.sql(_population(_applications("{orders}")), orders=table(spark, sf_dir, "orders"))
 
 
+def written_population(spark, sf_dir):
+    """The population as a table, for queries that read it several times."""
+    return materialize(population(spark, sf_dir), "population")
+
+
 def cases(spark, sf_dir):
     """The population with a case in place of the scope."""
     return spark.sql(_population("{apps}"), apps=applications(spark, sf_dir).withColumn("scope", F.expr(_CASE)))

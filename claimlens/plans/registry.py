@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimlens.functions import similarity, text
 from claimlens.operators import intake, queue, resolve, rules
 from claimlens.operators import engine
-from claimlens.plans.population import SQL, applications, population
+from claimlens.plans.population import SQL, applications, population, written_population
 from claimlens.session import materialize, table
 
 QUERIES, ORACLE = {}, {}
@@ -129,7 +129,7 @@ def r27_flags(spark, sf_dir):
 
 @register(f"{_ALL} select * from sc")
 def r23_scores(spark, sf_dir):
-    pop = population(spark, sf_dir)
+    pop = written_population(spark, sf_dir)
     return rules.scores(pop, rules.findings(pop))
 
 
@@ -166,7 +166,7 @@ select p.application_id, p.scope, p.district, p.status, sc.risk_score, coalesce(
 from pop p join sc using (application_id) left join t using (application_id) where p.status = 'submitted'
 order by risk_score desc, submitted_on, application_id limit 100""")
 def q1_review_queue(spark, sf_dir):
-    pop = population(spark, sf_dir)
+    pop = written_population(spark, sf_dir)
     found = rules.findings(pop)
     return queue.page(pop, rules.flags(found), rules.scores(pop, found), status="submitted", limit=100)
 
@@ -191,14 +191,21 @@ def q1_resolved_queue(spark, sf_dir):
 _REASONS = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in engine.SENTENCES.items())
 
 
-@register(f"""{_ALL}, t(rule, sentence) as (values {_REASONS}) select f.application_id, f.rule, f.evidence, 'v5' as version,
- replace(sentence, '{{n}}', evidence) as reason from f join t using (rule) where rule not in ('SIBLING_INCOME_CONTRADICTION', 'GUARDIAN_INCOME_CONTRADICTION', 'DECLARED_INCOME_BELOW_CERTIFICATE')""")
+def _rupees(v: str) -> str:
+    return f"""('₹' || case when {v} < 1000 then cast({v} as varchar) when {v} < 100000 then ({v} // 1000) || ',' || lpad(cast({v} % 1000 as varchar), 3, '0')
+ when {v} < 10000000 then ({v} // 100000) || ',' || lpad(cast({v} // 1000 % 100 as varchar), 2, '0') || ',' || lpad(cast({v} % 1000 as varchar), 3, '0') end)"""
+
+
+@register(f"""{_ALL}, t(rule, sentence) as (values {_REASONS}), g as (select f.*, sentence, abs(p.declared_annual_income - q.declared_annual_income) as gap,
+ greatest(p.declared_annual_income, q.declared_annual_income) as top, f.rule in ('SIBLING_INCOME_CONTRADICTION', 'GUARDIAN_INCOME_CONTRADICTION') as named
+ from f join t using (rule) join pop p using (application_id) left join pop q on q.application_id = f.evidence)
+select application_id, rule, evidence, 'v5' as version, replace(sentence, '{{n}}', case when rule = 'DECLARED_INCOME_BELOW_CERTIFICATE' then {_rupees('cast(evidence as bigint)')} else evidence end)
+ || case when named then ': a gap of ' || {_rupees('gap')} || ' (' || cast(round(100 * gap / top) as int) || '%)' else '' end as reason from g""")
 def r25_reasons(spark, sf_dir):
-    """Sentences of the rules whose evidence is shown as it is, with the version; those with amounts are tested."""
-    pop = population(spark, sf_dir)
+    """Sentences of all findings, with amounts, and the version."""
+    pop = written_population(spark, sf_dir)
     found = rules.stamped(rules.findings(pop), 5)
-    amounts = ("SIBLING_INCOME_CONTRADICTION", "GUARDIAN_INCOME_CONTRADICTION", "DECLARED_INCOME_BELOW_CERTIFICATE")
-    return engine.reasons(found.where(~F.col("rule").isin(*amounts)), pop).select("application_id", "rule", "evidence", "version", "reason")
+    return engine.reasons(found, pop).select("application_id", "rule", "evidence", "version", "reason")
 
 
 @register(f"""{_POP} select application_id, 'ready_for_review' as status from pop where status in ('submitted', 'processing') and cast(application_id as bigint) % 2 = 0""")
@@ -253,7 +260,7 @@ def q3_districts(spark, sf_dir):
 @register(f"""{_ALL} select scope, count(*) as total, count(*) filter (status <> 'approved') as awaiting, count(*) filter (status = 'approved') as decided,
  count(*) filter (application_id in (select application_id from fl)) as flagged from pop group by scope""")
 def q4_cycle_summary(spark, sf_dir):
-    pop = population(spark, sf_dir)
+    pop = written_population(spark, sf_dir)
     return queue.cycle_summary(pop, rules.flags(rules.findings(pop)))
 
 
@@ -267,9 +274,13 @@ def q6_export(spark, sf_dir):
     return queue.export(rules.flags(rules.findings(population(spark, sf_dir))))
 
 
-@register(f"""{_POP} select application_id, scope, status, case status when 'submitted' then 'submitted' when 'approved' then 'decided' else 'under_review' end as stage, submitted_on from pop""")
+@register(f"""{_POP}, d as (select l_orderkey as k, count(*) as n from lineitem group by 1)
+select application_id, scope, case status when 'submitted' then 'submitted' when 'approved' then 'decided' else 'under_review' end as stage, submitted_on, coalesce(n, 0) as document_count
+from pop left join d on k = cast(application_id as bigint)""")
 def q9_applicant_view(spark, sf_dir):
-    return queue.applicant_view(population(spark, sf_dir))
+    """An order's line items stand for the documents of an application."""
+    docs = table(spark, sf_dir, "lineitem").select(F.lpad(F.col("l_orderkey").cast("string"), 8, "0").alias("application_id"))
+    return queue.applicant_view(population(spark, sf_dir), docs)
 
 
 @register(f"""{_POP} select application_id, right(regexp_replace(guardian_phone, '[^0-9]', '', 'g'), 10) as phone from pop where guardian_phone is not null""")
@@ -373,7 +384,7 @@ select round(avg(case when k <= 10 then cast(expected as int) end), 6) as precis
 def e4_precision_and_lift(spark, sf_dir):
     from claimlens.operators.evaluate import precision_and_lift
 
-    pop = population(spark, sf_dir)
+    pop = written_population(spark, sf_dir)
     s = rules.scores(pop, rules.findings(pop)).join(pop.select("application_id", F.col("words_mismatch").alias("expected")), "application_id")
     return precision_and_lift(s, "risk_score", "application_id")
 
@@ -426,7 +437,7 @@ def q14_purgeable(spark, sf_dir):
 
 @register(f"{_ALL} select application_id, rule from fl where application_id not in (select application_id from pop where status = 'approved')")
 def w6_withdrawal(spark, sf_dir):
-    pop = population(spark, sf_dir)
+    pop = written_population(spark, sf_dir)
     return intake.withdraw(rules.flags(rules.findings(pop)), pop.where("status = 'approved'")).select("application_id", "rule")
 
 
@@ -451,7 +462,7 @@ def q20_tips(spark, sf_dir):
 def e2_recall(spark, sf_dir):
     from claimlens.operators.evaluate import recall
 
-    pop = population(spark, sf_dir)
+    pop = written_population(spark, sf_dir)
     return recall(pop.where("words_mismatch"), rules.flags(rules.findings(pop)), "application_id")
 
 
@@ -460,5 +471,5 @@ select round(avg(cast(high = 0 as int)), 6) as pass_rate from c""")
 def e5_equity_pass_rate(spark, sf_dir):
     from claimlens.operators.evaluate import pass_rate
 
-    pop = population(spark, sf_dir)
+    pop = written_population(spark, sf_dir)
     return pass_rate(pop, rules.flags(rules.findings(pop)), ["scope", "household"], "application_id")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from claimlens.functions import text
 from claimlens.operators import documents, evaluate, intake, logs, queue, rules
-from claimlens.plans.population import CASE_SQL, DECISIONS, applications, cases, decisions, population
+from claimlens.plans.population import CASE_SQL, DECISIONS, applications, cases, decisions, population, written_population
 from claimlens.plans.registry import _ALL, _POP, AGREE, register
-from claimlens.session import table
+from claimlens.session import new_path, table
+from claimlens.sources import trail
 
 _NO = "read_confidence is null or read_confidence < 0.8"
 
@@ -49,11 +50,14 @@ def c2_document_checks(spark, sf_dir):
     return documents.document_checks(population(spark, sf_dir), 0.5)
 
 
-def _checklist(spark, sf_dir):
-    pop = population(spark, sf_dir)
+def _stages(pop):
     status = F.element_at(F.array(*map(F.lit, ("succeeded", "dead_lettered", "running"))), ((F.col("application_id").cast("long") + F.col("i")) % 3 + 1).cast("int"))
-    stages = pop.select("application_id", F.posexplode(F.array(*map(F.lit, documents.STAGES))).alias("i", "stage")).withColumn("status", status)
-    return documents.checklist(pop, rules.flags(rules.findings(pop)), stages, 0.5)
+    return pop.select("application_id", F.posexplode(F.array(*map(F.lit, documents.STAGES))).alias("i", "stage")).withColumn("status", status)
+
+
+def _checklist(spark, sf_dir):
+    pop = written_population(spark, sf_dir)
+    return documents.checklist(pop, rules.flags(rules.findings(pop)), _stages(pop), 0.5)
 
 
 _LIST = f"""{_ALL}, ck as ({_rows(_REST | _CHECK | _FILE, "from (select *, count(*) over (partition by scope, household) as members from pop) p")})"""
@@ -64,6 +68,21 @@ def c6_checklist(spark, sf_dir):
     return _checklist(spark, sf_dir)
 
 
+_UNREAD = "case when read_confidence is null then 'document' {} when read_confidence < 0.8 then 'confidence' end"
+_UNMET = {n: _UNREAD.format(f"when {'declared_family_size' if n == 'family_size' else n} is null then 'declared' when read_{n} is null then 'read'") for n in documents.FIELDS}
+_UNMET |= {"identity": _UNREAD.format("when word_count < 40 then 'words'"), "income_words": _UNREAD.format(""), "editing_software": "'forensics'", "tamper_score": "'forensics'", "government_record": "'verification'"}
+_UNMET |= {f"stage_{s}": "'stage'" for s in documents.STAGES} | {r: f"'{n}'" for r, n in documents.RULE_NEEDS.items() if n}
+
+
+@register(f"""{_ALL}, u as ({_rows({n: f"case when ({c}) in ('skipped', 'pending') then {_UNMET[n]} end" for n, c in (_REST | _CHECK | _FILE).items() if n in _UNMET}, "from (select *, count(*) over (partition by scope, household) as members from pop) p")})
+select "check", status as need, count(*) as n from u where status is not null group by 1, 2""")
+def c6_unmet_needs(spark, sf_dir):
+    """How many applications lack what, for each check that can't be answered."""
+    pop = written_population(spark, sf_dir)
+    listed = documents.checklist(pop, rules.flags(rules.findings(pop)), _stages(pop), 0.5, needs=True)
+    return listed.where("need is not null").groupBy("check", "need").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register(f"""{_LIST} select application_id, {', '.join(f"count(*) filter (status = '{s}') as {s}" for s in ('pass', 'fail', 'skipped', 'pending'))} from ck group by application_id""")
 def c7_checklist_summary(spark, sf_dir):
     return documents.summary(_checklist(spark, sf_dir))
@@ -85,6 +104,17 @@ def c10_block_outliers(spark, sf_dir):
     return documents.block_outliers(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), (price * price / 1000000).alias("energy"), F.col("l_quantity").alias("ink")))
 
 
+@register("""with b as (select l_suppkey as doc, l_orderkey as row, l_linenumber as col, l_extendedprice * l_extendedprice / 1000000 as energy from lineitem where l_quantity >= 6), m as (select doc, median(energy) as mid from b group by doc),
+ d as (select doc, median(abs(energy - mid)) * 1.4826 as dev, count(*) as n from b join m using (doc) group by doc),
+ z as (select doc, row, col, energy, (energy - mid) / dev as zs, row_number() over (partition by doc order by (energy - mid) / dev desc, row, col) as rank from b join m using (doc) join d using (doc) where n >= 24 and dev > 1e-6)
+select doc, rank, col * 8 as left, row * 8 as top, round(zs, 3) as z_score from z where zs >= 1.5 and rank <= 12""")
+def c10_block_regions(spark, sf_dir):
+    """The twelve strongest regions of each page, of line items as before; with a lower threshold, which more of them reach."""
+    price = F.col("l_extendedprice")
+    blocks = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), (price * price / 1000000).alias("energy"), F.col("l_quantity").alias("ink"))
+    return documents.block_regions(blocks, z=1.5).select("doc", "rank", "left", "top", "z_score")
+
+
 @register("""select user_id, event_id, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events where value > 10 and event_type <> 'error') where k = 1""")
 def s3_latest_read_document(spark, sf_dir):
     """Events stand for documents: those above 10 have been read, errors are purged."""
@@ -107,7 +137,7 @@ def s6_evidence(spark, sf_dir):
 @register(f"""{_ALL}, r(rule, w, s) as (select rule, weight, severity from w) select application_id, risk_score, count(rule) as n_flags,
  coalesce(string_agg(rule || ':' || weight, '; ' order by rule), '') as flags from pop join sc using (application_id) left join fl using (application_id) group by application_id, risk_score""")
 def q7_reviewer_detail(spark, sf_dir):
-    pop = population(spark, sf_dir)
+    pop = written_population(spark, sf_dir)
     found = rules.findings(pop)
     one = rules.flags(found).groupBy("application_id").agg(F.sort_array(F.collect_list(F.struct("rule", "weight"))).alias("f"))
     out = rules.scores(pop, found).join(one, "application_id", "left")
@@ -115,6 +145,28 @@ def q7_reviewer_detail(spark, sf_dir):
     return out.select("application_id", "risk_score", F.coalesce(F.size("f"), F.lit(0)).alias("n_flags"), F.coalesce(shown, F.lit("")).alias("flags"))
 
 
+_DOCS = "select lpad(cast(l_orderkey as varchar), 8, '0') as application_id, l_linenumber as document_id, cast(l_shipdate as date) as at, l_shipmode as kind from lineitem"
+
+
+@register(f"""{_ALL}, r(rule, w, s) as (select rule, weight, severity from w), d as ({_DOCS}), e as (select user_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events)
+select application_id, risk_score, coalesce((select string_agg(rule || ':' || weight, '; ' order by weight desc, rule) from fl where fl.application_id = pop.application_id), '') as flags,
+ coalesce((select string_agg(document_id || ':' || kind, '; ' order by at, document_id, kind) from d where d.application_id = pop.application_id), '') as documents, event_type as verification,
+ household, count(*) over (partition by scope, household) as members from pop join sc using (application_id) left join e on e.user_id = cast(application_id as bigint) and k = 1""")
+def q7_application_detail(spark, sf_dir):
+    """All that a reviewer sees of an application; line items stand for documents, a user's last event for the verification."""
+    pop = written_population(spark, sf_dir)
+    found = rules.findings(pop)
+    key = lambda c: F.lpad(F.col(c).cast("string"), 8, "0").alias("application_id")
+    docs = table(spark, sf_dir, "lineitem").select(key("l_orderkey"), F.col("l_linenumber").alias("document_id"), F.col("l_shipdate").cast("date").alias("at"), F.col("l_shipmode").alias("kind"), F.lit(None).cast("date").alias("purged_at"))
+    checks = table(spark, sf_dir, "events").select(key("user_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.lit("").alias("notes"))
+    one = queue.detail(pop, rules.scores(pop, found), rules.flags(found), docs, checks)
+    shown = lambda c, *parts: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[p] for p in parts])), "; ")
+    return one.select(
+        "application_id", "risk_score", shown("flags", "rule", "weight").alias("flags"), shown("documents", "document_id", "kind").alias("documents"), F.col("verification.status").alias("verification"),
+        "household.household", "household.members",
+    )
+
+
 @register("select event_id, user_id, c_name, ts from events left join customer on c_custkey = user_id where event_type in ('purchase', 'signup') order by ts desc, event_id")
 def q10_decision_history(spark, sf_dir):
     e, c = table(spark, sf_dir, "events").where("event_type in ('purchase', 'signup')"), table(spark, sf_dir, "customer")
@@ -157,6 +209,16 @@ def q18_audit_trail(spark, sf_dir):
     return table(spark, sf_dir, "events").orderBy("user_id", "ts", "event_id").select("event_id", "user_id", "event_type", "ts")
 
 
+@register("""select event_id, user_id, event_type, ts from events where user_id = (select user_id from events group by user_id order by count(*) desc, user_id limit 1)""")
+def q18_busiest_actor(spark, sf_dir):
+    """The trail of the actor with most entries, read from a trail laid out by actor."""
+    events = table(spark, sf_dir, "events")
+    most = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "user_id").select("user_id").first()
+    kept = trail.Trail(spark, new_path(spark, "trail"), {"actor": ["user_id"], "time": ["ts"]})
+    kept.append(events)
+    return kept.lookup("actor", most[0] if most else None).select("event_id", "user_id", "event_type", "ts")
+
+
 @register("""select d.doc_id, cast(m.event_id as varchar) as mark from documents d left join (select user_id, event_id from (select *, row_number() over (partition by user_id order by ts, event_id) as k
  from events where event_type = 'error') where k = 1) m on m.user_id = d.doc_id""")
 def q21_abuse_marks(spark, sf_dir):
@@ -234,7 +296,7 @@ _LOG = f"lg as materialized ({DECISIONS})"
 select s.application_id, scope, district, status, sc.risk_score, flag_count, high_count, top_rule, (select count(*) from s) as total
 from s join sc using (application_id) join t using (application_id) order by risk_score desc, submitted_on, application_id limit 50""")
 def q1_queue_listing(spark, sf_dir):
-    pop = population(spark, sf_dir)
+    pop = written_population(spark, sf_dir)
     found = rules.findings(pop)
     return queue.listing(pop, rules.flags(found), rules.scores(pop, found), "awaiting", text=" RAVI ", severity="high")
 
@@ -248,7 +310,7 @@ def q5_find(spark, sf_dir):
  x as (select application_id, string_agg(distinct rule, '; ' order by rule) as fired from fl group by application_id)
 select p.application_id, p.status, coalesce(fired, '') as fired, decision, decider from pop p left join x using (application_id) left join d using (application_id)""")
 def q6_export_decisions(spark, sf_dir):
-    pop = population(spark, sf_dir)
+    pop = written_population(spark, sf_dir)
     return queue.export_decisions(pop, rules.flags(rules.findings(pop)), decisions(spark, sf_dir))
 
 

@@ -69,6 +69,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def is_written(df: DataFrame) -> bool:
+    """Whether df is a table as materialize returned it, not released since."""
+    return "_written" in df.__dict__
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
     """What this thread materializes within the block is deleted at its end; what is to last must be written elsewhere by then."""

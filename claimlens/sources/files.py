@@ -25,6 +25,42 @@ def rule_config(spark: SparkSession, folder: str, version: str) -> DataFrame:
     return rows
 
 
+#: The parameters of rules in a configuration's file, and what they are called here.
+PARAMETERS = {
+    "incomeTolerancePercent": "percent", "incomeToleranceAbsolute": "absolute", "minDistinctHouseholds": "households", "windowDays": "days",
+    "minOcrConfidence": "confidence", "minNameSimilarity": "similarity", "minWordCount": "words", "minIdentifyingFields": "fields",
+    "minTamperScore": "tamper_score", "bunchingBandPercent": "band", "minBandCount": "least", "bunchingRatio": "ratio", "maxSerialSpan": "span",
+    "roundIncomeStep": "step", "nearMissFloor": "floor", "minNearMissFields": "fields",
+}
+#: Least and greatest value (a null has no bound) of parameters, and those that are whole numbers.
+BOUNDS = {
+    "percent": (0, 99.99), "absolute": (0, None), "households": (2, None), "days": (1, None), "confidence": (0, 1), "similarity": (0, 1), "words": (0, None),
+    "fields": (1, None), "tamper_score": (0, 1), "band": (0.01, 100), "least": (2, None), "ratio": (0.01, None), "span": (0, None), "step": (1, None), "floor": (0, 1),
+}
+WHOLE = {"households", "days", "words", "fields", "least", "span", "step"}
+
+
+def load_config(spark: SparkSession, folder: str, version: str) -> dict[str, dict]:
+    """rules.<version>.json as rules.configured and engine.run take it: by rule enabled, severity, weight, corroborated and
+    params. The ceiling goes to the rules that read it. Errors as in rule_config, and for parameters out of bounds."""
+    rule_config(spark, folder, version)
+    fields = ", ".join(f"{p}: double" for p in PARAMETERS)
+    schema = f"scholarshipIncomeCeiling double, rules map<string, struct<enabled: boolean, severity: string, weight: int, requiresCorroboration: boolean, {fields}>>"
+    read = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(f"{folder}/rules.{version}.json").first()  # one row, of one file
+    out = {}
+    for name, r in read["rules"].items():
+        params = {ours: r[theirs] for theirs, ours in PARAMETERS.items() if r[theirs] is not None}
+        for p, v in params.items():
+            low, high = BOUNDS[p]
+            if not low <= v or (high is not None and v > high) or (p in WHOLE and v != int(v)):
+                raise ValueError(f"{name}: {p} can't be {v}")
+        params = {p: int(v) if p in WHOLE else v for p, v in params.items()}
+        if read["scholarshipIncomeCeiling"] is not None and name in ("ADDRESS_CLUSTER_UNRELATED", "INCOME_THRESHOLD_BUNCHING"):
+            params["ceiling"] = int(read["scholarshipIncomeCeiling"])
+        out[name] = {"enabled": r["enabled"] is not False, "severity": r["severity"], "weight": r["weight"], "corroborated": r["requiresCorroboration"], "params": params}
+    return out
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(document, variant, truth) of a corpus manifest: a JSON object with an array of documents."""
     doc = "struct<document: string, variant: string, truth: map<string, string>>"

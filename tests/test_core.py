@@ -35,10 +35,10 @@ def test_money(spark):
 
 
 def test_identity(spark):
-    check(spark, text.normalize_phone, {"+91 98401 12233": "9840112233", "098401-12233": "9840112233", "9840112233": "9840112233", "044-2345678": None})
+    check(spark, text.normalize_phone, {"+91 70105 66778": "7010566778", "070105-66778": "7010566778", "7010566778": "7010566778", "033-5556677": None})
     name = lambda c: text.normalize_name(c)["canonical"]
-    check(spark, name, {"Muthuswami": "mutusvami", "Muthusamy": "mutusami", "Shri R. Kumár": "kumar", "": ""})
-    check(spark, text.normalize_address, {"14 Bharathi St.": "14 barati strit", "2nd Cross, Door No. 5": "2 cros 5"})
+    check(spark, name, {"Bhuvaneshwaree": "buvanesvari", "Geethaa Zaheer": "gita jahir", "Dr. Q. Wásim Poorny": "vasim purni", "": ""})
+    check(spark, text.normalize_address, {"9 Poongavanam Rd.": "9 pungavanam road", "3rd Main, Flat No. 88": "3 main flat 88"})
     assert value(spark, text.submitter_hash(b"k", F.lit("1.2.3.4"))) == hmac.new(b"k", b"1.2.3.4", hashlib.sha256).hexdigest()
     check(spark, text.csv_cell, {"=1+1": "'=1+1", "-12.5": "-12.5", 'a"b': '"a""b"', "@x,y": '"\'@x,y"'})
     assert value(spark, text.serial_tail(F.lit("tn-2025-000123"))) == ("TN", None) or value(spark, text.serial_tail(F.lit("tn-2025-000123")))["serial"] == 123
@@ -50,15 +50,16 @@ def test_names(spark):
     def sim(a, b, f=similarity.name_similarity):
         return value(spark, f(text.normalize_name(F.lit(a)), text.normalize_name(F.lit(b))))
 
-    assert sim("Shankar Duraisamy", "Sekar Duraisamy") < 0.55 and sim("Ravi Kumar", "Ravi Kumar Nadar") == 1.0
-    assert sim("Ravi Kumar", "S Ravi Kumar") == 1.0 and sim("S Ravi Kumar", "Ravi Kumar") == 0.0 and sim("V. Ramachandran", "V. Ramachandran") == 0.0
-    for a, b, same in (("Ramaswamy Velmurugan", "Ramasamy Velmurugan", True), ("Kavya Velmurugan", "Arun Velmurugan", False), ("Lakshmi Narayanan", "Laxmi Narayanan", True), ("Divya Senthil", "Kavya Senthil", False)):
+    # a shared last name doesn't carry another first name; more words on one side don't matter; an initial needs a word that it begins
+    assert sim("Leela Natarajan", "Prakash Natarajan") < 0.3 and sim("Leela Natarajan", "Leela Natarajan Pillai") == 1.0
+    assert sim("Leela Natarajan", "P Leela Natarajan") == 1.0 and sim("P Leela Natarajan", "Leela Natarajan") == 0.0 and sim("P. Natarajan", "P. Natarajan") == 0.0
+    for a, b, same in (("Poongodi Natarajan", "Pungodi Natarajen", True), ("Leela Natarajan", "Prakash Natarajan", False), ("Shanmugha Vadivel", "Sanmuga Vadivelu", True), ("Usha Pillai", "Gowri Pillai", False)):
         assert sim(a, b, similarity.names_agree) == same, (a, b)
 
 
 def test_resolution_equals_all_pairs(spark):
     rng = random.Random(8)
-    first, last = "Ravi Kumar Meena Suresh Latha".split(), "Velmurugan Duraisamy Narayanan Ramachandran Govindaraj Velmurgan".split()
+    first, last = "Ravi Kumar Meena Suresh Latha".split(), "Natarajan Pillai Vadivel Shanmugham Poongavanam Natrajan".split()
     made = [
         (f"{i:04d}", "2025", f"{rng.choice(first)} {rng.choice(last)}", f"{rng.choice(['', 'S. '])}{rng.choice(first)} {rng.choice(last)}",
          f"{rng.randint(1, 6)} {rng.choice(['Gandhi', 'Bharathi', 'Barathi'])} {rng.choice(['St', 'Street', 'Nagar'])}", rng.choice(["Salem", "Erode"]), rng.choice([None, *(f"98401000{k:02d}" for k in range(40))]))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 def test_holder_names(spark):
     rows = [
-        ("1", "Ramaswamy Velmurugan", "Ramasamy Velmurugan", 0.9, "pass"), ("2", "Kavya Velmurugan", "Arun Velmurugan", 0.9, "fail"), ("3", "V. Ramachandran", "V. Ramachandran", 0.9, "pass"),
-        ("4", "Kavya", "Arun", 0.7, "skipped"), ("5", "Kavya", None, 0.9, "skipped"), ("6", " ", "Arun", 0.9, "skipped"), ("7", "Kavya", "Arun", None, "skipped"),
+        ("1", "Poongodi Natarajan", "PUNGODI NATARAJEN", 0.9, "pass"), ("2", "Leela Natarajan", "Prakash Natarajan", 0.9, "fail"), ("3", "P. Natarajan", "P. Natarajan", 0.9, "pass"),
+        ("4", "Leela", "Gowri", 0.7, "skipped"), ("5", "Leela", None, 0.9, "skipped"), ("6", " ", "Gowri", 0.9, "skipped"), ("7", "Leela", "Gowri", None, "skipped"),
     ]
     df = spark.createDataFrame([(i, a, b, c) for i, a, b, c, _ in rows], "application_id string, applicant_name string, read_applicant_name string, read_confidence double")
     for c in ("guardian_name", "certificate_id", "district", "pincode", "family_size"):
