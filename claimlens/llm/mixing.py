@@ -12,9 +12,10 @@ checked (MAX_PATTERNS) before they are collected or broadcast; no window ever
 holds more than a 2^-20 share of a group's hash range.
 
 Defined cases: null text has 0 words and is never taken; a null source is a
-source of its own, last in order; rows repeated in full are taken alike; an
-empty table gives an empty result; other columns are carried through untouched
-(names starting with ``_mix_`` are reserved).
+source of its own, last in order; rows repeated in full are taken alike, as one
+document of their words together (they are summed before any window); a very long
+text is one row, of which only its number of words travels; an empty table gives an
+empty result; other columns, whatever their names, are carried through.
 """
 
 from __future__ import annotations
@@ -186,6 +187,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int
             .select("grp", "rest", F.col("m.before").alias("before"), F.col("m.bin").alias("prefix"))
         )
     last = slim.join(F.broadcast(edge), "grp").where(F.shiftrightunsigned("_mix_hash", 64 - 2 * _BITS) == F.col("prefix"))
+    last = last.groupBy("grp", "rest", "before", "prefix", "_mix_hash").agg(F.sum("_mix_size").alias("_mix_size"))
     ordered = F.col("_mix_hash")  # within a prefix the signed order is the unsigned one
     upto = F.col("before") + F.sum("_mix_size").over(Window.partitionBy("grp").orderBy(ordered))
     best = (
@@ -269,9 +271,12 @@ def op1_mixing(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3, seed: int = 17) -> DataFrame:
     """The mixture itself: every document as often as it is taken, with its own columns."""
-    ready = prepare(docs, seed=seed)
+    # Columns go by their place, so that none of docs meets a working column.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names))
+    ready = prepare(docs.toDF(*names), at["doc_id"], at["text"], F.array(F.col(at["source"])), seed)
     slim = materialize(ready.select("_mix_size", "_mix_members", "_mix_hash"), "mix")
     cuts = materialize(plan(slim, weights, max_repeats), "mix-cuts")
     out = mix(ready, cuts).where("_mix_repeats > 0 and _mix_size > 0")
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_repeats")))
-    return out.withColumn("_mix_copy", copies).select(*docs.columns)
+    return out.withColumn("_mix_copy", copies).select(*names).toDF(*docs.columns)
