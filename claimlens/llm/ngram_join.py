@@ -530,6 +530,8 @@ def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     twice = materialize(_repeated(kept).withColumnRenamed("doc_id", often), "repeated")
     if twice.isEmpty():
         return kept
-    names = [F.col(f"`{c}`") for c in kept.columns]
-    one = kept.join(twice, kept["doc_id"] == F.col(often), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*names)).alias(gone)).select(f"{gone}.*")
+    # Rows are ordered by their text, then by all their columns as text: maps have no order of their own.
+    row = F.struct(*[F.col(f"`{c}`") for c in kept.columns])
+    first = F.min_by(row, F.struct("text", F.to_json(row)))
+    one = kept.join(twice, kept["doc_id"] == F.col(often), "left_semi").groupBy("doc_id").agg(first.alias(gone)).select(f"{gone}.*")
     return kept.join(twice, kept["doc_id"] == F.col(often), "left_anti").unionByName(one)
