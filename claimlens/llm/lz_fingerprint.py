@@ -18,8 +18,9 @@ they are read in order, and a task holds the phrases of two texts.
 Defined cases: a null text is an empty one; two empty fingerprints have a
 likeness of 1, an empty and another 0; null doc_id comes last; rows with one
 doc_id are ordered by a hash of their text; repeated rows each get a row; in a
-table of one row the next document is the row itself; an empty table gives an
-empty result.
+table of one row the next document is the row itself; a very long text is parsed
+whole, in memory that follows its length; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations

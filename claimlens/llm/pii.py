@@ -11,8 +11,9 @@ Base kinds: email, ip, card, phone. Added kinds: url, account (an IBAN with its
 check digits, or what follows a cue) and secret (a long value after a key name).
 
 Defined cases: a null text is an empty one, without spans; offsets are code
-points, end exclusive; repeated rows each get a row; an empty table gives an
-empty result.
+points, end exclusive; repeated rows each get a row, null doc_id among them; a very
+long text is searched whole, in a piece of a batch of its own; an empty table gives
+an empty result; `masked_documents` carries other columns through, whatever their names.
 """
 
 from __future__ import annotations

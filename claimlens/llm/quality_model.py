@@ -12,7 +12,8 @@ used; nothing is sampled.
 Defined cases: a null text is an empty one and gets a score; a null doc_id gets
 the fold of an empty string and no label; a row of labels with null quality is
 unused; several labels of one doc_id each count; without any usable label every
-score is PRIOR; repeated rows each get a row; an empty table gives an empty result.
+score is PRIOR; repeated rows each get a row; a very long text is measured whole; an
+empty table gives an empty result; `accepted_documents` carries all columns through.
 """
 
 from __future__ import annotations

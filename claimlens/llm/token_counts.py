@@ -4,15 +4,17 @@ Tier one is a hash table of the lengths of frequent pre-tokens, broadcast: every
 task counts its pre-tokens in a bounded counter and hands on its FREQUENT most
 common ones; these summaries, not the pre-tokens, are summed and the first
 FREQUENT kept. Tier two is a cache in each worker; what it lacks is encoded by
-the library. No pre-token is shuffled, and the table only saves work: counts
-are exact whatever it holds.
+the library. Beside these summaries (FREQUENT rows of a task at most) no pre-token is
+shuffled, and the table only saves work: counts are exact whatever it holds.
 
 A pre-token is a run of spaces with the text up to the next space or line end,
 or a line end: no piece of the vocabulary crosses these places (`parted` checks
 that when the model is loaded; a model that fails is counted text by text).
 
 Defined cases: null text counts as empty, with 0 bytes and 0 tokens; repeated
-rows each get a row; null doc_id is kept; an empty table gives an empty result.
+rows each get a row; null doc_id is kept; a very long text is cut into pre-tokens
+whole, one of which may be all of it; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
