@@ -206,8 +206,9 @@ def _mask(i: int):
 
 def masked_documents(docs: DataFrame) -> DataFrame:
     """docs with personal data in text masked, and n_chars (where there is one) counted anew; all rows and columns stay."""
-    kept = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
-    out = docs.mapInArrow(_mask(docs.columns.index("text")), kept)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # columns go by their place, whatever their names
+    kept = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, docs.schema.fields)])
+    out = docs.toDF(*names).mapInArrow(_mask(docs.columns.index("text")), kept).toDF(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return out
