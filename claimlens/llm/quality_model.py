@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlens.llm.batches import pieces
 from claimlens.session import materialize, release
@@ -235,4 +236,6 @@ def accepted_documents(docs: DataFrame, labels: DataFrame, threshold: float = TH
             x = np.array([statistics(t or "") for t in b.column(at).to_pylist()], "<f4").astype(float).reshape(-1, N_STATISTICS)
             yield b.filter(pa.array(model.value.score(x) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # columns go by their place, whatever their names
+    kept = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema.fields)])
+    return docs.toDF(*names).mapInArrow(keep, kept).toDF(*docs.columns)
