@@ -101,6 +101,10 @@ def with_heads(all_lines: DataFrame, fields: tuple[Field, ...] = FIELDS) -> Data
     return all_lines.withColumn("heads", F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: _shown(F.col("words"), F.lit(0), n)))
 
 
+def _inner(kind: tuple[Column, ...], size: int):
+    return lambda i: F.struct(i.alias("start"), *kind, _shown(F.col("words"), i, F.lit(size)).alias("seen"))
+
+
 def windows(all_lines: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
     """(doc, at, words, next, k): lines with windows k (field, rank, start, size, label, seen) that may be a label, by their lengths."""
     first, inner = [], []
@@ -114,7 +118,7 @@ def windows(all_lines: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFra
             if f.midline:
                 last = F.size("words") - size
                 later = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-                inner.append(F.transform(later, lambda i, kind=kind, size=size: F.struct(i.alias("start"), *kind, _shown(F.col("words"), i, F.lit(size)).alias("seen"))))
+                inner.append(F.transform(later, _inner(kind, size)))
 
     def may_be(k):
         a, b = F.length(k["seen"]), F.length(k["label"])

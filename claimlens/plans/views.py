@@ -145,19 +145,19 @@ def q7_reviewer_detail(spark, sf_dir):
     return out.select("application_id", "risk_score", F.coalesce(F.size("f"), F.lit(0)).alias("n_flags"), F.coalesce(shown, F.lit("")).alias("flags"))
 
 
-_DOCS = "select lpad(cast(l_orderkey as varchar), 8, '0') as application_id, l_linenumber as document_id, cast(l_shipdate as date) as at, l_shipmode as kind from lineitem"
+_DOCS = "select lpad(cast(l_orderkey as varchar), 8, '0') as application_id, l_linenumber as document_id, cast(l_shipdate as date) as made, l_returnflag as kind from lineitem"
 
 
 @register(f"""{_ALL}, r(rule, w, s) as (select rule, weight, severity from w), d as ({_DOCS}), e as (select user_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events)
 select application_id, risk_score, coalesce((select string_agg(rule || ':' || weight, '; ' order by weight desc, rule) from fl where fl.application_id = pop.application_id), '') as flags,
- coalesce((select string_agg(document_id || ':' || kind, '; ' order by at, document_id, kind) from d where d.application_id = pop.application_id), '') as documents, event_type as verification,
+ coalesce((select string_agg(document_id || ':' || kind, '; ' order by made, document_id, kind) from d where d.application_id = pop.application_id), '') as documents, event_type as verification,
  household, count(*) over (partition by scope, household) as members from pop join sc using (application_id) left join e on e.user_id = cast(application_id as bigint) and k = 1""")
 def q7_application_detail(spark, sf_dir):
     """All that a reviewer sees of an application; line items stand for documents, a user's last event for the verification."""
     pop = written_population(spark, sf_dir)
     found = rules.findings(pop)
     key = lambda c: F.lpad(F.col(c).cast("string"), 8, "0").alias("application_id")
-    docs = table(spark, sf_dir, "lineitem").select(key("l_orderkey"), F.col("l_linenumber").alias("document_id"), F.col("l_shipdate").cast("date").alias("at"), F.col("l_shipmode").alias("kind"), F.lit(None).cast("date").alias("purged_at"))
+    docs = table(spark, sf_dir, "lineitem").select(key("l_orderkey"), F.col("l_linenumber").alias("document_id"), F.col("l_shipdate").cast("date").alias("at"), F.col("l_returnflag").alias("kind"), F.lit(None).cast("date").alias("purged_at"))
     checks = table(spark, sf_dir, "events").select(key("user_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.lit("").alias("notes"))
     one = queue.detail(pop, rules.scores(pop, found), rules.flags(found), docs, checks)
     shown = lambda c, *parts: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[p] for p in parts])), "; ")
