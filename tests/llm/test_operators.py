@@ -118,6 +118,41 @@ def test_substrings(docs, none):
     assert substrings.op3_substrings(none).count() == 0
 
 
+def test_passages_of_one_place(spark):
+    """Lines put together from several documents stay; the same lines in one earlier document go; a line's own repetitions go but the first."""
+    lines = [" ".join(f"{c}{i}" for i in range(9)) for c in "abc"]
+    apart = spark.createDataFrame([(i, line) for i, line in enumerate(lines)] + [(8, "\n".join(lines))], "doc_id long, text string")
+    assert {r["n_removed"] for r in substrings.op3_substrings(apart).collect()} == {0}
+    together = apart.unionByName(spark.createDataFrame([(9, "x\n" + "\n".join(lines[1:]) + "\ny"), (10, "\n".join([lines[0]] * 6))], "doc_id long, text string"))
+    got = by_id(substrings.op3_substrings(together))
+    assert {i: got[i]["n_removed"] for i in (8, 9, 10)} == {8: 0, 9: 2, 10: 4}
+    assert {r["n_removed"] for r in substrings.op3_substrings(together, 28).collect()} == {0, 2}  # four of its lines hold 28 words
+
+
+def test_substrings_against_all_runs(spark):
+    """Every run of lines, however long, against the units; texts of few different lines, some without words."""
+    rng, least = random.Random(5), 6
+    pool = ["", "  "] + [" ".join(rng.choice("uvw") for _ in range(n)) for n in (1, 1, 2, 2, 3, 3, 5, 7)]
+    texts = {d: "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for d in range(60)}
+    held, first, gone = {}, {}, {d: set() for d in texts}
+    for d, text in texts.items():
+        worded = [(i, tuple(line.split())) for i, line in enumerate(text.split("\n")) if line.split()]
+        for a in range(len(worded)):
+            for b in range(a, len(worded)):
+                run = tuple(w for _, w in worded[a : b + 1])
+                if sum(map(len, run)) >= least:
+                    held[d, a, b] = (run, [i for i, _ in worded[a : b + 1]])
+    for (d, a, b), (run, places) in sorted(held.items()):
+        at, end = first.setdefault(run, ((d, a, b), places[-1]))
+        if at != (d, a, b):
+            gone[d] |= {i for i in places if at[0] != d or i > end}
+    got = by_id(substrings.op3_substrings(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), least))
+    for d, text in texts.items():
+        ends = list(itertools.accumulate(len(line) + 1 for line in text.split("\n")))
+        assert got[d]["removed"] == ",".join(f"{ends[i - 1] if i else 0}:{ends[i] - 1}" for i in sorted(gone[d])), text
+    assert sum(map(len, gone.values())) > 50
+
+
 def test_kept_spans(spark, docs, none):
     """Which occurrence stays, and where: the query against its SQL and by hand."""
     documents = docs.toPandas()  # noqa: F841
