@@ -38,6 +38,8 @@ from claimlens.session import new_path
 
 #: Ids after which a frame ends, and the zstandard level.
 FRAME_IDS, LEVEL = 1 << 16, 3
+#: Bytes of text for a token file; the driver holds one row for each file.
+FILE_BYTES = 512 << 20
 #: Fixed values of the format: magics of the skippable frames of index and table, of the footer, and the flag for checksums.
 INDEX, TABLE, FOOTER, CHECKED = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 #: White space other than spaces and line ends.
@@ -195,11 +197,19 @@ def _write(path: str, folder: str, end_id: int | None):
     return write
 
 
+def files_for(docs: DataFrame, file_bytes: int = FILE_BYTES) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
+
+
 def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int | None = None, files: int | None = None) -> list:
-    """Writes docs (doc_id, text) as token files in ascending doc_id order; gives a row for each file."""
+    """Writes docs (doc_id, text) as token files in ascending doc_id order; gives a row for each file.
+
+    By default there is a file for each FILE_BYTES of text, but no fewer than the session has shuffle partitions.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = files or files_for(docs)
     order = ["doc_id", "_tie"]
     ranged = docs.withColumn("_tie", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order)
     rows = ranged.select("doc_id", "text").mapInArrow(_write(path, folder, end_id), "part int, file string, n_docs long, n_ids long")
