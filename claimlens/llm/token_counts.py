@@ -1,11 +1,12 @@
 """Token counts by a two-tier lookup on the map side.
 
 Tier one is a hash table of the lengths of frequent pre-tokens, broadcast: every
-task counts its pre-tokens in a bounded counter and hands on its FREQUENT most
-common ones; these summaries, not the pre-tokens, are summed and the first
-FREQUENT kept. Tier two is a cache in each worker; what it lacks is encoded by
-the library. Beside these summaries (FREQUENT rows of a task at most) no pre-token is
-shuffled, and the table only saves work: counts are exact whatever it holds.
+task counts its pre-tokens in a bounded counter and writes its FREQUENT most
+common ones as a summary, one row. Summaries are added FAN at a time, level by
+level, each cut to FREQUENT again, until FAN or fewer are left. Tier two is a cache
+in each worker; what it lacks is encoded by the library. No pre-token is a row or a
+key of a shuffle: only summaries move, one for each task, where there are more than
+FAN. The table only saves work: counts are exact whatever it holds.
 
 A pre-token is a run of spaces with the text up to the next space or line end,
 or a line end: no piece of the vocabulary crosses these places (`parted` checks
@@ -29,10 +30,13 @@ from pyspark.sql import functions as F
 
 from claimlens.llm.batches import pieces
 from claimlens.llm.units import LONGEST, UnitEncoder
+from claimlens.session import materialize, release
 
 #: Rows of the broadcast table; with LONGEST characters each at most about 2 MB.
 FREQUENT = 20_000
 _COUNTED = 300_000
+#: Summaries that are added at a time, some 300 KB each.
+FAN = 16
 _UNIT = re.compile(" *[^ \n]+|\n| +")
 _MODELS: dict = {}
 _CACHE: dict = {}
@@ -82,7 +86,18 @@ class Lengths:
         return sum((self.plain if plain else self.other).values(us))
 
 
+_SUMMARY = "part long, units array<string>, n array<long>"
+
+
+def _summary(part: int, seen: Counter) -> dict[str, pa.Array]:
+    top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT]
+    units, n = [u for u, _ in top], [n for _, n in top]
+    return {"part": pa.array([part], pa.int64()), "units": pa.array([units], pa.list_(pa.string())), "n": pa.array([n], pa.list_(pa.int64()))}
+
+
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
     seen: Counter = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
@@ -91,15 +106,32 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.update(us)
             if len(seen) > _COUNTED:
                 seen = Counter(dict(seen.most_common(_COUNTED // 2)))
-    top = [(u, n) for u, n in seen.most_common(FREQUENT) if len(u) <= LONGEST]
-    yield pa.RecordBatch.from_pydict({"unit": pa.array([u for u, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
+    seen = Counter({u: n for u, n in seen.items() if len(u) <= LONGEST})
+    if seen:
+        yield pa.RecordBatch.from_pydict(_summary(TaskContext.get().partitionId(), seen))
+
+
+def _added(rows) -> Counter:
+    total: Counter = Counter()
+    for us, n in rows:
+        total.update(dict(zip(us, n)))
+    return total
+
+
+def _add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    return pa.table(_summary(key[0].as_py(), _added(zip(rows.column("units").to_pylist(), rows.column("n").to_pylist()))))
 
 
-def frequent(docs: DataFrame) -> list[str]:
-    """The FREQUENT commonest pre-tokens, by the tasks' bounded summaries."""
-    found = docs.select("text").mapInArrow(_common, "unit string, n long")
-    top = found.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(FREQUENT)
-    return [r["unit"] for r in top.collect()]
+def frequent(docs: DataFrame, fan: int = FAN) -> list[str]:
+    """The FREQUENT commonest pre-tokens of all docs, by the tasks' bounded summaries, at most fan of which meet in one place."""
+    found = materialize(docs.select("text").mapInArrow(_common, _SUMMARY), "summaries")
+    while (found.agg(F.max("part")).first()[0] or 0) >= fan:
+        wide = found.withColumn("part", F.floor(F.col("part") / fan).cast("long"))
+        last, found = found, materialize(wide.groupBy("part").applyInArrow(_add, _SUMMARY), "summaries")
+        release(last)
+    top = _summary(0, _added((r["units"], r["n"]) for r in found.collect()))["units"].to_pylist()[0]
+    release(found)
+    return top
 
 
 def _count(path: str, table, key: int):

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -372,6 +373,9 @@ def test_token_files(docs, rows, none, tmp_path):
         assert tuple(got[i][c] for c in ("start", "n_tokens", "ids_crc32")) == want, (t or "")[:60]
         start += len(ids)
     assert token_files.op7_token_files(none, path).count() == 0
+    least, size = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(len((t or "").encode()) for _, t, _ in rows)
+    assert token_files.files_for(docs) == token_files.files_for(none) == least
+    assert token_files.files_for(docs, 1000) == -(-size // 1000) > least
     name = tmp_path / "x"
     with open(name, "wb") as sink:
         w = token_files.Writer(sink)
@@ -412,6 +416,20 @@ def test_token_counts(docs, rows, none):
     assert token_counts.op9_token_counts(none, path).count() == 0
 
 
+def test_frequent_pre_tokens(docs, rows, none):
+    """The table of frequent pre-tokens, over several levels of summaries, against one count of all texts."""
+    seen = Counter()
+    for i, t, _ in rows:
+        us, plain = token_counts.units(t or "")
+        seen.update(u for u in us if i < 60 and plain and len(u) <= token_counts.LONGEST)
+    want = [u for u, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+    assert 1000 < len(want) < token_counts.FREQUENT  # so no level cuts its summaries
+    few = docs.where("doc_id < 60").repartition(11)
+    assert token_counts.frequent(few, fan=2) == want
+    assert token_counts.frequent(few) == want
+    assert token_counts.frequent(none) == []
+
+
 def test_quality_model(spark, none):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality_model.op10_quality_model(docs, labels).join(labels, "doc_id").toPandas()
