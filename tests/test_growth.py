@@ -2,7 +2,9 @@
 
 import random
 
-from claimlens.operators import rules
+from claimlens.functions import similarity, text
+from claimlens.operators import documents, rules
+from pyspark.sql import functions as F
 
 
 def test_rows_meet_few_runs_of_serials(spark):
@@ -25,3 +27,27 @@ def test_rows_meet_few_runs_of_serials(spark):
         if len({h for _, h in inside}) >= 3:
             want += [(i, rule.name, f"{lo}-{hi}") for i, _ in inside]
     assert want and sorted(map(tuple, rules.serial_adjacency(pop, rule).collect())) == sorted(want)
+
+
+def test_few_rows_of_a_key_are_compared_as_many_are(spark, monkeypatch):
+    rng = random.Random(6)
+    given = [(f"{i:04}", "1995", f"h{k % 40}", f"g{k % 23}", rng.choice([0, -5, 90_000, 104_000, 110_000, rng.randrange(300_000)])) for i, k in enumerate(rng.randrange(90) ** 2 for _ in range(700))]
+    pop = spark.createDataFrame(given, "application_id string, scope string, household string, guardian_key string, declared_annual_income long")
+    some = {n: rules.RULES[n] for n in rules.CONTRADICTIONS}
+    got = []
+    for few in (0, 20, 10_000):
+        monkeypatch.setattr(rules, "FEW", few)
+        got.append(sorted(map(tuple, rules.contradictions(pop, some).collect())))
+    assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_equal_names_need_no_normal_form(spark):
+    names = ["Ravi Kumar", "ravi KUMAR", "Ravi Kumal", "Shri", "SHRI", "Mr. so", "S. K.", "s. k.", "", " ", "12", "José Li", "JOSE LI", "josé li", "Dr Li", "a b", "A B", "Shri Shrikant", "x-ray", "O.K. Vu", None]
+    pairs = [(a, b, None, None) for a in names for b in names]
+    df = spark.createDataFrame(pairs, "applicant_name string, read_applicant_name string, guardian_name string, read_guardian_name string")
+    norm = {f"norm_{c}": text.normalize_name(F.col(c)) for c in ("applicant_name", "read_applicant_name")}
+    plain = F.when(F.col("applicant_name").isNotNull() & F.col("read_applicant_name").isNotNull(), similarity.names_agree(F.col("norm_applicant_name"), F.col("norm_read_applicant_name")))
+    want = df.withColumns(norm).select("applicant_name", "read_applicant_name", plain.alias("x")).collect()
+    got = documents.named(df).select("applicant_name", "read_applicant_name", documents.agreement("applicant_name").alias("x"), F.col("norm_applicant_name").isNull().alias("spared")).collect()
+    assert [tuple(r)[:3] for r in got] == [tuple(r) for r in want]
+    assert {r[0] for r in got if r["spared"] and r[1] is not None and r[0] is not None} == {"Ravi Kumar", "ravi KUMAR", "Ravi Kumal", "Dr Li", "Shri Shrikant", "JOSE LI", "O.K. Vu"}
