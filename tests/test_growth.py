@@ -3,7 +3,7 @@
 import random
 
 from claimlens.functions import similarity, text
-from claimlens.operators import documents, rules
+from claimlens.operators import documents, reading, rules
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,15 @@ def test_equal_names_need_no_normal_form(spark):
     got = documents.named(df).select("applicant_name", "read_applicant_name", documents.agreement("applicant_name").alias("x"), F.col("norm_applicant_name").isNull().alias("spared")).collect()
     assert [tuple(r)[:3] for r in got] == [tuple(r) for r in want]
     assert {r[0] for r in got if r["spared"] and r[1] is not None and r[0] is not None} == {"Ravi Kumar", "ravi KUMAR", "Ravi Kumal", "Dr Li", "Shri Shrikant", "JOSE LI", "O.K. Vu"}
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fields_are_read_from_one_pass_over_the_lines(spark):
+    words = spark.createDataFrame([("d", 1, 1, 1, 1, 40, 20, 60, 18, "District", 90.0), ("d", 1, 1, 1, 1, 140, 20, 60, 18, "Salem", 90.0)],
+                                  "doc string, page int, block int, par int, line int, left int, top int, width int, height int, text string, conf double")
+    read = reading.read_fields(words)
+    assert plan(read).count("likenesses(") == 2  # labels and stops
+    assert [r["value"] for r in read.where("value is not null").collect()] == ["Salem"]
