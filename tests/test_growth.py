@@ -4,6 +4,8 @@ import random
 
 from claimlens.functions import similarity, text
 from claimlens.operators import documents, reading, rules
+from claimlens.plans.population import population
+from claimlens.session import materialize
 from pyspark.sql import functions as F
 
 
@@ -63,3 +65,49 @@ def test_fields_are_read_from_one_pass_over_the_lines(spark):
     read = reading.read_fields(words)
     assert plan(read).count("likenesses(") == 2  # labels and stops
     assert [r["value"] for r in read.where("value is not null").collect()] == ["Salem"]
+
+
+def test_rules_on_one_row_are_one_scan_that_asks_once(spark):
+    rows = plan(rules.row_findings(population(spark, "/root/testdata/sf0.001"), {n: rules.RULES[n] for n in rules.ROW_RULES}))
+    assert "Window" not in rows and "Join" not in rows and rows.count("photoshop") == 1
+
+
+def test_groupings_read_a_narrow_population(spark, monkeypatch):
+    wrote = {}
+
+    def recorded(df, name):
+        wrote[name] = materialize(df, name)
+        return wrote[name]
+
+    monkeypatch.setattr(rules, "materialize", recorded)
+    pop = population(spark, "/root/testdata/sf0.001")
+    found = rules.findings(pop)
+    assert sorted(wrote["population"].columns) == sorted(rules.GROUPED)
+    whole = rules.findings(materialize(pop, "whole"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_households_are_found_on_the_orders_columns(spark):
+    carried = plan(population(spark, "/root/testdata/sf0.001")).split("Window")[-1]
+    assert "read_district" not in carried and "applicant_name" not in carried
+
+
+def test_runs_of_too_few_rows_meet_nothing(spark):
+    rows = [("1995", "a", "TN", s) for s in (1, 1, 5, 40, 41, 90, 95, 99)]
+    runs = rules.serial_runs(spark.createDataFrame(rows, "scope string, office string, series string, serial long"), 12, 3)
+    assert sorted((r["lo"], r["hi"]) for r in runs.collect()) == [(1, 5), (90, 99)]
+
+
+def test_flags_are_dealt_by_application(spark):
+    found = spark.createDataFrame([("1", "A", "x"), ("1", "A", "y"), ("2", "B", "z")], "application_id string, rule string, evidence string")
+    by = rules.flags(found).groupBy("application_id").agg(F.count(F.lit(1)).alias("n"))
+    assert by._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 1
+    assert by._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, rules.flags(found).select("application_id", "rule", "evidence").collect())) == [("1", "A", "y"), ("2", "B", "z")]
+
+
+def test_checklist_collects_nothing(spark):
+    pop = spark.createDataFrame([("1", "A")], "application_id string, rule string")
+    stages = pop.select("application_id", F.lit("read").alias("stage"), F.lit("dead_lettered").alias("status"))
+    listed = documents.checklist(population(spark, "/root/testdata/sf0.001"), pop, stages, 0.5)
+    assert "collect_" not in plan(listed)
