@@ -298,12 +298,15 @@ def op2_bpe(docs: DataFrame, path: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(shared_map(docs))
     rows = materialize(docs.mapInArrow(_read(path, shared), _ROW), "bpe")
     chunks = rows.where(F.col("kind") == CHUNK).groupBy("digest").agg(F.first("text").alias("text"))
-    encoded = chunks.mapInArrow(_encode_chunks(path), "digest binary, ids binary")
+    encoded = materialize(chunks.mapInArrow(_encode_chunks(path), "digest binary, ids binary"), "encoded")  # the shuffled texts go before ids are shuffled
     refs = rows.where(F.col("kind") == REF).groupBy("tkey", "pos").agg(F.first("digest").alias("digest"))
     refs = refs.join(encoded, "digest").select("tkey", "pos", "ids")
-    runs = rows.where(F.col("kind") == RUN).groupBy("tkey", "pos").agg(F.first("ids").alias("ids"))
-    texts = runs.unionByName(refs).groupBy("tkey").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    made = texts.mapInArrow(_assemble(path), "tkey binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    # One shuffle by text serves both groupings: copies read in several tasks give the same runs, of which one counts.
+    placed = rows.where(F.col("kind") == RUN).select("tkey", "pos", "ids").unionByName(refs).repartition("tkey")
+    one = placed.groupBy("tkey", "pos").agg(F.first("ids").alias("ids"))
+    texts = one.groupBy("tkey").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    made = materialize(texts.mapInArrow(_assemble(path), "tkey binary, n_tokens long, ids_sha256 string, decoded_sha256 string"), "made")
+    release(encoded)
     out = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     joined = rows.where(F.col("kind") == DOC).select("doc_id", "tkey").join(made, "tkey").select(out)
     return rows.where(F.col("kind") == DONE).select(out).unionByName(joined)

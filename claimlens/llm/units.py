@@ -2,7 +2,8 @@
 
 White space ends a pre-token in all tokenizers used here, so the ids of a text
 are those of its units joined. A worker keeps the ids of the first units it
-meets (these are mostly the frequent ones) and hands the others to the library.
+meets (these are mostly the frequent ones), or of the first it meets again, and
+hands the others to the library.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ import numpy as np
 
 #: Units kept by a worker, and the longest that are kept: about 120 MB at most.
 KEPT, LONGEST = 500_000, 48
+#: Units kept by a worker that keeps those it meets again only (some 40 MB), and the bytes of bits that mark what it met.
+KEPT_AGAIN, MARKS = 200_000, 1 << 20
 
 
 class UnitEncoder:
-    def __init__(self, encode: Callable[[list[str]], Iterable], kept: int = KEPT, known: dict | None = None):
-        """encode gives a value for each unit; known holds values from elsewhere."""
+    def __init__(self, encode: Callable[[list[str]], Iterable], kept: int = KEPT, known: dict | None = None, again: bool = False):
+        """encode gives a value for each unit; known holds values from elsewhere. again: a unit is kept from its second meeting on."""
         self.encode, self.room, self.known = encode, kept, dict(known or {})
+        self.marks = bytearray(MARKS) if again else None
 
     def values(self, units: Sequence[str]) -> list:
         got = list(map(self.known.get, units))
@@ -28,11 +32,18 @@ class UnitEncoder:
             new = dict(zip(missing, self.encode(missing)))
             got = [new[u] if g is None else g for u, g in zip(units, got)]
             if self.room > 0:
-                keep = {u: v for u, v in new.items() if len(u) <= LONGEST}
+                keep = {u: v for u, v in new.items() if len(u) <= LONGEST and (self.marks is None or self.met(u))}
                 self.known |= keep
                 self.room -= len(keep)
         return got
 
+    def met(self, unit: str) -> bool:
+        """Whether a unit was met before (or, rarely, another with the same bit); it counts as met from now on."""
+        at, bit = divmod(hash(unit) % (8 * MARKS), 8)
+        before = self.marks[at] & 1 << bit
+        self.marks[at] |= 1 << bit
+        return bool(before)
+
 
 _LOADED: dict = {}
 
@@ -95,5 +106,5 @@ def id_type(path: str) -> str:
 def unit_encoder(path: str) -> UnitEncoder:
     """One for a worker and tokenizer, so that its cache serves all the worker's tasks."""
     if (path, "units") not in _LOADED:
-        _LOADED[path, "units"] = UnitEncoder(id_bytes(path))
+        _LOADED[path, "units"] = UnitEncoder(id_bytes(path), KEPT_AGAIN, again=True)
     return _LOADED[path, "units"]

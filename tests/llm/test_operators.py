@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from claimlens.llm import bpe, lz_fingerprint, mixing, ngram_join, pii, quality_model, quality_rules, substrings, token_counts, token_files
 from claimlens.llm.queries import vocabulary
+from claimlens.llm.units import UnitEncoder
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -99,6 +100,29 @@ def test_bpe(docs, rows, none):
     assert bpe.op2_bpe(none, path).count() == 0
 
 
+def test_units_are_kept_when_met_again():
+    calls = []
+
+    def encode(texts):
+        calls.append(sorted(texts))
+        return [t.encode() for t in texts]
+
+    units = UnitEncoder(encode, 2, again=True)
+    for text in ("a b", "b c", "b c d", "c d"):
+        assert units.values(text.split()) == [w.encode() for w in text.split()]
+    assert calls == [["a", "b"], ["b", "c"], ["c", "d"], ["d"]] and set(units.known) == {"b", "c"}
+
+
+def test_bpe_shuffles_a_text_once(spark):
+    """What is put together from shared passages crosses one shuffle, then is written; the plan left over holds no ids."""
+    shared = " ".join(f"word{i} of{i % 7}" for i in range(3000))
+    docs = spark.createDataFrame([(i, f"{i} {shared} {i}") for i in range(4)], "doc_id long, text string")
+    got = bpe.op2_bpe(docs, vocabulary("word_bpe_49k.json"))
+    assert len({r["ids_sha256"] for r in got.collect()}) == 4
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Aggregate" not in plan
+
+
 def test_chunks_follow_content():
     rng = random.Random(1)
     shared = " ".join(str(rng.random()) for _ in range(900))
