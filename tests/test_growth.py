@@ -111,3 +111,13 @@ def test_checklist_collects_nothing(spark):
     stages = pop.select("application_id", F.lit("read").alias("stage"), F.lit("dead_lettered").alias("status"))
     listed = documents.checklist(population(spark, "/root/testdata/sf0.001"), pop, stages, 0.5)
     assert "collect_" not in plan(listed)
+
+
+def test_clusters_and_serial_runs_count_in_one_shuffle(spark):
+    """Different values of a key are counted where its rows already lie: no grouping and no join back, and nulls are no value."""
+    rows = spark.createDataFrame([("k", "a"), ("k", "a"), ("k", "b"), ("k", None), ("l", None), ("m", "a")], "k string, v string")
+    got = rules.counted(rows, ["k"], "v").collect()
+    assert sorted((r["k"], r["v"] or "", r["n"]) for r in got) == [("k", "", 2), ("k", "a", 2), ("k", "a", 2), ("k", "b", 2), ("l", "", 0), ("m", "a", 1)]
+    pop = materialize(population(spark, "/root/testdata/sf0.001"), "population")
+    plan = rules.clustered(pop, {n: rules.RULES[n] for n in rules.CLUSTERS})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "Window" in plan
