@@ -121,3 +121,37 @@ def test_clusters_and_serial_runs_count_in_one_shuffle(spark):
     pop = materialize(population(spark, "/root/testdata/sf0.001"), "population")
     plan = rules.clustered(pop, {n: rules.RULES[n] for n in rules.CLUSTERS})._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan and "Window" in plan
+
+
+def test_pairs_of_names_are_compared_once(spark, monkeypatch):
+    """The rule on holders asks the names of different pairs only, and gives what the scan of all rows gives, repeated rows too."""
+    names = ["Ravi Kumar", "RAVI KUMAR", "Wrong Person", "Shri", "", "Meena", None]
+    rows = [(str(i % 90), a, b, g, h, c) for i, (a, b, g, h, c) in enumerate((a, b, g, h, c) for a in names for b in names for g, h in (("Meena", "Xu"), (None, "Xu"), ("Meena", "MEENA")) for c in (0.9, 0.5, None))]
+    df = spark.createDataFrame(rows, "application_id string, applicant_name string, read_applicant_name string, guardian_name string, read_guardian_name string, read_confidence double")
+    wrote = {}
+
+    def recorded(df, name):
+        wrote[name] = materialize(df, name)
+        return wrote[name]
+
+    monkeypatch.setattr(rules, "materialize", recorded)
+    rule = rules.RULES["CERTIFICATE_HOLDER_MISMATCH"]
+    got = rules.FUNCTIONS[rule.name](df, rule)
+    want = rules.row_findings(df, {rule.name: rule})
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    assert wrote["apart"].count() == wrote["apart"].distinct().count() < 40 < wrote["names"].count()
+    assert rules.FUNCTIONS[rule.name](df.limit(0), rule).count() == 0
+
+
+def test_runs_are_those_of_close_rows(spark, monkeypatch):
+    """Rows far from others are left out before runs are sought; no run changes, at the borders of blocks either."""
+    monkeypatch.setattr(rules, "STRETCHES", 1)
+    rng = random.Random(8)
+    rows = [("1995", rng.choice("ab"), "TN", rng.choice([rng.randrange(900), 2**63 - 1 - rng.randrange(40)])) for _ in range(260)]
+    df = spark.createDataFrame(rows, "scope string, office string, series string, serial long")
+    for span, least in ((12, 3), (3, 2), (0, 2), (12, 1), (30, 9)):
+        kept = rules.close(df, span, least)
+        few = [tuple(r) for r in kept.collect()]
+        near = lambda r, lo: sum(q[1] == r[1] and lo <= q[3] <= lo + span for q in rows)
+        assert sorted(few) == sorted(r for r in rows if any(near(r, q[3]) >= least for q in rows if r[3] - span <= q[3] <= r[3]))
+        assert sorted(rules.serial_runs(kept, span, least).collect()) == sorted(rules.serial_runs(df, span, least).collect())
