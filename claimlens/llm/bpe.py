@@ -37,8 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.llm.batches import pieces as pieces_of
+from claimlens.llm.batches import sole, tidy
 from claimlens.llm.bits import BitMap, bit_map
-from claimlens.llm.units import id_type, tokenizer, unit_encoder
+from claimlens.llm.units import _LOADED, id_type, tokenizer, unit_encoder
 from claimlens.session import materialize, release
 
 MEAN_BITS, LEAST, MOST, WINDOW = 11, 512, 16_384, 16
@@ -47,6 +48,8 @@ NEAR = 64
 _MULTIPLY = np.uint32(0x01000193)
 #: Digests and texts that a task remembers having sent, so that copies in it are sent once.
 REMEMBERED = 200_000
+#: Bytes of the texts that a task takes apart at a time; it holds them several times over.
+TEXTS = 1 << 20
 
 
 def cuts(text: str) -> list[int]:
@@ -178,6 +181,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    sole(_ENCODERS, _LOADED)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -203,7 +207,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_map(docs: DataFrame) -> BitMap:
     """The digests that occur twice or more."""
-    counts = docs.select("text").mapInArrow(_digests, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(tidy(_digests), "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n"))
     counts = materialize(counts.where("n > 1").select("digest"), "shared")
     found = bit_map(counts, F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long"))
     release(counts)
@@ -262,12 +266,12 @@ def _read(path: str, shared) -> object:
                     run.append(enc.interior(p) if i % 2 else seams[i])
             yield (RUN, None, key, pos, None, b"".join(run), *[None] * 4)
 
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, size=TEXTS):
             out = [r for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in rows(d, t or "")]
             columns = list(zip(*out)) or [()] * len(_NAMES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
 
-    return read
+    return tidy(read)
 
 
 def _encode_chunks(path: str):
@@ -277,7 +281,7 @@ def _encode_chunks(path: str):
             ids = [enc.interior(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["digest", "ids"])
 
-    return encode
+    return tidy(encode)
 
 
 def _assemble(path: str):
@@ -289,7 +293,7 @@ def _assemble(path: str):
             arrays = [b.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["tkey", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return assemble
+    return tidy(assemble)
 
 
 def op2_bpe(docs: DataFrame, path: str) -> DataFrame:

@@ -59,7 +59,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.llm.batches import free, pieces
+from claimlens.llm.batches import free, pieces, sole, tidy
 from claimlens.llm.bits import BitMap, bit_map
 from claimlens.operators.graph import connected_components
 from claimlens.session import materialize, release
@@ -187,7 +187,7 @@ def fine_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-_ROW = "key long, salt int, doc long, tag int, n long, digest binary, sketch array<long>, fine binary"
+_ROW = "key long, salt int, doc long, tag int, whole struct<n long, digest binary, sketch array<long>, fine binary>"
 #: Tags of rows that aren't a document's bucket (whose tag is its band): of documents by their id or their set, and delegates.
 BY_ID, BY_SET, DELEGATE = -3, -2, -1
 
@@ -211,11 +211,12 @@ def _salted(key: np.ndarray, documents: int, salt: int) -> tuple[np.ndarray, np.
 
 
 def _rows(k: int, percent: int, repeated):
-    """A row for each document (key: its set's bits) and one for each bucket, with the set's name."""
+    """A row for each document (key: its set's bits; whole: what it is compared by) and one for each bucket, with the set's name."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        sole(_WORDS)
         sent: set[int] = set()
         often = repeated.value if repeated else ()
         part = TaskContext.get().partitionId()
@@ -252,17 +253,19 @@ def _rows(k: int, percent: int, repeated):
             salts = np.concatenate([np.zeros(whole, np.int32), salt, np.zeros(len(chosen), np.int32)])
             tag = np.concatenate([tags, band, np.full(len(chosen), DELEGATE)]).astype(np.int32)
             arrays = [pa.array(np.concatenate([names, key, key[chosen]]).astype(np.int64)), pa.array(salts), doc, pa.array(tag)]
-            for values, kind in ((counts, pa.int64()), (digests, pa.binary()), (bits, pa.list_(pa.int64())), (fine, pa.binary())):
-                arrays.append(pa.concat_arrays([pa.array(values, kind), pa.nulls(rest, kind)]))
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "salt", "doc", "tag", "n", "digest", "sketch", "fine"])
+            own_values = ((counts, pa.int64()), (digests, pa.binary()), (bits, pa.list_(pa.int64())), (fine, pa.binary()))
+            one = pa.StructArray.from_arrays([pa.array(values, kind) for values, kind in own_values], names=["n", "digest", "sketch", "fine"])
+            arrays.append(pa.concat_arrays([one, pa.nulls(rest, one.type)]))
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "salt", "doc", "tag", "whole"])
 
-    return rows
+    return tidy(rows)
 
 
 def _sets(k: int, wanted, repeated):
     """(doc, items): the sets wanted, by name; those of a repeated doc_id are known by name only when made."""
 
     def sets(batches):
+        sole(_WORDS)
         bits, often, sent = wanted.value, repeated.value if repeated else (), set()
         for b in pieces(batches):
             got = []
@@ -280,7 +283,7 @@ def _sets(k: int, wanted, repeated):
                     got.append((d, shingles(t.as_py(), k).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([s for _, s in got], pa.binary())], names=["doc", "items"])
 
-    return sets
+    return tidy(sets)
 
 
 def _near(percent: int):
@@ -295,7 +298,7 @@ def _near(percent: int):
             fine &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
             yield b.select([0, 1]).filter(pa.array(fine))
 
-    return near
+    return tidy(near)
 
 
 def _finer(percent: int):
@@ -308,7 +311,7 @@ def _finer(percent: int):
             sketches = zip(b.column(4), b.column(5), most.tolist())
             yield b.select([0, 1]).filter(pa.array([not (x.is_valid and y.is_valid) or fine_distance(x.as_py(), y.as_py()) <= d for x, y, d in sketches], pa.bool_()))
 
-    return finer
+    return tidy(finer)
 
 
 def _verify(percent: int):
@@ -321,7 +324,7 @@ def _verify(percent: int):
                 fine.append(100 * both >= percent * (len(s) + len(t) - both))
             yield b.select([0, 1]).filter(pa.array(fine, pa.bool_()))
 
-    return verify
+    return tidy(verify)
 
 
 def _chosen() -> Column:
@@ -333,7 +336,7 @@ def _places(made: DataFrame) -> DataFrame:
     w = Window.partitionBy("key", "salt")
     member = F.when(F.col("tag") >= DELEGATE, F.col("doc"))
     places = made.withColumns({"low": F.min(member).over(w), "high": F.max(member).over(w), "members": F.count(member).over(w)})
-    first = F.min(F.when(F.col("tag") >= DELEGATE, F.struct(F.xxhash64("doc").alias("h"), "doc"))).over(w)["doc"]
+    first = F.min_by("doc", F.when(member.isNotNull(), F.xxhash64("doc"))).over(w)  # a long has a hash of its own
     large = (F.col("members") > LARGE) | (F.col("salt") != 0) | (F.max(F.when(F.col("tag") == DELEGATE, 1)).over(w) == 1)
     places = places.withColumns({"first": first, "large": F.coalesce(large, F.lit(False))})
     return places.where((F.col("tag") < DELEGATE) | ((F.col("tag") >= 0) & ((F.col("low") < F.col("high")) | F.col("large"))))
@@ -361,7 +364,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]
     repeated = None if often.isEmpty() else docs.sparkSession.sparkContext.broadcast(_wanted(often))
     places = materialize(_places(docs.mapInArrow(_rows(k, percent, repeated), _ROW)), "jaccard")
     name = F.when(F.col("tag") == BY_SET, F.col("key")).otherwise(F.col("doc"))
-    slim = places.where(F.col("tag") < DELEGATE).select("doc", "n", "digest", "sketch", "fine", name.alias("name"))
+    slim = places.where(F.col("tag") < DELEGATE).select("doc", "whole.*", name.alias("name"))
     small = places.where((F.col("tag") >= 0) & ~F.col("large")).select("key", "doc", "first")
     large = _large(places, percent)
     buckets = small.unionByName(large)

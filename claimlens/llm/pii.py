@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlens.llm.batches import pieces
+from claimlens.llm.batches import pieces, tidy
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "secret")
@@ -181,7 +181,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op6_pii(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.mapInArrow(tidy(_find), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def mask(text: str | None) -> str | None:
@@ -208,7 +208,7 @@ def masked_documents(docs: DataFrame) -> DataFrame:
     """docs with personal data in text masked, and n_chars (where there is one) counted anew; all rows and columns stay."""
     names = [f"c{i}" for i in range(len(docs.columns))]  # columns go by their place, whatever their names
     kept = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(names, docs.schema.fields)])
-    out = docs.toDF(*names).mapInArrow(_mask(docs.columns.index("text")), kept).toDF(*docs.columns)
+    out = docs.toDF(*names).mapInArrow(tidy(_mask(docs.columns.index("text"))), kept).toDF(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlens.llm.batches import pieces
+from claimlens.llm.batches import pieces, tidy
 from claimlens.session import materialize, release
 
 FEATURES, SEED, RIDGE, FOLDS, BINS, PRIOR, THRESHOLD = 192, 11, 1e-3, 4, 400, 0.5, 0.3
@@ -78,7 +78,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_measure, "doc_id long, rest int, fold int, x array<float>")
+    return docs.mapInArrow(tidy(_measure), "doc_id long, rest int, fold int, x array<float>")
 
 
 class Model:
@@ -238,4 +238,4 @@ def accepted_documents(docs: DataFrame, labels: DataFrame, threshold: float = TH
 
     names = [f"c{i}" for i in range(len(docs.columns))]  # columns go by their place, whatever their names
     kept = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema.fields)])
-    return docs.toDF(*names).mapInArrow(keep, kept).toDF(*docs.columns)
+    return docs.toDF(*names).mapInArrow(tidy(keep), kept).toDF(*docs.columns)

@@ -493,3 +493,35 @@ def test_pipeline(spark):
     want = sorted((r["doc_id"], len(tok.encode(r["text"], add_special_tokens=False).ids)) for r in docs.collect())
     got = sorted((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, sf).collect())
     assert got == want
+
+
+def test_a_worker_keeps_the_caches_of_one_operator(monkeypatch):
+    """Workers go on through all stages of a pipeline: what other operators kept goes, and each task gives its memory back at its end."""
+    from claimlens.llm import batches
+
+    monkeypatch.setattr(batches, "_CACHES", [])
+    words, tokenizers, encoders = {b"a": 1}, {"t": 1}, {"e": 1}
+    batches.sole(words)
+    batches.sole(words)
+    assert words
+    batches.sole(tokenizers, encoders)
+    assert not words and tokenizers and encoders
+    batches.sole(words)
+    assert not tokenizers and not encoders
+    freed = []
+    monkeypatch.setattr(batches, "_trim", lambda: freed.append)
+    task = batches.tidy(iter)([1, 2])
+    assert next(task) == 1 and not freed
+    assert list(task) == [2] and freed == [0]
+
+
+def test_bucket_rows_carry_one_null_beside_their_key(spark):
+    """Of 46 million bucket rows each had four null columns to be copied and sorted; now a document's values are one column."""
+    from claimlens.llm import ngram_join
+
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine {i % 3}") for i in range(9)], "doc_id long, text string")
+    made = docs.mapInArrow(ngram_join._rows(4, 85, None), ngram_join._ROW)
+    assert len(made.columns) == 5
+    rows = made.collect()
+    assert any(r["tag"] >= 0 for r in rows) and all((r["whole"] is None) == (r["tag"] >= ngram_join.DELEGATE) for r in rows)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.op4_ngram_join(docs).collect()} == {i: i % 3 for i in range(9)}
