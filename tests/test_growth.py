@@ -1,5 +1,6 @@
 """Steps whose work must grow with the rows, not with their pairs."""
 
+import difflib
 import random
 
 from claimlens.functions import similarity, text
@@ -155,3 +156,35 @@ def test_runs_are_those_of_close_rows(spark, monkeypatch):
         near = lambda r, lo: sum(q[1] == r[1] and lo <= q[3] <= lo + span for q in rows)
         assert sorted(few) == sorted(r for r in rows if any(near(r, q[3]) >= least for q in rows if r[3] - span <= q[3] <= r[3]))
         assert sorted(rules.serial_runs(kept, span, least).collect()) == sorted(rules.serial_runs(df, span, least).collect())
+
+
+def test_few_windows_are_compared_letter_by_letter(spark, monkeypatch):
+    """Windows whose lengths and letters tell that they are unlike a label are never compared, and no like one is lost."""
+    asked = []
+    monkeypatch.setattr(reading, "ratio", lambda a, b, of=reading.ratio: asked.append((a, b)) or of(a, b))
+    rng = random.Random(9)
+    pool = [reading.plain_text(w) for f in reading.FIELDS for w in f.label.split()] + ["dat", "of1ssue", "", "ravi", "tn2025000123", "12", "suresh", "fssuing"]
+    labels = reading.Labels(reading.FIELDS)
+    for _ in range(600):
+        words = [rng.choice(pool) for _ in range(rng.randint(1, 8))]
+        want = {}
+        for i, f in enumerate(reading.FIELDS):
+            tokens = f.label.split()
+            n = len(tokens)
+            for size, rank in [(n, reading.EXACT), (n + 1, reading.SPLIT)] + [(n - 1, reading.LOST)] * (n > 2):
+                for start in range(len(words) - size + 1) if f.midline else range(min(1, len(words) - size + 1)):
+                    seen, label = "".join(words[start : start + size]), reading.plain_text(" ".join(tokens[:size]))
+                    alike = difflib.SequenceMatcher(None, seen, label).ratio()
+                    if seen and alike >= reading.LABEL:
+                        want[i] = max(want.get(i, ()), (rank, alike, -start, size))
+        assert {k[0]: k[1:] for k in labels.find(words)} == want
+    assert len(asked) < 3 * 600
+
+
+def test_dealt_words_are_not_shuffled(spark):
+    from claimlens.plans import pages
+    from claimlens.plans.population import applications
+
+    words = pages.printed(applications(spark, "/root/testdata/sf0.001"), F.lit("None"))
+    plan = reading.lines(words)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
