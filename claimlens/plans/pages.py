@@ -9,6 +9,7 @@ from claimlens.functions import text
 from claimlens.operators import evaluate, reading
 from claimlens.plans.population import SQL, applications
 from claimlens.plans.registry import register
+from claimlens.session import dealt
 
 def _id() -> Column:
     return F.col("application_id").cast("long")
@@ -38,8 +39,7 @@ def printed(apps: DataFrame, spelt: Column) -> DataFrame:
         F.trim("issuing_office"),
     )
     # Narrow rows are dealt by document, and their many words stay where they are printed.
-    parts = int(apps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = apps.repartition(parts, "application_id").select(F.col("application_id").alias("doc"), F.posexplode(page).alias("line", "text")).where("text is not null")
+    lines = dealt(apps, "application_id").select(F.col("application_id").alias("doc"), F.posexplode(page).alias("line", "text")).where("text is not null")
     words = lines.select("doc", "line", F.posexplode(F.split("text", " ")).alias("i", "text"))
     return words.select(
         "doc", F.lit(1).alias("page"), F.lit(1).alias("block"), F.lit(1).alias("par"), "line", (40 + 100 * F.col("i")).alias("left"), (50 + 30 * F.col("line")).alias("top"),

@@ -44,6 +44,37 @@ def people(seed, n=70):
     ]
 
 
+@pytest.mark.parametrize("least", [0.55, 0.65])
+def test_near_words_equal_all_pairs(spark, least):
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choice("abdeik") for _ in range(rng.randint(1, 6))) for _ in range(150)})
+    grams = lambda w: {f"  {w} "[i : i + 3] for i in range(len(w) + 1)}
+    want = {(t, u) for t in words for u in words if t == u or len(grams(t) & grams(u)) >= least * len(grams(t) | grams(u))}
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    got = [tuple(r) for r in resolve._near_words(df, least).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > len(words)
+    some, known = df.where("t < 'd'"), df.where("t > 'b'")
+    asked = {tuple(r) for r in resolve._near_words(some, least, known).collect()}
+    assert asked == {(t, u) for t, u in want if t < "d"}
+
+
+def test_links_need_no_near_pairs(spark):
+    """Candidates for links hold every linked pair, at borders of likeness and with addresses of few letters too, and few of the pairs
+    that are only near."""
+    assert resolve.alone(resolve.key_sets(floor=resolve.LINK, fields=1)) == {("applicant", "address"): pytest.approx(0.875, abs=1e-5)}
+    rng = random.Random(4)
+    given = [(*p[:4], rng.choice([p[4], p[4], "7", "7 7", "a", "", "12 Lake View Street"]), rng.choice([p[5], "", ""]), p[6]) for p in people(3, 90)]
+    crowd = [(f"c{i:03d}", "2031", "Arul Krishnan", f"Zed Q{'bcdfghjklm'[i % 10]}v", f"{9000 + 37 * i} Temple Street", "Dist Temple Town", None) for i in range(40)]
+    apps = materialize(resolve.normalized(spark.createDataFrame(given + crowd, NAMES)), "apps")
+    ids = apps.select("scope", F.col("application_id").alias("a"))
+    every = materialize(resolve.scored(ids.join(ids.withColumnRenamed("a", "b"), "scope").where("a < b"), apps, "scope"), "every")
+    met = {tuple(r) for r in resolve.linkable(apps, "scope").select("a", "b").collect()}
+    linked = {tuple(r) for r in every.where("linked").select("a", "b").collect()}
+    near = {tuple(r) for r in resolve.used(every).where("a like 'c%' and b like 'c%' and not linked").select("a", "b").collect()}
+    assert linked <= met and len(linked) > 50
+    assert len(near) > 100 and len(near & met) < len(near) / 4
+
+
 NAMES = "application_id string, scope string, applicant_name string, guardian_name string, address_line string, district string, guardian_phone string"
 
 
